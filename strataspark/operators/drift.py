@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 #: JSON types of a leaf; a union of types is a sum of these.
 NUMBER, STRING, BOOLEAN, ARRAY = 1, 2, 4, 8
 
@@ -165,7 +167,8 @@ def changes(records: DataFrame) -> DataFrame:
             F.struct(F.lit("removed").alias("kind"), F.col("next_no").alias("at"), F.col("kinds").alias("old"), F.lit(0).alias("new")),
         ),
     )
-    found = (
+    # kept: the changes are few beside the leaves, and both the renames and the result need them
+    found = kept(
         steps.select("stream_id", "file_no", "path", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
         .select("stream_id", F.col("e.at").alias("at"), F.col("file_no").alias("held_no"), "path", "e.kind", "e.old", "e.new")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_parsing", "q_credentials", "q_tokens", "q_packing", "q_sentences")
+MODULES = ("q_parsing", "q_credentials", "q_provenance", "q_tokens", "q_packing", "q_sentences")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

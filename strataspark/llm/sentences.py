@@ -239,7 +239,7 @@ def sentences(text: str, start: int, end: int, model: Model) -> list[tuple[int,
                 if stops[-1] in "!?":
                     cut(j)
             elif after[:1].isupper() and stops != "…" and _sure(before, after, text, j, end):
-                if _type(before) not in model.abbreviations:
+                if len(before) > 3 or _type(before) not in model.abbreviations:
                     cut(j)
             continue
         kind, word = _starts(text, j, end)
@@ -299,8 +299,12 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
 
 # --- learning ------------------------------------------------------------------------------------
 
-WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?(?![\w])")
-AROUND = re.compile(r"(?:(?<![\w.])(\d+)|(?<![\w])([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14})|[^\s])\.[)\"”»]*[ \xa0\r\n]+[\"“„«(]?([^\W_][^\s.,;:!?()\"'»”`]{0,30})")
+WORD = re.compile(r"[\"'“”„«»‘’(\[{<`*]*([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?)[)\]}>\"'“”«»’,;:!?`*…]*\Z")
+AFTER = re.compile(r"\.[)\"”»]*[ \xa0\r\n]+[\"“„«(]?([^\W_][^\s.,;:!?()\"'»”`]{0,30})")
+LAST = re.compile(r"(?:(?<![\w.])(\d+)|(?<!\w)([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}))\Z")
+
+#: Distinct spellings that a task gathers before it passes them on.
+GATHERED = 400_000
 
 COUNTS = "lang string, kind string, first string, second string, n bigint"
 COUNT_FIELDS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("first", pa.string()), ("second", pa.string()), ("n", pa.int64())])
@@ -320,35 +324,48 @@ def _home(lang: str, word: str) -> str:
     return "en" if lang in OTHER_SCRIPTS and "a" <= word[:1] <= "z" else lang
 
 
+def _counted(words: dict[str, Counter], pairs: dict[str, Counter]) -> pa.RecordBatch:
+    rows = []
+    for name, counter in words.items():
+        folded: Counter = Counter()
+        for token, n in counter.items():
+            m = WORD.match(token)
+            if m:
+                low = m[1].lower()
+                mark = "^" if m[1][0].isupper() else ""
+                folded[_home(name, low), low.rstrip("."), mark + "." if low[-1] == "." else mark] += n
+        rows += [(home, "word", w, mark, n) for (home, w, mark), n in folded.items()]
+    for name, counter in pairs.items():
+        folded = Counter()
+        for (a, after), n in counter.items():
+            # upper-case starts are kept apart from others by the mark in front
+            mark = "^" if after[0].isupper() else "_"
+            b = "##" if after[0].isdigit() else after.lower()
+            folded[_home(name, b if a == "##" else a), a, mark + b] += n
+        rows += [(home, "pair", a, b, n) for (home, a, b), n in folded.items()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, COUNT_FIELDS, strict=True)], schema=COUNT_FIELDS)
+
+
 def count_types(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """How often each type stands with and without a period, and each pair across a period."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+        pairs: dict[str, Counter] = {}
         for batch in batches:
-            words: dict[str, Counter] = {}
-            pairs: dict[str, Counter] = {}
             for name, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t:
-                    words.setdefault(name, Counter()).update(WORDS.findall(t))
-                    pairs.setdefault(name, Counter()).update(AROUND.findall(t))
-            rows = []
-            for name, counter in words.items():
-                folded: Counter = Counter()
-                for w, n in counter.items():
-                    low = w.lower()
-                    mark = "^" if w[0].isupper() else ""
-                    folded[_home(name, low), low.rstrip("."), mark + "." if low[-1] == "." else mark] += n
-                rows += [(home, "word", w, mark, n) for (home, w, mark), n in folded.items()]
-            for name, counter in pairs.items():
-                folded = Counter()
-                for (number, word, after), n in counter.items():
-                    # upper-case starts are kept apart from others by the mark in front
-                    mark = "^" if after[0].isupper() else "_"
-                    a, b = "##" if number else word.lower(), "##" if after[0].isdigit() else after.lower()
-                    folded[_home(name, b if number else a), a, mark + b] += n
-                rows += [(home, "pair", a, b, n) for (home, a, b), n in folded.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, COUNT_FIELDS, strict=True)], schema=COUNT_FIELDS)
+                if t and name:
+                    words.setdefault(name, Counter()).update(t.split())
+                    counter = pairs.setdefault(name, Counter())
+                    for m in AFTER.finditer(t):
+                        at = m.start()
+                        before = LAST.search(t, max(0, at - 18), at)
+                        counter[(before[2].lower() if before[2] else "##") if before else "", m[1]] += 1
+            if sum(map(len, words.values())) + sum(map(len, pairs.values())) > GATHERED:
+                yield _counted(words, pairs)
+                words, pairs = {}, {}
+        yield _counted(words, pairs)
 
     parts = docs.select(language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, COUNTS)
     return parts.groupBy("lang", "kind", "first", "second").agg(F.sum("n").alias("n"))

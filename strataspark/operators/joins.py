@@ -1,0 +1,69 @@
+"""Joins of the document pipeline (JN*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def last_by(rows: DataFrame, key: list[str], pos: str) -> DataFrame:
+    """JN1: the last row of each key wins."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), pos).alias("r")).select(*key, "r.*")
+
+
+def first_by(rows: DataFrame, key: list[str], pos: str) -> DataFrame:
+    """JN2, JN15: the first row of each key wins."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), pos).alias("r")).select(*key, "r.*")
+
+
+def with_defaults(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+    """JN7: left join whose missing values are filled."""
+    joined = left.join(right, keys, "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def sharing(left: DataFrame, right: DataFrame, array: str, left_id: str, right_id: str) -> DataFrame:
+    """JN5: pairs whose arrays share an element: both sides are exploded and joined on the element."""
+    a = left.select(F.col(left_id), F.explode(F.array_distinct(array)).alias("x"))
+    b = right.select(F.col(right_id), F.explode(F.array_distinct(array)).alias("x"))
+    return a.join(b, "x").select(left_id, right_id).distinct()
+
+
+def overlaps(rows: DataFrame, key: str, start: str, end: str, ident: str, width: int) -> DataFrame:
+    """JN11: pairs of one key whose ranges overlap. Ranges are spread over bins of a width; pairs meet in
+    the first bin that both reach, so each is found once and no key is compared with all of itself."""
+    bins = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
+    spread = rows.select(key, start, end, ident).withColumn("bin", bins)
+    a = spread.select(key, "bin", *[F.col(c).alias(f"a_{c}") for c in (start, end, ident)])
+    b = spread.select(key, "bin", *[F.col(c).alias(f"b_{c}") for c in (start, end, ident)])
+    first = F.floor(F.greatest(f"a_{start}", f"b_{start}") / width)
+    met = (F.col(f"a_{ident}") < F.col(f"b_{ident}")) & (F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}")) & (F.col("bin") == first)
+    return a.join(b, [key, "bin"]).where(met).select(key, f"a_{ident}", f"b_{ident}")
+
+
+def adjacent(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """JN12: rows whose successor in the key begins right behind them."""
+    w = Window.partitionBy(key).orderBy(start, end)
+    return rows.withColumn("next_start", F.lead(start).over(w)).where(F.col(end) + 1 == F.col("next_start"))
+
+
+def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """JN4: texts whose words hold a name as a prefix-free part: candidates by word pieces, then exact.
+
+    A name can only lie in a text that has the name's first three letters somewhere, so both sides meet
+    on that piece instead of every text meeting every name. Names of under three letters never match.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(3))))
+    a = texts.withColumn("piece", F.explode(pieces))
+    b = names.where(F.length(name) >= 3).withColumn("piece", F.substring(name, 1, 3))
+    return a.join(b, "piece").where(F.col(text).contains(F.col(name))).drop("piece")
+
+
+def first_match(conditions: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """SO5: value of the first condition that holds."""
+    out = otherwise
+    for condition, value in reversed(conditions):
+        out = F.when(condition, value).otherwise(out)
+    return out

@@ -84,7 +84,7 @@ class Grammar:
         body = f"{chr(BASE['B'])}-{chr(BASE['B'] + 0x7FF)}"
         semi = self.kinds.get(";", "")
         then = re.escape("".join(self.kinds[t] for t in goes_on if t in self.kinds))
-        more = f"(?:[{then}][^{semi}{body}]*+[{body}])*+" if goes_on else ""
+        more = f"(?:[{then}][^{semi}{body}]*+[{body}])*+(?:[{then}][^{semi}{body}]*+)?" if goes_on else ""
         self.cut = re.compile(rf"[^{semi}{body}]*+(?:[{body}]{more}{semi}?|{semi}|\Z)").findall
         self.memo = _Memo(self)
 
@@ -250,6 +250,8 @@ class _Memo(dict):
     def __init__(self, grammar: Grammar) -> None:
         super().__init__()
         self.typed = grammar.typed
+        # no list has a fixed length: what parses with two like items in a row parses with any number of them
+        self.alike = re.compile("(.{1,2}" + re.escape(grammar.kinds.get(",", ",")) + r")\1{2,}")
         self.dropped = grammar.dropped
         self.full = {BRACKETS[k][0]: (BASE[k], patterns) for k, patterns in grammar.full.items()}
 
@@ -263,6 +265,7 @@ class _Memo(dict):
         inner = self.typed(group[1:-1])
         if self.dropped:
             inner = self.dropped.sub("", inner)
+        inner = self.alike.sub(r"\1\1", inner)
         mask = 0
         for i, p in enumerate(patterns):
             if p.consumes(inner):

@@ -95,12 +95,12 @@ INDEXER <- S:indexer
 indexer <- name ann
 ann     <- ':' type
 type    <- tunit (TBIN tunit)*
-TBIN    <- '|' / '&' / 'extends' / '?' / ':' / 'is' / '=>'
+TBIN    <- '|' / '&' / 'extends' / '?' / ':' / 'is'
 tpre    <- '|' / '&' / (TYPEOP / 'typeof' / 'new') &(name / KEYWORD / ANYP / ANYB / ANYS / STR)
 tname   <- (name / KEYWORD / 'void' / NUM / '-' NUM / STR) ('.' word)*
 tgroup  <- P:params / P:type / S:tuple / B:tobject / 'import' P:args
-tunit   <- tpre* (tname ANGLES? / ANGLES? tgroup) S:tindex*
-ABIN    <- '|' / '&' / 'extends' / 'is' / '=>'
+tunit   <- tpre* (ANGLES? P:params '=>' type / tname ANGLES? / ANGLES? tgroup) S:tindex*
+ABIN    <- '|' / '&' / 'extends' / 'is'
 angle   <- ('const' / 'in')? tunit (ABIN tunit)* ('?' tunit (ABIN tunit)* ':' tunit (ABIN tunit)*)* ('=' tunit (ABIN tunit)*)?
 angles  <- angle (',' angle)* ','? !('=' / '>' '=')
 tindex  <- type?
@@ -235,9 +235,9 @@ res     <- resource (';' resource)* ';'?
 resource <- (MOD / ann)* type name '=' expr / expr
 jump    <- 'return' expr? ';' / 'throw' expr ';' / ('break' / 'continue') name? ';' / 'yield' !'=' !'.' !ANYP expr ';'
 local   <- (MOD / ann)* type !'instanceof' vars
-cases   <- (label ':' stmt*)* / (label '->' (B:block / expr ';' / 'throw' expr ';'))*
+cases   <- (label '->' (B:block / expr ';' / 'throw' expr ';'))+ / (label ':' stmt*)*
 label   <- 'case' clabel (',' clabel)* ('when' bin)? / 'default'
-clabel  <- 'default' / type name !'->' / type P:pattern name? / tern
+clabel  <- 'default' / type name / type P:pattern name? / unary (BIN unary)*
 pattern <- (pat (',' pat)*)?
 pat     <- type P:pattern name? / (MOD / ann)* type name
 expr    <- tern
@@ -758,7 +758,8 @@ prelude  <- (ID / NUM / STR / HASH / AT / P:any / S:any / ',' / ':' / '.' / '>'
 rule     <- selector+ B:decls
 selector <- ID / HASH / '.' ID / '*' / S:any / ':' ':'? ID P:any? / P:any / '>' / '+' / '~' / ',' / '|' / NUM / '&' / '%'
 decls    <- (';' / at / decl (';' / EOF) / rule)*
-decl     <- '*'? (ID / '-' ID) ':' value
+decl     <- '*'? (ID / '-' ID) ':' (value &(';' / EOF) / anyval)
+anyval   <- (ANYB / ANYP / ANYS / ID / NUM / STR / HASH / AT / ',' / ':' / '.' / '!' / '/' / '*' / '+' / '-' / '=' / '>' / '<' / '%' / '|' / '~' / '&' / '#' / '?' / '^' / '$')*
 value    <- (ID / NUM / STR / HASH / P:any / S:any / B:decls / ',' / '/' / '+' / '-' / '*' / '.' / '=' / ':' / '!' / '%' / AT / '>' / '<' / '|' / '~' / '&' / '#')*
 any      <- (ID / NUM / STR / HASH / AT / P:any / S:any / B:decls / ',' / '/' / '+' / '-' / '*' / '.' / '=' / ':' / '!' / '%' / '>' / '<' / '|' / '~' / '&' / ';' / '^' / '$' / '#' / '?')*
 """

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 
-#: Bound of what the driver plans with: the sum of all capacities.
-MAX_SIZES = 2_000_000
+#: Bound of what the driver plans with and of the plan that is broadcast: the sum of all capacities.
+#: A plan has a few rows for each size, whatever the number of texts.
+MAX_SIZES = 200_000
 
 PLAN = "budget_id int, size int, rank_from bigint, n bigint, container_from bigint, each int"
 
@@ -103,14 +104,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pieces(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Items of each container kind: budget_id, doc_id, piece_no, size."""
+def pieces(sizes: DataFrame, kinds: dict[int, int]) -> DataFrame:
+    """Items of each container kind: budget_id, capacity, doc_id, piece_no, size."""
     n, cap = F.col("n_tokens"), F.col("capacity")
     full = F.when(n > cap, F.floor(n / cap)).otherwise(F.lit(0)).cast("int")
     rest = (n - full * cap).cast("int")
-    whole = F.array_repeat(cap.cast("int"), full)
+    whole = F.array_repeat(cap, full)
     item = F.when((rest > 0) | (full == 0), F.concat(whole, F.array(rest))).otherwise(whole)
-    return sizes.crossJoin(F.broadcast(budgets)).select("budget_id", "capacity", "doc_id", F.posexplode(item).alias("piece_no", "size"))
+    each = F.explode(F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("int").alias("capacity")) for b, c in sorted(kinds.items())]))
+    return sizes.select("doc_id", "n_tokens", each.alias("kind")).select("doc_id", "n_tokens", "kind.*").select("budget_id", "capacity", "doc_id", F.posexplode(item).alias("piece_no", "size"))
 
 
 def _salt(salts: int) -> Column:
@@ -126,8 +128,9 @@ def pack(sizes: DataFrame, budgets: DataFrame, salts: int | None = None) -> Data
     kinds = {r.budget_id: r.capacity for r in budgets.where("capacity > 0").limit(1_001).collect()}
     if len(kinds) > 1_000 or sum(kinds.values()) > MAX_SIZES:
         raise ValueError("too many container sizes for one plan")
-    budgets = spark.createDataFrame(sorted(kinds.items()), "budget_id int, capacity int")
-    items = pieces(kept(sizes), budgets)
+    if not kinds:
+        raise ValueError("no container has a capacity")
+    items = pieces(kept(sizes), kinds)
     salts = salts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = items.withColumn("salt", _salt(salts))
 

@@ -1,0 +1,64 @@
+"""Problem 8: blocks and stops on small texts, learning on a small corpus."""
+
+from strataspark.llm import sentences
+
+
+def model(*abbreviations, starters=(), collocations=()):
+    m = sentences.Model()
+    m.abbreviations |= set(abbreviations)
+    m.starters |= set(starters)
+    m.collocations |= set(collocations)
+    return m
+
+
+def cut(text, m=None):
+    return [text[s:e] for s, e in sentences.units(text, m or model())]
+
+
+def test_blocks():
+    text = "# Title #\n\nOne here.\nTwo there\n\nNext\n====\n\n- item one. And more\n- item two\n\n1. first\n2) second\n\nArgs:\n    a (int): The first. It counts.\n    b: The second\n\n```py\nx. Y.\n```\n~~~\nZ. W.\n~~~\nLast"
+    assert cut(text) == ["Title", "One here.", "Two there", "Next", "item one.", "And more", "item two", "first", "second", "Args:", "a (int): The first.", "It counts.", "b: The second", "Last"]
+
+
+def test_stops():
+    m = model("e.g", "dr", "etc", "p.m", starters=("the",), collocations=(("##", "tag"), ("no", "##")))
+    assert cut("See e.g. the file a.b.py v1.2 now. It is 3.5 ms. Dr. Reed left, etc. The end!", m) == ["See e.g. the file a.b.py v1.2 now.", "It is 3.5 ms.", "Dr. Reed left, etc.", "The end!"]
+    assert cut("Am 3. Tag neu. See No. 7 here. x_y() ends. z_w() goes", m) == ["Am 3. Tag neu.", "See No. 7 here.", "x_y() ends.", "z_w() goes"]
+    assert cut('It says "None left. Retrying." and stops. "Is it?" is asked. You ask: "Why?" This is it.') == ['It says "None left. Retrying." and stops.', '"Is it?" is asked.', 'You ask: "Why?"', "This is it."]
+    assert cut("(The old one works.) Next one ... but slow. What?! Yes") == ["(The old one works.)", "Next one ... but slow.", "What?!", "Yes"]
+    assert cut("It ends here.The next begins. a.B stays") == ["It ends here.", "The next begins.", "a.B stays"]
+
+
+def test_scripts():
+    assert cut("每个任务？不要调用！日志显示“没有。重试。”，然后继续。") == ["每个任务？", "不要调用！", "日志显示“没有。重试。”，然后继续。"]
+    assert cut("値は（空も含む。）有効です。次。") == ["値は（空も含む。）有効です。", "次。"]
+    assert cut("यह है। वह क्यों? ठीक") == ["यह है।", "वह क्यों?", "ठीक"]
+    assert cut("هل هذا؟ نعم. الحد 1.5 هنا") == ["هل هذا؟", "نعم.", "الحد 1.5 هنا"]
+    assert cut("เก็บไว้ 475 นาที ดูแฟ้ม a.md ได้") == ["เก็บไว้ 475 นาที", "ดูแฟ้ม a.md ได้"]
+    assert cut("¿Qué es? ¡Sí! Fin") == ["¿Qué es?", "¡Sí!", "Fin"]
+
+
+def test_edges():
+    assert cut("") == cut(" \n\r\n﻿") == []
+    assert cut("﻿  Only one \xa0") == ["Only one"]
+    assert cut("a\r\nb.\r\n\r\nC") == ["a\r\nb.", "C"]
+    long = "Word one. " * 5000
+    assert len(cut(long)) == 5000
+
+
+def test_learning_and_frames(spark):
+    texts = ["The ca. value is set. The box holds ca. nine parts. Each part is new."] * 6 + ["Fig. 3 shows it. See Fig. 4 for more. The end of it."] * 6 + ["set it new, new set for it as a set of more parts it has"] * 6
+    rows = [(i, t, "EN_x", "c") for i, t in enumerate(texts)] + [(98, None, None, "c"), (99, "", "de", "c"), (100, "One. Two", None, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, start_pos string")
+    learned = {(r["kind"], r["first"]) for r in sentences.learn(sentences.count_types(df)).collect()}
+    assert ("abbreviation", "ca") in learned and not {("abbreviation", "it"), ("abbreviation", "set")} & learned
+    got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split(df).collect())
+    assert [x for x in got if x[0] == 0] == [(0, 0, 21), (0, 22, 50), (0, 51, 68)]
+    assert [x for x in got if x[0] >= 98] == [(100, 0, 4), (100, 5, 8)]
+    joined = sentences.MODEL_ROWS
+    try:
+        sentences.MODEL_ROWS = 0  # the way for statistics that are too large to go with the tasks
+        assert sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split(df).collect()) == got
+    finally:
+        sentences.MODEL_ROWS = joined
+    assert sentences.split(df.limit(0)).count() == 0

@@ -53,7 +53,7 @@ def test_learning_and_frames(spark):
     learned = {(r["kind"], r["first"]) for r in sentences.learn(sentences.count_types(df)).collect()}
     assert ("abbreviation", "ca") in learned and not {("abbreviation", "it"), ("abbreviation", "set")} & learned
     got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split(df).collect())
-    assert [x for x in got if x[0] == 0] == [(0, 0, 21), (0, 22, 50), (0, 51, 68)]
+    assert [x for x in got if x[0] == 0] == [(0, 0, 21), (0, 22, 51), (0, 52, 69)]
     assert [x for x in got if x[0] >= 98] == [(100, 0, 4), (100, 5, 8)]
     joined = sentences.MODEL_ROWS
     try:

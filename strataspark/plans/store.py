@@ -157,7 +157,7 @@ def pj9_path_tree(spark, root):
 
 def tr1_rate_limit(spark, root):
     w = F.window("called_at", "15 minutes")
-    return calls(spark, root).where("project_id is not null and called_at is not null").groupBy(w.alias("w"), "project_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "project_id", "n", (F.col("n") > 3).alias("limited"))
+    return calls(spark, root).where("project_id is not null and called_at is not null").groupBy(w.alias("w"), "project_id").agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), "project_id", "n", (F.col("n") > 1).alias("limited"))
 
 
 QUERIES = {
@@ -208,5 +208,5 @@ ORACLES = {
         ON maintainability_index, complexity, volume, difficulty, effort INTO NAME metric VALUE value""",
     "pj9_path_tree": f"""WITH p AS (SELECT project_id, string_split(file_path, '/') AS xs FROM {_S} WHERE project_id IS NOT NULL AND file_path IS NOT NULL)
         SELECT project_id, array_to_string(xs[1:i], '/') AS path, i::INT AS depth, bool_or(i = len(xs)) AS leaf FROM p, LATERAL (SELECT unnest(range(1, len(xs) + 1)) AS i) GROUP BY ALL""",
-    "tr1_rate_limit": """SELECT time_bucket(INTERVAL 15 MINUTE, called_at) AS start, project_id, count(*) AS n, count(*) > 3 AS limited FROM (SELECT DISTINCT * FROM api_calls) WHERE project_id IS NOT NULL AND called_at IS NOT NULL GROUP BY ALL""",
+    "tr1_rate_limit": """SELECT epoch(time_bucket(INTERVAL 15 MINUTE, called_at))::BIGINT AS start, project_id, count(*) AS n, count(*) > 1 AS limited FROM (SELECT DISTINCT * FROM api_calls) WHERE project_id IS NOT NULL AND called_at IS NOT NULL GROUP BY ALL""",
 }

@@ -146,3 +146,20 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """TR4, RM16: the last row of every key; combines before the shuffle."""
     names = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def bursts(rows: DataFrame, key: str, time: str, order: str, gap_seconds: int, block_seconds: int = 86_400) -> DataFrame:
+    """TR2 over a whole log: numbers the bursts of each key; a gap of at least ``gap_seconds`` ends one.
+
+    A key is cut into blocks of time, so no task orders a whole key: each block is compared with the
+    last row of the block before it, and bursts are counted on from the blocks before.
+    """
+    cut = rows.withColumn("block", F.floor(F.unix_seconds(time) / block_seconds))
+    along = Window.partitionBy(key).orderBy("block")
+    last = cut.groupBy(key, "block").agg(F.max(time).alias("last")).withColumn("before", F.lag("last").over(along)).drop("last")
+    within = Window.partitionBy(key, "block").orderBy(time, order)
+    earlier = F.coalesce(F.lag(time).over(within), F.col("before"))
+    begins = earlier.isNull() | (F.unix_micros(time) - F.unix_micros(earlier) >= gap_seconds * 1_000_000)
+    marked = cut.join(last, [key, "block"]).withColumn("begins", begins.cast("bigint")).drop("before")
+    counted = marked.groupBy(key, "block").agg(F.sum("begins").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return marked.withColumn("own", F.sum("begins").over(within.rowsBetween(Window.unboundedPreceding, 0))).join(counted, [key, "block"]).withColumn("burst", F.col("own") + F.col("offset")).drop("own", "offset", "begins", "block")

@@ -39,6 +39,8 @@ from ..sources.shared import kept
 BATCH_ROWS = 500
 #: Lines in a rule over lines; share of shared rules that makes a copy; the same beside other signs.
 PHRASE, SHARED, SHARED_SIGNED = 3, 0.75, 0.25
+#: Words (names and keywords) up to which a file can be data and nothing else.
+DATA_WORDS = 20
 #: Rules that a file must have to be judged by their share alone.
 ENOUGH = 5
 
@@ -51,6 +53,7 @@ CODE = set(REUSE) | {"html", "htm"}
 MINIFIABLE = {"js", "mjs", "ts", "css", "html", "htm"}
 
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\sA-Za-z0-9_]")
+TEXT = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 KEYWORDS = frozenset(
     "if else for while return function class def import from const let var public private static void int new in of not and or is None self this try except catch finally "
     "switch case default break continue func package type struct interface map range go defer nil throw throws with as async await lambda yield pass raise match export extends final".split()
@@ -133,6 +136,21 @@ def phrases(code: str) -> list[int]:
     return [h - (1 << 63) for h in found]
 
 
+def _is_data(code: str, tokens: list[str]) -> bool:
+    """Hardly a word, and numbers or long texts that hardly compress: data written as code."""
+    literals = [t for t in tokens if t[0] in "\"'`0123456789"]
+    words = sum(t[0].isalpha() or t[0] in "_$" for t in tokens)
+    if words > DATA_WORDS or not literals:
+        return False
+    numbers = sum(t[0].isdigit() for t in literals)
+    long = sum(len(t) for t in literals if len(t) >= 60)
+    size = sum(map(len, literals))
+    solid = len(code) - sum(map(code.count, " \t\r\n"))
+    if size < 0.5 * solid or numbers < 60 and long < 600:
+        return False
+    return len(zlib.compress("".join(literals).encode("utf-8", "replace"), 1)) > 0.25 * size
+
+
 def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, list[int]]:
     """tool, minified, data, says_copy, ratio and phrases of one file."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -146,16 +164,12 @@ def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, list[
         if n >= 60:
             rules, start = grammar([_KINDS[t] for t in tokens])
             ratio = (2 * rules + start) / n
-            literals = [t for t in tokens if t[0] in "\"'`0123456789"]
-            size = sum(map(len, literals))
-            solid = len(code) - sum(map(code.count, " \t\r\n"))
-            if size > 0.55 * solid and size > 300 or ratio < 0.12 and len(literals) > 0.25 * n and kind not in MINIFIABLE - {"js", "mjs", "ts"}:
-                packed = len(zlib.compress("".join(literals).encode("utf-8", "replace"), 1))
-                data = packed > 0.25 * size and len(code.splitlines()) > 1
+        data = _is_data(code, tokens)
         if kind in MINIFIABLE and len(code) > 400:
-            long = sum(len(x) for x in code.splitlines() if len(x) > 300)
-            blanks = code.count(" ") + code.count("\n") + code.count("\t")
-            minified = long > 0.6 * len(code) and blanks < 0.12 * len(code)
+            bare = TEXT.sub('""', code)  # a long text in a line makes no minified file
+            long = sum(len(x) for x in bare.splitlines() if len(x) > 300)
+            blanks = sum(map(bare.count, " \t\n"))
+            minified = long > 0.6 * len(bare) and blanks < 0.12 * len(bare)
     limits = REUSE_SIGNED if TOOL_PATH.search(path.replace("\\", "/")) else REUSE
     tool = says_tool or ratio < limits.get(kind, 0)
     return tool, minified, data, says_copy, ratio, phrases(code)

@@ -63,7 +63,8 @@ SAYS_TOOL = re.compile(
     r"|\bdo not (?:edit|modify|touch)\b(?! the)|\bproduced by \S+ from\b|automatisch (?:erzeugt|generiert)|généré(?:e)? automatiquement|generado automáticamente|создан автоматически|自动生成|自動生成"
 )
 SAYS_COPY = re.compile(r"(?i)\b(?:part of|this is) [\w-]+,? (?:release |version )?v?\d+\.\d+(?:\.\d+)?\b|\bupstream home\b|redistribution in source form|list of \w+ authors|(?:^|\W)[\w-]+ v?\d+\.\d+\.\d+ (?:\||- an? )|copyright \(c\) \d{4} the [\w-]+ contributors")
-COPY_PATH = re.compile(r"(?:^|/)(?:vendor|vendored|_vendor|third_?party|3rdparty|extern|external|deps|node_modules|bower_components|site-packages)/.+/")
+COPY_PATH = re.compile(r"(?:^|/)(?:vendor|vendored|_vendor|third_?party|3rdparty|extern|external|deps|node_modules|bower_components|site-packages)/.+/|/[A-Za-z][\w-]*-\d+\.\d+\.\d+/")
+COMMON = re.compile(r"#\s*(?:include|pragma)\b|import\b|from\b.*\bimport\b|package\b|using\b|\"[a-z/]+\"$|\} (?:else|catch|finally)\b|else\b|return\b.{0,12}$|default:|break;|continue;|<(?:!doctype|/?(?:html|head|body|ul|ol|div|section|table|tr)\b[^>]*>$|meta\b)", re.IGNORECASE)
 HEAD = re.compile(r"(?:\s|﻿|<!DOCTYPE[^>]*>|#![^\n]*\n|//[^\r\n]*|#(?!include|define|pragma|if|import)[^\r\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|--[^\r\n]*)*", re.IGNORECASE)
 
 FEATURES = "file_id bigint, project_id string, file_path string, tool boolean, minified boolean, data boolean, says_copy boolean, ratio double, phrases array<bigint>"
@@ -129,8 +130,9 @@ def grammar(kinds: list[int]) -> tuple[int, int]:
 
 
 def phrases(code: str) -> list[int]:
-    """Hashes of every three lines that follow each other; lines of signs alone are passed over."""
-    lines = [x for x in (line.strip() for line in code.splitlines()) if len(x) > 3]
+    """Hashes of every three lines that follow each other; lines of signs alone and imports, which
+    files of any project share, are passed over."""
+    lines = [x for x in (line.strip() for line in code.splitlines()) if len(x) > 3 and not COMMON.match(x)]
     hashed = xxhash.xxh3_64_intdigest
     found = {hashed("\n".join(lines[i : i + PHRASE])) for i in range(len(lines) - PHRASE + 1)}
     return [h - (1 << 63) for h in found]

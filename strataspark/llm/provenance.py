@@ -163,7 +163,7 @@ def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, list[
     if kind in CODE and (kind in ("html", "htm") or not code.lstrip("﻿ \t\r\n").startswith("<")):
         tokens = TOKEN.findall(code)
         n = len(tokens)
-        if n >= 60:
+        if n >= 60 and kind in REUSE:
             rules, start = grammar([_KINDS[t] for t in tokens])
             ratio = (2 * rules + start) / n
         data = _is_data(code, tokens)
@@ -198,8 +198,8 @@ def judge_files(files: DataFrame) -> DataFrame:
 
 def shared_phrases(judged: DataFrame) -> DataFrame:
     """Rules over lines that occur in more than one project."""
-    each = judged.where("project_id is not null").select("project_id", F.explode("phrases").alias("phrase"))
-    return each.groupBy("phrase").agg(F.min("project_id").alias("a"), F.max("project_id").alias("b")).where("a < b").select("phrase")
+    each = judged.where("project_id is not null").select(F.xxhash64("project_id").alias("project"), F.explode("phrases").alias("phrase"))
+    return each.groupBy("phrase").agg(F.min("project").alias("a"), F.max("project").alias("b")).where("a < b").select("phrase")
 
 
 def verdicts(judged: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

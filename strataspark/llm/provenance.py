@@ -84,19 +84,27 @@ FIELDS = pa.schema(
 
 
 class _Kinds(dict):
+    """Kinds of tokens: 1 for texts, 2 for numbers, 3 for names; keywords and signs have their own."""
+
+    signs = 4
+
     def __missing__(self, token: str) -> int:
         c = token[0]
         if c in "\"'`" and len(token) > 1:
             return 1
         if c.isdigit():
-            return 2
-        if (c.isalpha() or c in "_$") and token not in KEYWORDS:
-            return 3
-        self[token] = kind = 4 + len(self)
+            kind = 2
+        elif (c.isalpha() or c in "_$") and token not in KEYWORDS:
+            kind = 3
+        else:
+            kind = self.signs = self.signs + 1
+        self[token] = kind
         return kind
 
 
 _KINDS = _Kinds()
+#: Spellings whose kind is remembered; kinds are compared within one file only.
+KINDS = 200_000
 
 
 def grammar(kinds: list[int]) -> tuple[int, int]:
@@ -104,22 +112,25 @@ def grammar(kinds: list[int]) -> tuple[int, int]:
     rules: dict[tuple[int, int], int] = {}
     seq = kinds
     while len(seq) > 1:
-        often = {p: n for p, n in Counter(zip(seq, seq[1:])).items() if n >= 3}
-        if not often:
+        pairs = list(zip(seq, seq[1:]))
+        counted = Counter(pairs)
+        often = list(map(counted.__getitem__, pairs))
+        if max(often) < 3:
             break
-        get = often.get
+        often.append(0)
         out, i, last = [], 0, len(seq) - 1
+        add = out.append
         while i < last:
-            pair = (seq[i], seq[i + 1])
-            n = get(pair)
-            if n is not None and (i + 1 == last or get((seq[i + 1], seq[i + 2]), 0) <= n):
+            n = often[i]
+            if n > 2 and often[i + 1] <= n:
+                pair = pairs[i]
                 rule = rules.get(pair)
                 if rule is None:
                     rule = rules[pair] = -1 - len(rules)
-                out.append(rule)
+                add(rule)
                 i += 2
             else:
-                out.append(seq[i])
+                add(seq[i])
                 i += 1
         if i == last:
             out.append(seq[last])
@@ -140,9 +151,14 @@ def phrases(code: str) -> list[int]:
 
 def _is_data(code: str, tokens: list[str]) -> bool:
     """Hardly a word, and numbers or long texts that hardly compress: data written as code."""
+    words = 0
+    for t in tokens:
+        if t[0].isalpha() or t[0] in "_$":
+            words += 1
+            if words > DATA_WORDS:
+                return False
     literals = [t for t in tokens if t[0] in "\"'`0123456789"]
-    words = sum(t[0].isalpha() or t[0] in "_$" for t in tokens)
-    if words > DATA_WORDS or not literals:
+    if not literals:
         return False
     numbers = sum(t[0].isdigit() for t in literals)
     long = sum(len(t) for t in literals if len(t) >= 60)
@@ -164,6 +180,8 @@ def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, list[
         tokens = TOKEN.findall(code)
         n = len(tokens)
         if n >= 60 and kind in REUSE:
+            if len(_KINDS) > KINDS:
+                _KINDS.clear()
             rules, start = grammar([_KINDS[t] for t in tokens])
             ratio = (2 * rules + start) / n
         data = _is_data(code, tokens)

@@ -45,7 +45,7 @@ def ch2_python_chunks(spark, root):
 
 
 def so6_within_budget(spark, root):
-    """Records of a file, newest first, that fit into 40 tokens of summary together; a file has few records."""
+    """Records of a file, newest first, that fit into 12 tokens of summary together; a file has few records."""
     r = records(spark, root).where("project_id is not null and file_path is not null")
     items = F.array_sort(F.collect_list(F.struct((-F.col("record_id")).alias("o"), F.col("record_id").cast("string").alias("id"), F.floor(F.coalesce(F.length("summary"), F.lit(0)) / 4).alias("tokens"))))
     return r.groupBy("project_id", "file_path").agg(items.alias("items")).select("project_id", "file_path", F.array_join(chunking.within_budget(F.col("items"), 12), ",").alias("taken"))

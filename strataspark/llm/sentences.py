@@ -299,7 +299,7 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
 
 # --- learning ------------------------------------------------------------------------------------
 
-WORD = re.compile(r"[\"'“”„«»‘’(\[{<`*]*([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?)[)\]}>\"'“”«»’,;:!?`*…]*\Z")
+WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?(?!\w)")
 AFTER = re.compile(r"\.[)\"”»]*[ \xa0\r\n]+[\"“„«(]?([^\W_][^\s.,;:!?()\"'»”`]{0,30})")
 LAST = re.compile(r"(?:(?<![\w.])(\d+)|(?<!\w)([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}))\Z")
 
@@ -328,11 +328,10 @@ def _counted(words: dict[str, Counter], pairs: dict[str, Counter]) -> pa.RecordB
     rows = []
     for name, counter in words.items():
         folded: Counter = Counter()
-        for token, n in counter.items():
-            m = WORD.match(token)
-            if m:
-                low = m[1].lower()
-                mark = "^" if m[1][0].isupper() else ""
+        for piece, n in counter.items():
+            for w in WORDS.findall(piece):
+                low = w.lower()
+                mark = "^" if w[0].isupper() else ""
                 folded[_home(name, low), low.rstrip("."), mark + "." if low[-1] == "." else mark] += n
         rows += [(home, "word", w, mark, n) for (home, w, mark), n in folded.items()]
     for name, counter in pairs.items():
@@ -348,14 +347,18 @@ def _counted(words: dict[str, Counter], pairs: dict[str, Counter]) -> pa.RecordB
 
 
 def count_types(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """How often each type stands with and without a period, and each pair across a period."""
+    """How often each type stands with and without a period, and each pair across a period.
+
+    No word holds a blank, so the words of a text are those of its pieces between blanks, and each
+    distinct piece is searched once. Texts of no known language are counted under ''.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         pairs: dict[str, Counter] = {}
         for batch in batches:
             for name, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t and name:
+                if t:
                     words.setdefault(name, Counter()).update(t.split())
                     counter = pairs.setdefault(name, Counter())
                     for m in AFTER.finditer(t):
@@ -389,8 +392,10 @@ def _ratio(count_a: Column, count_b: Column, count_ab: Column, n: Column) -> Col
 
 
 def learn(counts: DataFrame) -> DataFrame:
-    """Rows (lang, kind, first, second): abbreviations, starters and collocations of each language."""
-    counts = counts.where("lang <> ''")
+    """Rows (lang, kind, first, second): abbreviations, starters and collocations of each language,
+    and under '' those of all texts together, with those of no known language among them."""
+    pooled = counts.groupBy("kind", "first", "second").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
+    counts = counts.where("lang <> ''").unionByName(pooled)
     words = counts.where("kind = 'word'").groupBy("lang", F.col("first").alias("word")).agg(
         F.sum(F.when(F.col("second").endswith("."), F.col("n")).otherwise(0)).cast("double").alias("stopped"),
         F.sum(F.when(F.col("second").startswith("^"), 0).otherwise(F.col("n"))).cast("double").alias("lower"),

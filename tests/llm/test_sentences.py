@@ -62,3 +62,30 @@ def test_learning_and_frames(spark):
     finally:
         sentences.MODEL_ROWS = joined
     assert sentences.split(df.limit(0)).count() == 0
+
+
+def test_every_word_of_every_text_is_counted(spark):
+    texts = ["¿Por qué? ¡No! f(list[str]): a.b/c.d one[two] cafe\u0301 e.g. x_y Mr.", "and/or (see) —dash— 3rd Dr.\xa0Who किताब", "Donaudampfschifffahrt\u3000next"]
+    rows = [(t, lang) for t in texts for lang in ("es", None, "und", "not known", "")]
+    got = sentences.count_types(spark.createDataFrame(rows, "text string, lang string")).where("kind = 'word'").collect()
+    old = sentences.re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?(?![\w])")
+    want = sentences.Counter()
+    for w in (w for t in texts for w in old.findall(t)):
+        want[w.lower().rstrip("."), "^" * w[0].isupper() + "." * w.endswith(".")] += 1
+    assert {("por", "^"), ("no", "^"), ("list", ""), ("c.d", ""), ("two", "")} <= want.keys()
+    for lang, times in (("es", 1), ("", 4)):
+        assert {(r["first"], r["second"]): r.n for r in got if r.lang == lang} == {k: n * times for k, n in want.items()}
+
+
+def test_texts_without_language_are_learned_from(spark):
+    texts = ["The qv. value is set. The box holds qv. nine parts. Each part is new."] * 6 + ["set it new, new set for it as a set of more parts it has"] * 6
+    df = spark.createDataFrame([(i, t, (None, "und", "??")[i % 3]) for i, t in enumerate(texts)] + [(50, "See qv. Reed now", "xx")], "doc_id bigint, text string, lang string")
+    assert ("", "abbreviation", "qv") in {(r.lang, r.kind, r["first"]) for r in sentences.learn(sentences.count_types(df)).collect()}
+    got = {(r.doc_id, r.start_pos, r.end_pos) for r in sentences.split(df).collect()}
+    assert {x for x in got if x[0] == 50} == {(50, 0, 16)}
+
+
+def test_few_texts_without_language_are_read_beside_all_others(spark):
+    rows = [("xo yes. Nine goes zu. Each part is new.", None)] * 4 + [("part of zu new or zu set is zu part", "xx")] * 40
+    learned = sentences.learn(sentences.count_types(spark.createDataFrame(rows, "text string, lang string"))).collect()
+    assert "zu" not in {r["first"] for r in learned if r.kind == "abbreviation"}

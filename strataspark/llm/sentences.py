@@ -523,17 +523,64 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return _split_joined(chosen, learned, key, kind)
 
 
+class _Asked(set):
+    """Stands for a set of a model: notes what it is asked for, and always gives the same answer."""
+
+    def __init__(self, answer: bool) -> None:
+        super().__init__()
+        self.answer = answer
+
+    def __contains__(self, item: object) -> bool:
+        self.add(item)
+        return self.answer
+
+
+def asked(text: str) -> set[tuple[str, str, str]]:
+    """Every entry (kind, first, second) that cutting the text can look up in any model.
+
+    What is looked up at a stop depends on the answers at that stop alone. What a no leads to is met
+    when all answers are no, what a yes leads to when all are yes; no lookup needs one of each.
+    """
+    found: set[tuple[str, str, str]] = set()
+    for answer in (False, True):
+        model = Model()
+        model.abbreviations, model.starters, model.collocations = _Asked(answer), _Asked(answer), _Asked(answer)
+        units(text, model)
+        found |= {("abbreviation", w, "") for w in model.abbreviations} | {("starter", w, "") for w in model.starters}
+        found |= {("collocation", a, b) for a, b in model.collocations}
+    return found
+
+
 def _split_joined(chosen: DataFrame, learned: DataFrame, key: str, kind: str) -> DataFrame:
-    """The same for statistics too large to go with the tasks: each text gets those of its own types."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}][\p{L}.'’-]{0,31}|\d+)"), F.lit(1))))
-    tagged = chosen.withColumn("row", F.xxhash64("key", "lang", "text"))
-    types = tagged.select("row", "lang", word.alias("w")).withColumn("w", F.when(F.col("w").rlike(r"^\d"), "##").otherwise(F.rtrim("w", F.lit(".")))).distinct()
-    own = learned.select("lang", F.struct("kind", "first", "second").alias("entry"), F.col("first").alias("w"))
-    everywhere = types.join(own.where("lang = 'en'").select("entry", "w"), "w")
-    known = types.join(own, ["lang", "w"]).select("row", "entry").unionByName(everywhere.select("row", "entry"))
-    unknown = types.where("lang = ''").join(own.select("entry", "w"), "w").select("row", "entry")
-    entries = known.unionByName(unknown).groupBy("row").agg(F.collect_set("entry").alias("entries"))
-    joined = tagged.join(entries, "row", "left").select("key", "text", "entries")
+    """The same for statistics too large to go with the tasks: each text gets those it can ask for,
+    of the languages that :func:`models` gives it."""
+    learned = kept(learned)
+    named = learned.where("lang <> ''").select(F.col("lang").alias("name"), F.lit(True).alias("named")).distinct()
+    # one row for each language; the others are read with the statistics of all
+    tagged = (
+        chosen.join(F.broadcast(named), F.col("lang") == F.col("name"), "left")
+        .select("key", "text", F.when(F.col("named"), F.col("lang")).otherwise("").alias("model"))
+        .withColumn("row", F.xxhash64("key", "model", "text"))
+    )
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, entries = [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                found = asked(t) if t else ()
+                at += [i] * len(found)
+                entries += found
+            kinds, firsts, seconds = zip(*entries, strict=True) if entries else ((), (), ())
+            taken = [batch.column(c).take(pa.array(at, pa.int32())) for c in (0, 1)]
+            yield pa.record_batch([*taken, *(pa.array(x, pa.string()) for x in (kinds, firsts, seconds))], names=["row", "model", "kind", "first", "second"])
+
+    needs = tagged.select("row", "model", "text").mapInArrow(ask, "row bigint, model string, kind string, first string, second string")
+    # a text's own language and English, or all of them
+    read = needs.select("*", F.explode(F.when(F.col("model").isin("", "en"), F.array("model")).otherwise(F.array("model", F.lit("en")))).alias("lang"))
+    known = learned.where("lang <> ''").unionByName(learned.withColumn("lang", F.lit(""))).distinct()
+    entry = F.struct("kind", "first", "second").alias("entry")
+    entries = read.join(known, ["lang", "kind", "first", "second"], "left_semi").groupBy("row", "model").agg(F.collect_set(entry).alias("entries"))
+    joined = tagged.join(entries, ["row", "model"], "left").select("key", "text", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -89,3 +89,17 @@ def test_few_texts_without_language_are_read_beside_all_others(spark):
     rows = [("xo yes. Nine goes zu. Each part is new.", None)] * 4 + [("part of zu new or zu set is zu part", "xx")] * 40
     learned = sentences.learn(sentences.count_types(spark.createDataFrame(rows, "text string, lang string"))).collect()
     assert "zu" not in {r["first"] for r in learned if r.kind == "abbreviation"}
+
+
+def test_joined_statistics_give_the_same_units(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(sentences.F.col("doc_id").cast("string"), "text", "lang")
+    made = ["The qv. value is set. The box holds qv. nine parts. Each part is new."] * 20 + ["set it new, new set for it as a set of more parts it has. Das gilt am 3. Tag"] * 6
+    forms = ["So foo-qv. Reed left", "See (qv. Reed) and x/qv. Reed", '"It is qv." Reed', "ends etc.Next one", "seen qv.Reed so", "As of 3. Each on", "on qv. The box"]
+    rows = [(f"m{i}", t, "en") for i, t in enumerate(made)] + [(f"{lang}{i}", t, lang) for lang in ("en", "de", "qq", "und", None) for i, t in enumerate(forms)]
+    df = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    cut = lambda: sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split(df).collect())
+    want = cut()
+    bare = [(f"qq{i}", s, e) for i, t in enumerate(forms) for s, e in sentences.units(t, sentences.Model())]
+    assert [x for x in want if x[0].startswith("qq")] != bare
+    monkeypatch.setattr(sentences, "MODEL_ROWS", 0)
+    assert cut() == want

@@ -58,9 +58,51 @@ def merge_adjacent(a: DataFrame, key: str) -> DataFrame:
 CODE_CHUNKS = "file_id bigint, start_line int, end_line int, kind string, name string"
 
 
-def python_chunks(files: DataFrame) -> DataFrame:
+def split_point(kind: str, lines: list[str]) -> int | None:
+    """CH3: behind the first return or yield of a function, before the first method of a class; a
+    point that leaves a part empty is none (CH4)."""
+    for i, line in enumerate(map(str.strip, lines)):
+        if kind == "function" and line.startswith(("return", "yield")) and i + 1 < len(lines):
+            return i + 1
+        if kind == "class" and line.startswith("def ") and i > 0:
+            return i
+    return None
+
+
+def python_chunks(files: DataFrame, limit: int | None = None) -> DataFrame:
     """CH2: one chunk for each top-level function or class of a Python file, and one for each run of
-    other statements between them. Files that do not parse have none."""
+    other statements between them. Files that do not parse have none.
+
+    With ``limit``, functions and classes at any depth have their chunk too, and those of so many
+    tokens (a quarter of the characters) or more are split by CH3 as long as there is a point.
+    """
+
+    def parts(lines: list[str], start: int, end: int, kind: str, name: str) -> Iterator[tuple[int, int, str, str]]:
+        sizes = [len(x) for x in lines[start - 1 : end]]
+        left = sum(sizes) + len(sizes) - 1
+        while left // 4 >= limit:
+            at = split_point(kind, lines[start - 1 : end])
+            if at is None:
+                break
+            yield start, start + at - 1, kind, name
+            left -= sum(sizes[:at]) + at
+            sizes, start = sizes[at:], start + at
+        yield start, end, kind, name
+
+    def every(code: str) -> Iterator[tuple[int, int, str, str | None]]:
+        import ast
+        import re
+
+        try:
+            tree = ast.parse(code.lstrip("﻿"))
+        except (SyntaxError, ValueError, RecursionError):
+            return
+        yield from (c for c in cut(code) if c[2] == "module")
+        lines = re.split(r"\r\n|\r|\n", code.lstrip("﻿"))  # the lines that the parser counts
+        for node in ast.walk(tree):
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+                yield from parts(lines, start, node.end_lineno, "class" if isinstance(node, ast.ClassDef) else "function", node.name)
 
     def cut(code: str) -> Iterator[tuple[int, int, str, str | None]]:
         import ast
@@ -86,7 +128,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file_id", pa.int64()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("kind", pa.string()), ("name", pa.string())])
         for batch in batches:
-            rows = [(f, *c) for f, code in zip(*(x.to_pylist() for x in batch.columns), strict=True) if code for c in cut(code)]
+            rows = [(f, *c) for f, code in zip(*(x.to_pylist() for x in batch.columns), strict=True) if code for c in (cut(code) if limit is None else every(code))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

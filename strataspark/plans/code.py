@@ -41,7 +41,7 @@ def ch8_batches(spark, root):
 
 
 def ch2_python_chunks(spark, root):
-    return chunking.python_chunks(_language(spark, root, "py"))
+    return chunking.python_chunks(_language(spark, root, "py"), 4096 - 200)
 
 
 def so6_within_budget(spark, root):

@@ -127,3 +127,13 @@ def test_debounce(spark):
     rows = [(t, "u", "a"), (t + timedelta(milliseconds=200), "u", "ab"), (t + timedelta(milliseconds=900), "u", "abc"), (t, "v", " ")]
     df = spark.createDataFrame(rows, "ts timestamp, user string, q string")
     assert sorted((r.user, r.q) for r in windows.debounced(df, "ts", "user", "q").collect()) == [("u", "ab"), ("u", "abc")]
+
+
+def test_python_chunks_of_every_depth(spark):
+    long = "    " + "x" * 40
+    code = "\n".join(["import os", "@d", "class A:", long, "    def f(self):", "        return 1", "    async def g(self):", "        def h(): yield 2", "        return h", "    def k(self):", "        pass", "y = 1", "def m():", "    if a:", "        return 1", long, "    return 2"])
+    df = spark.createDataFrame([(1, code), (2, "def ("), (3, None)], "file_id bigint, code string")
+    got = sorted((r.start_line, r.end_line, r.kind, r.name or "") for r in chunking.python_chunks(df, 15).collect())
+    assert got == sorted([(1, 1, "module", ""), (12, 12, "module", ""), (2, 4, "class", "A"), (5, 7, "class", "A"), (8, 9, "class", "A"), (10, 11, "class", "A"), (5, 6, "function", "f"), (7, 9, "function", "g"), (8, 8, "function", "h"), (10, 11, "function", "k"), (13, 15, "function", "m"), (16, 17, "function", "m")])
+    defs = {r.name for r in chunking.python_chunks(df, 10**6).collect() if r.name}
+    assert defs == {"A", "f", "g", "h", "k", "m"}

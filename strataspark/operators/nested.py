@@ -14,20 +14,22 @@ Defined cases
     * A null element keeps its position and gives no row; neither do its children.
     * An empty name or docstring is kept as it is; a null one stays null.
     * Unreadable, empty or null payloads, and payloads that are no object: no rows.
+    * Any number of wrappers around a record is opened; nesting has no limit.
     * Redelivered records (same key, all columns alike) count once.
     * Extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .payload import dumps, loads
+
 TAGS = ("class", "method", "arg")
 
 EMITTED = "tag string, origin string, record_id bigint, class_pos int, method_pos int, arg_pos int, payload string"
@@ -36,6 +38,8 @@ CLASS_SCHEMA = "name string, docstring string, decorators array<string>, supercl
 METHOD_SCHEMA = "name string, docstring string, async boolean, complexity double, type string, decorators array<string>"
 ARG_SCHEMA = "name string, type string, default string"
 SCHEMAS = {"class": CLASS_SCHEMA, "method": METHOD_SCHEMA, "arg": ARG_SCHEMA}
+PLACES = {"class": ["class_pos"], "method": ["class_pos", "method_pos"], "arg": ["class_pos", "method_pos", "arg_pos"]}
+WRITTEN = "origin string, record_id bigint, class_pos int, method_pos int, arg_pos int, payload string, pk string, parent_pk string, tag string"
 
 CLASS_FIELDS = ("name", "docstring", "decorators", "superclass", "file_path", "line_number", "methods")
 METHOD_FIELDS = ("name", "docstring", "async", "complexity", "type", "decorators", "args")
@@ -144,13 +148,13 @@ def arg_fields(text: str) -> dict:
     return {"name": name.strip(), "type": kind.strip() or None, "default": default.strip() or None}
 
 
-def unwrap(value: object, depth: int = 8) -> dict | None:
-    """The record inside a payload: text that is itself JSON, wrappers and one-element maps are opened."""
-    while depth:
-        depth -= 1
+def unwrap(value: object) -> dict | None:
+    """The record inside a payload: text that is itself JSON, wrappers and one-element maps are opened,
+    however many there are."""
+    while True:
         if isinstance(value, str):
             try:
-                value = json.loads(value)
+                value = loads(value)
             except ValueError:
                 return None
         elif isinstance(value, list):
@@ -168,14 +172,13 @@ def unwrap(value: object, depth: int = 8) -> dict | None:
             value = inner
         else:
             return None
-    return value if isinstance(value, dict) else None
 
 
 def members(value: object, fields: tuple[str, ...]) -> list[tuple[int, dict]]:
     """The objects of a list, of a map by name, or of a single object, with their positions."""
     if isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = loads(value)
         except ValueError:
             return []
     if isinstance(value, dict):
@@ -208,7 +211,7 @@ def arg_members(value: object) -> list[tuple[int, dict]]:
         if isinstance(x, dict):
             out.append((i, x))
         elif x is not None:
-            out.append((i, arg_fields(x if isinstance(x, str) else json.dumps(x))))
+            out.append((i, arg_fields(x if isinstance(x, str) else dumps(x))))
     return out
 
 
@@ -221,7 +224,7 @@ def visit(record_id: int, payload: str | None, origin: str, payloads: bool = Tru
         return
 
     def body(x: dict, schema: str) -> str | None:
-        return json.dumps({f: x[f] for f in schema if x.get(f) is not None}) if payloads else None
+        return dumps({f: x[f] for f in schema if x.get(f) is not None}) if payloads else None
 
     for c, cls in members(record.get("classes"), CLASS_FIELDS):
         yield "class", origin, record_id, c, -1, -1, body(cls, CLASS_FIELDS[:-1])
@@ -261,19 +264,17 @@ def keyed(emitted: DataFrame) -> DataFrame:
     return emitted.withColumns({"pk": by_tag[0], "parent_pk": by_tag[1]}).dropDuplicates(["pk"])
 
 
-def table(emitted: DataFrame, tag: str) -> DataFrame:
-    """One flat table out of the tagged rows, its payload read with the table's schema."""
-    places = {"class": ["class_pos"], "method": ["class_pos", "method_pos"], "arg": ["class_pos", "method_pos", "arg_pos"]}[tag]
-    rows = keyed(emitted.where(F.col("tag") == tag))
-    return rows.withColumn("f", F.from_json("payload", SCHEMAS[tag])).select("pk", "parent_pk", "origin", "record_id", *places, "f.*")
-
-
 def write_tables(emitted: DataFrame, path: str) -> None:
-    """All tables in one job, partitioned by tag."""
+    """All tables in one job and one walk of the records, partitioned by tag."""
     keyed(emitted).write.partitionBy("tag").mode("overwrite").parquet(path)
 
 
-def read_table(spark, path: str, tag: str) -> DataFrame:
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tables`` wrote, all tags, with keys and places."""
+    return spark.read.schema(WRITTEN).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """One table of what ``write_tables`` wrote; only its partition is read."""
-    rows = spark.read.parquet(path).where(F.col("tag") == tag)
-    return rows.withColumn("f", F.from_json("payload", SCHEMAS[tag])).select("pk", "parent_pk", "origin", "record_id", "class_pos", "method_pos", "arg_pos", "f.*")
+    rows = read_rows(spark, path).where(F.col("tag") == tag)
+    return rows.withColumn("f", F.from_json("payload", SCHEMAS[tag])).select("pk", "parent_pk", "origin", "record_id", *PLACES[tag], "f.*")

@@ -2,7 +2,7 @@
 
 import json
 
-from strataspark.operators import nested
+from strataspark.operators import nested, payload
 
 
 def rows(*payloads):
@@ -29,6 +29,37 @@ def test_wrappings_are_opened():
         assert rows(json.dumps(payload)) == want
 
 
+def test_any_number_of_wrappers():
+    record = {"classes": [{"name": "A", "methods": []}]}
+    for depth in (7, 8, 9, 40):
+        wrapped = record
+        for i in range(depth):
+            wrapped = {("data", "result", "payload")[i % 3]: wrapped}
+        assert rows(json.dumps(wrapped)) == {(0, 0, -1, -1)}
+    text = json.dumps(record)
+    for _ in range(5):
+        text = json.dumps(text)
+    assert rows(text) == {(0, 0, -1, -1)}
+    deep = '{"data":' * 150_000 + json.dumps(record) + "}" * 150_000
+    assert rows(deep) == {(0, 0, -1, -1)}
+    inside = json.dumps({"classes": [{"name": "A", "methods": [{"name": "m", "args": [0]}]}]}).replace("[0]", "[" * 200_001 + "1" + "]" * 200_001)
+    assert rows(inside) == {(0, 0, -1, -1), (0, 0, 0, -1), (0, 0, 0, 0)}
+    assert rows("[" * 200_000, "[" * 200_000 + "]" * 199_999, '{"data":' * 200_000) == set()
+
+
+def test_deep_reader_is_the_usual_one():
+    for text in ('{"a": [1, -2.5e3, true, null, "x\\n\u00e9"], "b": {}, "c": [], "d": {"e": [[{}]]}}', "[]", '"x"', " 3 ", "[1, [2, [3]]]", '{"a": 1, "a": 2}'):
+        assert payload._deep(text) == json.loads(text)
+        assert json.loads(payload._written(json.loads(text), True)) == json.loads(text)
+        assert payload._written(json.loads(text), True) == json.dumps(json.loads(text), sort_keys=True)
+    for text in ("", "{", "[1,]", '{"a"}', '{"a":1,}', "[1] 2", "{1:2}", "[1 2]", "nul"):
+        try:
+            payload._deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)
+
+
 def test_single_objects_and_maps():
     assert rows(json.dumps({"classes": {"name": "A", "methods": {"name": "m", "args": ["a"]}}})) == {(0, 0, -1, -1), (0, 0, 0, -1), (0, 0, 0, 0)}
     assert rows(json.dumps({"classes": {"A": {"methods": []}, "B": None, "C": {}}})) == {(0, 0, -1, -1), (0, 2, -1, -1)}
@@ -53,9 +84,10 @@ def test_tables_keep_links(spark, tmp_path):
     payload = json.dumps({"classes": [{"name": "A", "methods": [{"name": "m", "complexity": 2, "args": ["b: int = 2"]}]}]})
     df = spark.createDataFrame([(7, payload), (7, payload)], "id bigint, payload string")
     emitted = nested.emit_payloads(df, "id", origin="o")
-    arg = nested.table(emitted, "arg").collect()
-    assert [(r.pk, r.parent_pk, r["name"], r["type"], r["default"]) for r in arg] == [("o:7/0/0/0", "o:7/0/0", "b", "int", "2")]
     nested.write_tables(emitted, str(tmp_path / "t"))
+    arg = nested.read_table(spark, str(tmp_path / "t"), "arg").collect()
+    assert [(r.pk, r.parent_pk, r["name"], r["type"], r["default"]) for r in arg] == [("o:7/0/0/0", "o:7/0/0", "b", "int", "2")]
+    assert nested.read_rows(spark, str(tmp_path / "t")).count() == 3
     assert [r.complexity for r in nested.read_table(spark, str(tmp_path / "t"), "method").collect()] == [2.0]
 
 

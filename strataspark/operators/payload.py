@@ -22,8 +22,9 @@ def loads(text: str) -> object:
 
 
 def dumps(value: object, sort_keys: bool = False) -> str:
+    """Compact JSON text of a value of any depth."""
     try:
-        return json.dumps(value, sort_keys=sort_keys)
+        return json.dumps(value, sort_keys=sort_keys, ensure_ascii=False, separators=(",", ":"))
     except RecursionError:
         return _written(value, sort_keys)
 
@@ -96,13 +97,13 @@ def _written(value: object, sort_keys: bool) -> str:
         elif isinstance(x, dict):
             parts: list[object] = [_Sign("{")]
             for i, (k, v) in enumerate(sorted(x.items()) if sort_keys else x.items()):
-                parts += [_Sign((", " if i else "") + json.dumps(k) + ": "), v]
+                parts += [_Sign(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":"), v]
             todo += [*parts, _Sign("}")][::-1]
         elif isinstance(x, list):
             parts = [_Sign("[")]
             for i, v in enumerate(x):
-                parts += [_Sign(", "), v] if i else [v]
+                parts += [_Sign(","), v] if i else [v]
             todo += [*parts, _Sign("]")][::-1]
         else:
-            out.append(json.dumps(x))
+            out.append(json.dumps(x, ensure_ascii=False))
     return "".join(out)

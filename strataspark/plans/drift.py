@@ -18,7 +18,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_measures(spark: SparkSession, root: str) -> DataFrame:
-    return drift.measures(_records(spark, root))
+    """The consistent table of all measures; fields that no measure is known for are counted."""
+    return drift.measures(_records(spark, root)).withColumn("n_other", F.size("other")).drop("other")
 
 
 def p2_branches(spark: SparkSession, root: str) -> DataFrame:
@@ -31,7 +32,36 @@ def p2_files(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_measures": p2_measures, "p2_branches": p2_branches, "p2_files": p2_files}
 
+_LEAVES = """
+        WITH r AS (SELECT stream_id, file_no, record_id, payload FROM structure_records WHERE stream_id IS NOT NULL AND file_no IS NOT NULL AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY record_id) = 1),
+        t AS (SELECT stream_id, file_no, record_id, ltrim(replace(j.fullkey, '"', ''), '$.') AS path, j.type AS kind, j.value AS value
+            FROM r, LATERAL (SELECT * FROM json_tree(r.payload)) j WHERE json_type(r.payload) = 'OBJECT' AND j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.path, '[') AND NOT contains(j.fullkey, '[')),
+        b AS (SELECT stream_id, file_no, record_id, path, CASE WHEN kind IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN value::DOUBLE END AS number_value, CASE WHEN kind = 'VARCHAR' THEN value->>'$' END AS string_value,
+            CASE WHEN kind = 'BOOLEAN' THEN value::BOOLEAN END AS boolean_value, CASE WHEN kind = 'ARRAY' THEN value::VARCHAR END AS array_value,
+            CASE WHEN kind IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN value::DOUBLE WHEN kind = 'VARCHAR' THEN TRY_CAST(value->>'$' AS DOUBLE) WHEN kind = 'BOOLEAN' THEN value::BOOLEAN::INT::DOUBLE
+                WHEN kind = 'ARRAY' AND json_array_length(value) = 1 AND json_type(value, '$[0]') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN TRY_CAST(value->>'$[0]' AS DOUBLE) END AS canonical FROM t)
+"""
+_MEASURES = {
+    "volume": "'volume', 'vol', 'v'",
+    "difficulty": "'difficulty', 'diff', 'd'",
+    "effort": "'effort', 'e'",
+    "bugs": "'bugs', 'b'",
+    "time": "'time', 't'",
+    "length": "'length', 'n'",
+    "maintainability_index": "'maintainabilityindex', 'maintainability', 'mi'",
+    "complexity": "'complexity', 'cyclomaticcomplexity', 'cyclomatic', 'cc'",
+    "cognitive_complexity": "'cognitivecomplexity', 'cognitive'",
+    "class_count": "'classcount'",
+    "function_count": "'functioncount'",
+}
+_ALL = ", ".join(_MEASURES.values())
+_COLUMNS = ", ".join(f"arg_min(canonical, path) FILTER (canonical IS NOT NULL AND name IN ({names})) AS {m}" for m, names in _MEASURES.items())
 ORACLES = {
+    "p2_branches": f"{_LEAVES} SELECT * FROM b",
+    "p2_measures": f"""{_LEAVES},
+        n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(path, '[^A-Za-z]', '', 'g')), '^metrics', ''), '^halstead', ''), 'value$', '') AS name FROM b)
+        SELECT stream_id, file_no, record_id, {_COLUMNS}, (count(DISTINCT path) FILTER (canonical IS NOT NULL AND name NOT IN ({_ALL})))::INT AS n_other FROM n GROUP BY ALL
+    """,
     "p2_files": """
         SELECT stream_id, file_no, lag(file_no) OVER w AS prev_no, lead(file_no) OVER w AS next_no
         FROM (SELECT DISTINCT stream_id, file_no FROM structure_records WHERE stream_id IS NOT NULL AND file_no IS NOT NULL)

@@ -59,5 +59,31 @@ def test_branches_and_measures(spark):
     assert (row.volume, row.difficulty, row.effort, row.maintainability_index, row.complexity) == (12.5, 3.0, None, 7.0, 1.0)
 
 
+def test_measures_follow_renames(spark):
+    unknown = {
+        1: [("a", {"halstead": {"vol": 1.5}, "zz": 5}), ("b", {"halstead": {"vol": 2.5}, "zz": 6})],
+        2: [("a", {"m1": 1.5, "q": "5"}), ("b", {"m1": 2.5, "q": 6})],
+        3: [("a", {"deep": {"m2": ["1.5"]}, "q": 5}), ("b", {"deep": {"m2": 2.5}, "q": 6})],
+        4: [("a", {"mi": 1, "x": {"m3": 1.5}}), ("b", {"mi": 2, "x": {"m3": 2.5}})],
+    }
+    unknown[3][0][1]["deep"]["m2"] = 1.5
+    got = {(r.file_no, r.record_id): (r.volume, r.maintainability_index, r.other) for r in drift.measures(frame(spark, unknown)).collect()}
+    assert got == {
+        (1, 1): (1.5, None, {"zz": 5.0}), (1, 2): (2.5, None, {"zz": 6.0}),
+        (2, 3): (1.5, None, {"q": 5.0}), (2, 4): (2.5, None, {"q": 6.0}),
+        (3, 5): (1.5, None, {"q": 5.0}), (3, 6): (2.5, None, {"q": 6.0}),
+        (4, 7): (1.5, 1.0, {}), (4, 8): (2.5, 2.0, {}),
+    }
+    assert {(r.measure) for r in drift.field_measures(frame(spark, unknown)).where("path in ('m1', 'deep.m2', 'x.m3')").collect()} == {"volume"}
+
+
+def test_two_names_of_a_measure_and_deep_payloads(spark):
+    deep = '{"a":' * 50_000 + '{"cc": 3}' + "}" * 50_000
+    files = {1: [("a", {"vol": 2, "halstead": {"V": 1}}), ("b", "{}")], 2: [("c", deep)]}
+    got = {r.record_id: (r.volume, r.complexity) for r in drift.measures(frame(spark, files)).collect()}
+    assert got[1] == (1.0, None) and got[2] == (None, None) and got[3][0] is None
+    assert drift.leaves(frame(spark, files)).where("length(path) > 100000").count() == 1
+
+
 def test_empty(spark):
     assert drift.changes(spark.createDataFrame([], DDL)).count() == 0

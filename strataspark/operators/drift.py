@@ -256,14 +256,19 @@ def _moving_values(records: DataFrame, found: DataFrame) -> DataFrame:
 
 def _renames(records: DataFrame, found: DataFrame) -> DataFrame:
     """Fields that go and come in one file with the same content in every source file both know."""
-    # redelivered records and a source file measured twice: one value for each path
-    held = _moving_values(records, found).groupBy("stream_id", "at", "source", "path", "event").agg(F.min(F.struct("kind", "text")).alias("value"))
-    old = held.where("event = 'removed'").select("stream_id", "at", "source", F.col("path").alias("old_path"), F.col("value").alias("old_value"))
-    new = held.where("event = 'added'").select("stream_id", "at", "source", F.col("path").alias("new_path"), F.col("value").alias("new_value"))
+    # the moving fields of one source file on both sides of a change: bounded by its schema
+    each = _moving_values(records, found).groupBy("stream_id", "at", "source").agg(F.array_sort(F.collect_set(F.struct("event", "path", F.struct("kind", "text").alias("value")))).alias("fields"))
+    fields = F.col("fields")
+    # redelivered records and a source file measured twice: the least value of each path
+    once = F.filter(fields, lambda x, i: (i == 0) | (F.get(fields, i - 1)["path"] != x["path"]) | (F.get(fields, i - 1)["event"] != x["event"]))
+    old = F.filter("once", lambda x: x["event"] == "removed")
+    new = F.filter("once", lambda x: x["event"] == "added")
     pairs = (
-        old.join(new, ["stream_id", "at", "source"])
-        .groupBy("stream_id", "at", "old_path", "new_path")
-        .agg(F.count("*").alias("n"), F.sum((F.col("old_value") == F.col("new_value")).cast("bigint")).alias("same"))
+        each.select("stream_id", "at", once.alias("once"))
+        .select("stream_id", "at", F.explode(old).alias("o"), new.alias("new"))
+        .select("stream_id", "at", "o", F.explode("new").alias("n"))
+        .groupBy("stream_id", "at", F.col("o.path").alias("old_path"), F.col("n.path").alias("new_path"))
+        .agg(F.count("*").alias("n"), F.sum((F.col("o.value") == F.col("n.value")).cast("bigint")).alias("same"))
         .where("same = n")
     )
     alike = (_last("old_path") == _last("new_path")).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from ..sources.tables import load
 from . import sentences
 
@@ -15,7 +16,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Learned abbreviations, starters and collocations by language."""
-    return sentences.learn(sentences.count_types(load(spark, root, "documents")))
+    return sentences.learn(kept(sentences.count_types(load(spark, root, "documents"))))
 
 
 def p8_units_by_language(spark: SparkSession, root: str) -> DataFrame:

@@ -162,6 +162,17 @@ class Model:
             self.collocations.add((first, second))
 
 
+def _before(text: str, at: int, floor: int) -> str:
+    """The word before ``at``, however long."""
+    width = 60
+    while True:
+        low = max(floor, at - width)
+        word = WORD_BEFORE.search(text, low, at)[0]
+        if len(word) < at - low or low == floor:
+            return word
+        width *= 4
+
+
 def _type(word: str) -> str:
     return "##" if NUMBER.match(word) else word.lower()
 
@@ -233,7 +244,7 @@ def sentences(text: str, start: int, end: int, model: Model) -> list[tuple[int,
         spaced = text[j] in BLANK
         if not spaced:
             # a blank is missing after the stop: a word before it, and a word in upper case after it
-            before = WORD_BEFORE.search(text, max(start, m.start() - 60), m.start())[0]
+            before = _before(text, m.start(), start)
             after = text[j : j + 2]
             if CASELESS.match(after):
                 if stops[-1] in "!?":
@@ -253,7 +264,7 @@ def sentences(text: str, start: int, end: int, model: Model) -> list[tuple[int,
             continue
         if kind == "lower" or kind == "end":
             continue
-        before = _type(WORD_BEFORE.search(text, max(start, m.start() - 60), m.start())[0])
+        before = _type(_before(text, m.start(), start))
         following = word.strip(".,;:!?()\"'»”").lower()
         if before == "##":
             if (before, following) not in model.collocations and kind != "digit":
@@ -299,9 +310,21 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
 
 # --- learning ------------------------------------------------------------------------------------
 
-WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?(?!\w)")
-AFTER = re.compile(r"\.[)\"”»]*[ \xa0\r\n]+[\"“„«(]?([^\W_][^\s.,;:!?()\"'»”`]{0,30})")
-LAST = re.compile(r"(?:(?<![\w.])(\d+)|(?<!\w)([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}))\Z")
+WORDS = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_]))*+\.?(?!\w)")
+AFTER = re.compile(r"\.[)\"”»]*[ \xa0\r\n]+[\"“„«(]?([^\W_][^\s.,;:!?()\"'»”`]*)")
+LAST = re.compile(r"(?:(?<![\w.])(\d+)|(?<!\w)([^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_]))*+))\Z")
+WORDLIKE = re.compile(r"[\w'’.-]+")
+
+
+def _last_word(text: str, at: int) -> re.Match | None:
+    """The word or number that ends at ``at``, however long."""
+    width = 18
+    while True:
+        low = max(0, at - width)
+        if low == 0 or not WORDLIKE.fullmatch(text, low, at):
+            return LAST.search(text, low, at)
+        width *= 4
+
 
 #: Distinct spellings that a task gathers before it passes them on.
 GATHERED = 400_000
@@ -332,7 +355,10 @@ def _counted(words: dict[str, Counter], pairs: dict[str, Counter]) -> pa.RecordB
             for w in WORDS.findall(piece):
                 low = w.lower()
                 mark = "^" if w[0].isupper() else ""
-                folded[_home(name, low), low.rstrip("."), mark + "." if low[-1] == "." else mark] += n
+                bare = low.rstrip(".")
+                if len(bare) > 2 and not bare[0].islower():
+                    bare = ""  # letters without case: counts as a word, and can be neither abbreviation nor starter
+                folded[_home(name, low), bare, mark + "." if low[-1] == "." else mark] += n
         rows += [(home, "word", w, mark, n) for (home, w, mark), n in folded.items()]
     for name, counter in pairs.items():
         folded = Counter()
@@ -340,7 +366,9 @@ def _counted(words: dict[str, Counter], pairs: dict[str, Counter]) -> pa.RecordB
             # upper-case starts are kept apart from others by the mark in front
             mark = "^" if after[0].isupper() else "_"
             b = "##" if after[0].isdigit() else after.lower()
-            folded[_home(name, b if a == "##" else a), a, mark + b] += n
+            home = _home(name, b if a == "##" else a)
+            # of words in lower case it counts only that there was one
+            folded[home, a, mark + (b if mark == "^" or b == "##" else "")] += n
         rows += [(home, "pair", a, b, n) for (home, a, b), n in folded.items()]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, COUNT_FIELDS, strict=True)], schema=COUNT_FIELDS)
@@ -362,8 +390,7 @@ def count_types(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                     words.setdefault(name, Counter()).update(t.split())
                     counter = pairs.setdefault(name, Counter())
                     for m in AFTER.finditer(t):
-                        at = m.start()
-                        before = LAST.search(t, max(0, at - 18), at)
+                        before = _last_word(t, m.start())
                         counter[(before[2].lower() if before[2] else "##") if before else "", m[1]] += 1
             if sum(map(len, words.values())) + sum(map(len, pairs.values())) > GATHERED:
                 yield _counted(words, pairs)
@@ -402,7 +429,7 @@ def learn(counts: DataFrame) -> DataFrame:
         F.sum("n").cast("double").alias("total"),
     )
     whole = words.groupBy("lang").agg(F.sum("total").alias("words"), F.sum("stopped").alias("stops"))
-    typed = words.join(F.broadcast(whole), "lang")  # one row for each language
+    typed = words.where("word <> ''").join(F.broadcast(whole), "lang")  # one row for each language
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
     periods = F.length("word") - F.length(F.replace(F.col("word"), F.lit("."))) + 1
     p_stop = F.col("stops") / F.col("words")

@@ -65,18 +65,29 @@ def test_learning_and_frames(spark):
 
 
 def test_every_word_of_every_text_is_counted(spark):
-    texts = ["¿Por qué? ¡No! f(list[str]): a.b/c.d one[two] cafe\u0301 e.g. x_y Mr.", "and/or (see) —dash— 3rd Dr.\xa0Who किताब", "Donaudampfschifffahrt\u3000next"]
+    texts = ["¿Por qué? ¡No! f(list[str]): a.b/c.d one[two] cafe\u0301 e.g. x_y Mr.", "and/or (see) —dash— 3rd Dr.\xa0Who किताब", "Donaudampfschifffahrtsgesellschaftskapitän. Достопримечательностями\u3000next"]
     rows = [(t, lang) for t in texts for lang in ("es", None, "und", "not known", "")]
     got = sentences.count_types(spark.createDataFrame(rows, "text string, lang string")).where("kind = 'word'").collect()
-    old = sentences.re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_])){0,14}\.?(?![\w])")
+    old = sentences.re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-](?=[^\W\d_]))*\.?(?![\w])")
     want = sentences.Counter()
     for w in (w for t in texts for w in old.findall(t)):
         want[w.lower().rstrip("."), "^" * w[0].isupper() + "." * w.endswith(".")] += 1
+    assert {("donaudampfschifffahrtsgesellschaftskapitän", "^."), ("достопримечательностями", "^")} <= want.keys()
     assert {("por", "^"), ("no", "^"), ("list", ""), ("c.d", ""), ("two", "")} <= want.keys()
     for lang, times in (("es", 1), ("", 4)):
         assert {(r["first"], r["second"]): r.n for r in got if r.lang == lang} == {k: n * times for k, n in want.items()}
 
 
+def test_long_words_are_learned(spark):
+    long = "verwaltungsgerichtsbarkeitsentscheidungen"
+    texts = [f"Hier ist es. {long.capitalize()} sind da. Das Haus ist alt. {long.capitalize()} gelten."] * 60 + [f"die {i} alten Sachen und das Haus ist es neu da hier alt" for i in range(60)]
+    df = spark.createDataFrame([(t, "de") for t in texts], "text string, lang string")
+    assert ("starter", long) in {(r.kind, r["first"]) for r in sentences.learn(sentences.count_types(df)).collect()}
+    pairs = sentences.count_types(spark.createDataFrame([(f"a {long}. B. {long.capitalize()} x", "de")], "text string, lang string")).where("kind = 'pair'")
+    assert {(r["first"], r["second"]) for r in pairs.collect()} == {(long, "^b"), ("b", "^" + long)}
+    assert sentences._before("x" * 500 + " " + "y" * 500, 1001, 0) == "y" * 500
+
+
 def test_texts_without_language_are_learned_from(spark):
     texts = ["The qv. value is set. The box holds qv. nine parts. Each part is new."] * 6 + ["set it new, new set for it as a set of more parts it has"] * 6
     df = spark.createDataFrame([(i, t, (None, "und", "??")[i % 3]) for i, t in enumerate(texts)] + [(50, "See qv. Reed now", "xx")], "doc_id bigint, text string, lang string")

@@ -5,8 +5,9 @@ largest is matched with the largest other one that still fits beside it. Smaller
 placed, largest first, each into the container with the least room that still takes it, and into a
 new one if there is none.
 
-Items of one size are alike, so the plan needs only the number of items of each size: at most
-``capacity`` numbers for each container kind, however many texts there are. The plan says which
+Items of one size are alike, so the plan of a container kind needs only the number of items of each
+size: at most ``capacity`` rows, however many texts there are. Each kind is planned in a Spark task
+of its own from that histogram, in time almost linear in the number of sizes. The plan says which
 ranks of a size go to which containers; Spark gives each item its rank within its size (by salted
 groups and their offsets, so that no size is in one task) and looks its container up.
 
@@ -23,14 +24,15 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 
-#: Bound of what the driver plans with and of the plan that is broadcast: the sum of all capacities.
-#: A plan has a few rows for each size, whatever the number of texts.
-MAX_SIZES = 200_000
+#: Rows up to which a plan is broadcast; a larger one is joined by shuffle. A plan has a few rows for
+#: each size, whatever the number of texts.
+BROADCAST_ROWS = 500_000
 
 PLAN = "budget_id int, size int, rank_from bigint, n bigint, container_from bigint, each int"
 
@@ -57,25 +59,40 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             gaps[gap].append([start, number])
 
     large = sorted(s for s in left if 3 * s > capacity)
-    while large:
-        size = large[-1]
-        at = bisect_left(large, capacity - size + 1) - 1
-        partner = large[at] if at >= 0 else None
-        if partner == size and left[size] < 2:
-            partner = large[at - 1] if at > 0 else None
-        if partner is None:
+    # below[i]: the place of the greatest size up to large[i - 1] that has items left; 0 for none
+    below = [*range(len(large) + 1)]
+
+    def last(i: int) -> int:
+        while below[i] != i:
+            below[i] = below[below[i]]
+            i = below[i]
+        return i
+
+    def drop(size: int) -> None:
+        if not left[size]:
+            i = bisect_left(large, size) + 1
+            below[i] = i - 1
+
+    while at := last(len(large)):
+        size = large[at - 1]
+        other = last(min(at, bisect_left(large, capacity - size + 1)))
+        if other == at and left[size] < 2:
+            other = last(at - 1)
+        if not other:
             n, room = left[size], capacity - size
             place(size, n, containers)
-        elif partner == size:
+        elif other == at:
             n, room = left[size] // 2, capacity - 2 * size
             place(size, 2 * n, containers, 2)
         else:
+            partner = large[other - 1]
             n, room = min(left[size], left[partner]), capacity - size - partner
             place(size, n, containers)
             place(partner, n, containers)
+            drop(partner)
+        drop(size)
         leave(room, containers, n)
         containers += n
-        large = [s for s in large if left[s]] if not (left[size] and (partner is None or left[partner])) else large
 
     for size in sorted((s for s in left if left[s]), reverse=True):
         while left[size]:
@@ -119,37 +136,47 @@ def _salt(salts: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int")
 
 
+def planned(histogram: DataFrame) -> DataFrame:
+    """The plan (PLAN) of every container kind. ``histogram``: budget_id, capacity, size, n; a kind has
+    at most ``capacity`` rows, which one task takes together."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        placed = plan(dict(zip(map(int, rows["size"]), map(int, rows["n"]), strict=True)), int(key[1]))
+        out = pd.DataFrame(placed, columns=["size", "rank_from", "n", "container_from", "each"])
+        out.insert(0, "budget_id", key[0])
+        return out
+
+    return histogram.groupBy("budget_id", "capacity").applyInPandas(run, PLAN)
+
+
 def pack(sizes: DataFrame, budgets: DataFrame, salts: int | None = None) -> DataFrame:
     """The container of every item. ``sizes``: doc_id, n_tokens. ``budgets``: budget_id, capacity.
 
-    ``budgets`` is a fixed small dimension; the sum of its capacities may not exceed MAX_SIZES.
+    ``budgets`` is a small dimension of at most 1,000 container kinds; capacities have no bound.
     """
     spark = sizes.sparkSession
     kinds = {r.budget_id: r.capacity for r in budgets.where("capacity > 0").limit(1_001).collect()}
-    if len(kinds) > 1_000 or sum(kinds.values()) > MAX_SIZES:
-        raise ValueError("too many container sizes for one plan")
+    if len(kinds) > 1_000:
+        raise ValueError("budgets is no small dimension")
     if not kinds:
         raise ValueError("no container has a capacity")
     items = pieces(kept(sizes), kinds)
     salts = salts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = items.withColumn("salt", _salt(salts))
 
-    grouped = items.groupBy("budget_id", "size", "salt").count()
+    # kept: at most one row for each kind, size and salt; the plan and the offsets come from it
+    grouped = kept(items.groupBy("budget_id", "capacity", "size", "salt").agg(F.count("*").alias("n")))
     offsets = grouped.withColumn(
-        "offset", F.sum("count").over(Window.partitionBy("budget_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+        "offset", F.sum("n").over(Window.partitionBy("budget_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     ).select("budget_id", "size", "salt", F.coalesce("offset", F.lit(0)).alias("offset"))
-
-    counts: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in items.where("size > 0").groupBy("budget_id", "size").count().collect():  # at most one row for each size up to the capacity
-        counts[r.budget_id][r["size"]] = r["count"]
-    placed = [(b, *row) for b, c in kinds.items() for row in plan(counts[b], c)]
-    table = spark.createDataFrame(placed, PLAN)
+    table = kept(planned(grouped.where("size > 0").groupBy("budget_id", "capacity", "size").agg(F.sum("n").alias("n"))))
+    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
     within = Window.partitionBy("budget_id", "size", "salt").orderBy("doc_id", "piece_no")
     ranked = items.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["budget_id", "size", "salt"]).withColumn("rank", F.col("r") + F.col("offset"))
     found = (ranked["budget_id"] == table["budget_id"]) & (ranked["size"] == table["size"]) & (ranked["rank"] >= table["rank_from"]) & (ranked["rank"] < table["rank_from"] + table["n"])
     container = (table["container_from"] + F.floor((ranked["rank"] - table["rank_from"]) / table["each"])).cast("bigint")
-    return ranked.join(F.broadcast(table), found, "left").select(
+    return ranked.join(side, found, "left").select(
         ranked["budget_id"],
         ranked["doc_id"],
         ranked["piece_no"].cast("int").alias("piece_no"),

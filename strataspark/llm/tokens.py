@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
+
 #: Where the public vocabularies lie; every function takes another place as a parameter.
 VOCABULARIES = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,7 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 CACHE_PIECES = 300_000
 
-#: Rows handed to Python at a time; texts may be long.
+#: Rows worked on at a time; texts may be long.
 BATCH_ROWS = 1_000
 
 
@@ -162,19 +164,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def small_batches(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def encode(df: DataFrame, key: str, text: str = "text", folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
     """``key`` and ``ids`` (ARRAY<INT>) of every row."""
     path = f"{folder}/{name}"
-    small_batches(df)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(path).packed
-        for batch in batches:
+        for batch in sliced(batches, BATCH_ROWS):
             parts = [packed(t) if t else b"" for t in batch.column(1).to_pylist()]
             sizes = pa.array([0, *(len(p) // 4 for p in parts)], pa.int32())
             offsets = pc.cumulative_sum(sizes).cast(pa.int32())
@@ -187,12 +184,11 @@ def encode(df: DataFrame, key: str, text: str = "text", folder: str = VOCABULARI
 def counts(df: DataFrame, key: str, text: str = "text", folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
     """``key`` and ``n_tokens`` (INT) of every row; the ids stay in the Python worker."""
     path = f"{folder}/{name}"
-    small_batches(df)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(path).packed
-        for batch in batches:
+        for batch in sliced(batches, BATCH_ROWS):
             sizes = [len(packed(t)) // 4 if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32())], names=[key, "n_tokens"])
 

@@ -77,3 +77,15 @@ def test_pack(spark):
         assert max(load.values()) <= capacity and len(load) == least and sum(load.values()) == 55
         assert [(r.piece_no, r.first_token, r["size"]) for r in sorted((r for r in mine if r.doc_id == 4), key=lambda r: r.piece_no)] == ([(0, 0, 10), (1, 10, 10), (2, 20, 5)] if budget == 1 else [(0, 0, 25)])
     assert packing.pack(sizes.limit(0), budgets).count() == 0
+
+
+def test_any_capacity_and_plans_too_large_to_broadcast(spark, monkeypatch):
+    sizes = spark.createDataFrame([(i, 1 + i * 7919 % 400_000) for i in range(300)], "doc_id bigint, n_tokens int")
+    budgets = spark.createDataFrame([(1, 262_144), (2, 1_000)], "budget_id int, capacity int")
+    want = sorted(map(tuple, packing.pack(sizes, budgets).collect()))
+    load = Counter()
+    for budget, _, _, _, size, container in want:
+        load[budget, container] += size
+    assert all(n <= {1: 262_144, 2: 1_000}[b] for (b, _), n in load.items())
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, packing.pack(sizes, budgets).collect())) == want

@@ -3,19 +3,25 @@
 Re-Pair grammars. The tokens of a file, names and literals reduced to their kind, are paired round
 by round: every round replaces the pairs that occur most often by a rule, until no pair occurs three
 times. The size of the grammar beside the length of the file tells how often its rules are reused:
-what a tool writes reuses a few rules all over. Where the file is little but literals and the
-literals themselves hardly compress, it is data.
-
-For copies between repositories the terminals are lines of tokens, and the rules are found over the
-whole corpus: three lines that follow each other in files of two projects are a shared rule. Spark
-counts them by the hash of what they expand to; only the least and the greatest project of a rule
-are kept, so the count combines before the shuffle and no rule's files are gathered anywhere. The
-share of a file's rules that other projects have decides on vendoring.
-
-What a file says of itself in its head is read as well.
+what a tool writes reuses a few rules all over. Where a file is little but literals, the same grammar
+over their characters tells how many bits each of them takes: literals that hardly get shorter are data.
+
+For copies between repositories the terminals are lines, and which pairs become rules is decided
+alike in every file: in each round a pair of symbols is replaced where its hash is the least among
+its neighbours. A rule is named by the hash of what it derives, so a stretch of lines that stands in
+two files gives the same rules in both, without a table of rules that all tasks would share. Spark
+counts the rules over the whole corpus, with only the least and the greatest project of each, so the
+count combines before the shuffle and the files of a rule are gathered nowhere. The share of a file's
+lines below rules that another project has decides on vendoring; a patch breaks the rules around it
+and no others.
+
+What a file says of itself in its head and what its path says is reported beside the verdict. Signs
+of a copy decide nothing. Signs of a tool do, beside the grammar, as the output of many tools has no
+more rule reuse than what people write; the README says how many files they alone decide.
 
 Defined cases
     * Null and blank code is hand-written. Files of no rule at all are judged by their head alone.
+    * Rule reuse is judged from ``TOKENS`` tokens on; below, a plain list would pass for a tool's work.
     * Redelivered files and requests count once.
     * Paths that are null, empty or name no file are no cases; several spellings of a path are one.
     * Skip types are read without case and with or without the dot; null ones and those of more
@@ -24,8 +30,8 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,21 +41,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-
-BATCH_ROWS = 500
-#: Lines in a rule over lines; share of shared rules that makes a copy; the same beside other signs.
-PHRASE, SHARED, SHARED_SIGNED = 3, 0.75, 0.25
-#: Words (names and keywords) up to which a file can be data and nothing else.
-DATA_WORDS = 20
-#: Rules that a file must have to be judged by their share alone.
-ENOUGH = 5
+from .batches import sliced
+
+#: Rounds of pairing over lines whose rules are compared between projects; their rules derive three
+#: to eight lines, so that two lines that any project may write make no copy.
+ROUNDS = (2, 3)
+#: Share of the lines below rules of another project that makes a copy.
+SHARED = 0.35
+#: Letters in words beside literals, as a share of the literals' signs, up to which a file can be data;
+#: bits that a sign of its literals takes at least.
+DATA_WORDS, DATA_BITS = 0.1, 2.0
+#: Tokens from which on rule reuse is judged.
+TOKENS = 60
+#: Parts into which the rows of a rule are cut where they meet the shared rules.
+SALTS = 8
 
 #: Grammar size beside length under which a file of a language is taken as written by a tool.
-REUSE = {"py": 0.42, "js": 0.45, "mjs": 0.45, "ts": 0.45, "java": 0.36, "go": 0.40, "cpp": 0.34, "cc": 0.34, "cxx": 0.34, "h": 0.34, "hpp": 0.34, "css": 0.3}
-#: The same for files whose path says that a tool wrote them.
-REUSE_SIGNED = {"py": 0.55, "js": 0.55, "mjs": 0.55, "ts": 0.55, "java": 0.45, "go": 0.5, "cpp": 0.5, "cc": 0.5, "cxx": 0.5, "h": 0.48, "hpp": 0.48, "css": 0.45}
+REUSE = {"py": 0.42, "js": 0.45, "mjs": 0.45, "ts": 0.45, "java": 0.36, "go": 0.40, "cpp": 0.34, "cc": 0.34, "cxx": 0.34, "h": 0.34, "hpp": 0.34, "css": 0.3, "html": 0.2, "htm": 0.2}
+#: The same for all other suffixes.
+REUSE_OTHER = 0.2
 TOOL_PATH = re.compile(r"(?:^|/)(?:gen|generated|autogen|__generated__)/|\.(?:g|pb|gen|generated|designer)\.\w+$|_pb2?\.\w+$|_generated\.\w+$")
-CODE = set(REUSE) | {"html", "htm"}
+CONFIGURATION = {"json", "yaml", "yml", "ini", "cfg", "conf", "toml", "properties", "env", "xml", "md", "txt"}
+_TEXTS = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`"
+COMMENT = {"py": re.compile(_TEXTS + r"|(#[^\r\n]*)"), "css": re.compile(_TEXTS + r"|(/\*[\s\S]*?\*/)"), "html": re.compile(r"(<!--[\s\S]*?-->)"), "": re.compile(_TEXTS + r"|(//[^\r\n]*|/\*[\s\S]*?\*/)")}
 MINIFIABLE = {"js", "mjs", "ts", "css", "html", "htm"}
 
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\sA-Za-z0-9_]")
@@ -58,27 +72,34 @@ KEYWORDS = frozenset(
     "if else for while return function class def import from const let var public private static void int new in of not and or is None self this try except catch finally "
     "switch case default break continue func package type struct interface map range go defer nil throw throws with as async await lambda yield pass raise match export extends final".split()
 )
+#: Ways in which a head says that a tool wrote the file, and that it is a copy of something released.
 SAYS_TOOL = re.compile(
-    r"(?i)\bcode generated by|auto-?generated\b|automatically generated|\bgenerated (?:on|from|by)\b|@generated\b|machine-(?:made|generated)|edits vanish|\brebuilt by\b"
-    r"|\bdo not (?:edit|modify|touch)\b(?! the)|\bproduced by \S+ from\b|automatisch (?:erzeugt|generiert)|généré(?:e)? automatiquement|generado automáticamente|создан автоматически|自动生成|自動生成"
+    r"(?i)\bauto-?(?:matically )?generated\b|@generated\b|\bmachine[- ](?:made|generated|written|produced)\b|\b(?:re)?(?:generated|built|compiled|produced|emitted) (?:automatically )?(?:by|from)\b|\bgenerated on\b"
+    r"|\bdo not (?:edit|modify|touch)\b(?! the)|\b(?:edits?|changes)\b[^.\n]{0,60}\b(?:lost|overwritten|vanish|discarded|undone)\b"
+    r"|automatisch (?:erzeugt|generiert)|généré(?:e)? automatiquement|generado automáticamente|создан автоматически|自动生成|自動生成"
 )
-SAYS_COPY = re.compile(r"(?i)\b(?:part of|this is) [\w-]+,? (?:release |version )?v?\d+\.\d+(?:\.\d+)?\b|\bupstream home\b|redistribution in source form|list of \w+ authors|(?:^|\W)[\w-]+ v?\d+\.\d+\.\d+ (?:\||- an? )|copyright \(c\) \d{4} the [\w-]+ contributors")
+SAYS_COPY = re.compile(r"(?i)\b(?:part of|this is) [\w-]+,? (?:release |version )?v?\d+\.\d+(?:\.\d+)?\b|\bupstream\b|redistribution in source|(?:^|\W)[\w-]+ v?\d+\.\d+\.\d+ (?:\||- an? )|copyright \(c\) \d{4} the [\w-]+ (?:contributors|authors)")
 COPY_PATH = re.compile(r"(?:^|/)(?:vendor|vendored|_vendor|third_?party|3rdparty|extern|external|deps|node_modules|bower_components|site-packages)/.+/|/[A-Za-z][\w-]*-\d+\.\d+\.\d+/")
 COMMON = re.compile(r"#\s*(?:include|pragma)\b|import\b|from\b.*\bimport\b|package\b|using\b|\"[a-z/]+\"$|\} (?:else|catch|finally)\b|else\b|return\b.{0,12}$|default:|break;|continue;|<(?:!doctype|/?(?:html|head|body|ul|ol|div|section|table|tr)\b[^>]*>$|meta\b)", re.IGNORECASE)
 HEAD = re.compile(r"(?:\s|﻿|<!DOCTYPE[^>]*>|#![^\n]*\n|//[^\r\n]*|#(?!include|define|pragma|if|import)[^\r\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|--[^\r\n]*)*", re.IGNORECASE)
 
-FEATURES = "file_id bigint, project_id string, file_path string, tool boolean, minified boolean, data boolean, says_copy boolean, ratio double, phrases array<bigint>"
+FEATURES = (
+    "file_id bigint, project_id string, file_path string, says_tool boolean, minified boolean, data boolean, says_copy boolean, ratio double, reused boolean, n_lines int, "
+    "rules array<struct<rule: bigint, n: int>>"
+)
 FIELDS = pa.schema(
     [
         ("file_id", pa.int64()),
         ("project_id", pa.string()),
         ("file_path", pa.string()),
-        ("tool", pa.bool_()),
+        ("says_tool", pa.bool_()),
         ("minified", pa.bool_()),
         ("data", pa.bool_()),
         ("says_copy", pa.bool_()),
         ("ratio", pa.float64()),
-        ("phrases", pa.list_(pa.int64())),
+        ("reused", pa.bool_()),
+        ("n_lines", pa.int32()),
+        ("rules", pa.list_(pa.struct([("rule", pa.int64()), ("n", pa.int32())]))),
     ]
 )
 
@@ -107,8 +128,9 @@ _KINDS = _Kinds()
 KINDS = 200_000
 
 
-def grammar(kinds: list[int]) -> tuple[int, int]:
-    """Rules and length of the start string of a Re-Pair grammar, several rules found in each round."""
+def grammar(kinds: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
+    """A Re-Pair grammar, several rules found in each round: rules by the pair that they derive (their
+    symbols are negative), and the start string."""
     rules: dict[tuple[int, int], int] = {}
     seq = kinds
     while len(seq) > 1:
@@ -137,112 +159,148 @@ def grammar(kinds: list[int]) -> tuple[int, int]:
         if len(out) == len(seq):
             break
         seq = out
-    return len(rules), len(seq)
+    return rules, seq
+
 
+def derived(rules: dict[tuple[int, int], int], start: list[int]) -> list[int]:
+    """What a grammar derives."""
+    right = {symbol: pair for pair, symbol in rules.items()}
+    out, todo = [], start[::-1]
+    while todo:
+        symbol = todo.pop()
+        if symbol in right:
+            todo += right[symbol][::-1]
+        else:
+            out.append(symbol)
+    return out
+
+
+def bits(text: str) -> float:
+    """Bits that a character takes when a text is written as its grammar."""
+    rules, start = grammar([*map(ord, text)])
+    symbols = len(rules) + len(set(text))
+    return (len(start) + 2 * len(rules)) * math.log2(max(symbols, 2)) / max(len(text), 1)
 
-def phrases(code: str) -> list[int]:
-    """Hashes of every three lines that follow each other; lines of signs alone and imports, which
-    files of any project share, are passed over."""
-    lines = [x for x in (line.strip() for line in code.splitlines()) if len(x) > 3 and not COMMON.match(x)]
+
+def line_rules(code: str) -> tuple[int, list[tuple[int, int]]]:
+    """Lines that count, and the rules over them of ROUNDS: the hash of what a rule derives and the
+    number of its lines. Lines of signs alone and imports, which files of any project share, are passed over."""
     hashed = xxhash.xxh3_64_intdigest
-    found = {hashed("\n".join(lines[i : i + PHRASE])) for i in range(len(lines) - PHRASE + 1)}
-    return [h - (1 << 63) for h in found]
-
-
-def _is_data(code: str, tokens: list[str]) -> bool:
-    """Hardly a word, and numbers or long texts that hardly compress: data written as code."""
-    words = 0
-    for t in tokens:
-        if t[0].isalpha() or t[0] in "_$":
-            words += 1
-            if words > DATA_WORDS:
-                return False
-    literals = [t for t in tokens if t[0] in "\"'`0123456789"]
-    if not literals:
+    seq = [(hashed(x), 1) for x in map(str.strip, code.splitlines()) if len(x) > 3 and not COMMON.match(x)]
+    lines = len(seq)
+    out: list[tuple[int, int]] = []
+    for level in range(1, max(ROUNDS) + 1):
+        last = len(seq) - 1
+        if last < 1:
+            break
+        pairs = [hashed(a.to_bytes(8) + b.to_bytes(8)) for (a, _), (b, _) in zip(seq, seq[1:])]
+        new: list[tuple[int, int]] = []
+        i = 0
+        while i <= last:
+            if i < last and (i == 0 or pairs[i] < pairs[i - 1]) and (i == last - 1 or pairs[i] <= pairs[i + 1]):
+                rule = (pairs[i], seq[i][1] + seq[i + 1][1])
+                new.append(rule)
+                if level in ROUNDS:
+                    out.append(rule)
+                i += 2
+            else:
+                new.append(seq[i])
+                i += 1
+        seq = new
+    return lines, [(h - (1 << 63), n) for h, n in out]
+
+
+def _is_data(code: str, kind: str) -> bool:
+    """Hardly a word beside literals, and literals that hardly get shorter by a grammar; comments do not count."""
+    pattern = COMMENT.get("html" if kind == "htm" else kind, COMMENT[""])
+    code = pattern.sub(lambda m: " " if m[1] else m[0], code)
+    tokens = TOKEN.findall(code)
+    # prose in quotes is no data
+    literals = [t for t in tokens if t[0] in "\"'`0123456789" and (len(t) > 1 or t.isdigit()) and t.count(" ") * 15 <= len(t)]
+    size = sum(map(len, literals))
+    if not literals or size < 0.5 * (len(code) - sum(map(code.count, " \t\r\n"))):
+        return False
+    if sum(len(t) for t in tokens if t[0].isalpha() or t[0] in "_$") > DATA_WORDS * size:
         return False
     numbers = sum(t[0].isdigit() for t in literals)
-    long = sum(len(t) for t in literals if len(t) >= 60)
-    size = sum(map(len, literals))
-    solid = len(code) - sum(map(code.count, " \t\r\n"))
-    if size < 0.5 * solid or numbers < 60 and long < 600:
+    if numbers < TOKENS and sum(len(t) for t in literals if len(t) >= 60) < 10 * TOKENS:
         return False
-    return len(zlib.compress("".join(literals).encode("utf-8", "replace"), 1)) > 0.25 * size
+    return bits("".join(literals)) >= DATA_BITS
 
 
-def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, list[int]]:
-    """tool, minified, data, says_copy, ratio and phrases of one file."""
+def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, bool, int, list[tuple[int, int]]]:
+    """says_tool, minified, data, says_copy, ratio, reused, n_lines and rules of one file."""
     kind = path.rsplit(".", 1)[-1].lower()
     head = HEAD.match(code)[0]
     says_tool = SAYS_TOOL.search(head) is not None
     says_copy = SAYS_COPY.search(head) is not None
     ratio, minified, data = 1.0, False, False
-    if kind in CODE and (kind in ("html", "htm") or not code.lstrip("﻿ \t\r\n").startswith("<")):
+    markup = kind in ("html", "htm")
+    if markup or not code.lstrip("﻿ \t\r\n").startswith("<"):
         tokens = TOKEN.findall(code)
-        n = len(tokens)
-        if n >= 60 and kind in REUSE:
+        if len(tokens) >= TOKENS:
             if len(_KINDS) > KINDS:
                 _KINDS.clear()
             rules, start = grammar([_KINDS[t] for t in tokens])
-            ratio = (2 * rules + start) / n
-        data = _is_data(code, tokens)
-        if kind in MINIFIABLE and len(code) > 400:
+            ratio = (2 * len(rules) + len(start)) / len(tokens)
+        if kind not in CONFIGURATION:
+            data = _is_data(code, kind)
+        if kind in MINIFIABLE:
             bare = TEXT.sub('""', code)  # a long text in a line makes no minified file
             long = sum(len(x) for x in bare.splitlines() if len(x) > 300)
             blanks = sum(map(bare.count, " \t\n"))
             minified = long > 0.6 * len(bare) and blanks < 0.12 * len(bare)
-    limits = REUSE_SIGNED if TOOL_PATH.search(path.replace("\\", "/")) else REUSE
-    tool = says_tool or ratio < limits.get(kind, 0)
-    return tool, minified, data, says_copy, ratio, phrases(code)
+    return says_tool, minified, data, says_copy, ratio, ratio < REUSE.get(kind, REUSE_OTHER), *line_rules(code)
 
 
 def judge_files(files: DataFrame) -> DataFrame:
-    """Features of every file once (FEATURES)."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Features of every row (FEATURES); redelivered files come as often as they were delivered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for f, project, path, code in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if code and code.strip("﻿ \t\r\n\x0b\x0c\xa0"):
-                    rows.append((f, project, path, *features(code, path or "")))
+                    *signs, rules = features(code, path or "")
+                    rows.append((f, project, path, *signs, [{"rule": h, "n": n} for h, n in rules]))
                 else:
-                    rows.append((f, project, path, False, False, False, False, 1.0, []))
+                    rows.append((f, project, path, False, False, False, False, 1.0, False, 0, []))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(FIELDS)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
 
     chosen = files.select(F.col("file_id").cast("bigint"), "project_id", "file_path", F.col("code").cast("string"))
-    return chosen.mapInArrow(run, FEATURES).dropDuplicates(["file_id"])
+    return chosen.mapInArrow(run, FEATURES)
 
 
-def shared_phrases(judged: DataFrame) -> DataFrame:
+def shared_rules(judged: DataFrame) -> DataFrame:
     """Rules over lines that occur in more than one project."""
-    each = judged.where("project_id is not null").select(F.xxhash64("project_id").alias("project"), F.explode("phrases").alias("phrase"))
-    return each.groupBy("phrase").agg(F.min("project").alias("a"), F.max("project").alias("b")).where("a < b").select("phrase")
+    each = judged.where("project_id is not null").select(F.xxhash64("project_id").alias("project"), F.explode("rules.rule").alias("rule"))
+    return each.groupBy("rule").agg(F.min("project").alias("a"), F.max("project").alias("b")).where("a < b").select("rule")
 
 
 def verdicts(judged: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """file_id, the signs, the share of shared rules, and ``reason`` (null for hand-written files).
+    """file_id, the signs, the share of lines below shared rules, and ``reason`` (null for hand-written files).
 
     ``wanted`` (file_id) restricts the verdicts; the shared rules are those of all files.
     """
     judged = kept(judged)
     chosen = judged if wanted is None else judged.join(wanted.distinct(), "file_id", "left_semi")
-    hits = (
-        chosen.select("file_id", F.explode("phrases").alias("phrase"))
-        .join(shared_phrases(judged), "phrase", "left_semi")
-        .groupBy("file_id")
-        .agg(F.count("*").alias("hits"))
-    )
+    # the rows of a rule are cut by file, so that a rule of very many files is not one task
+    own = chosen.select("file_id", F.explode("rules").alias("r")).select("file_id", "r.rule", "r.n", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt"))
+    known = shared_rules(judged).select("rule", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    hits = own.join(known, ["rule", "salt"], "left_semi").groupBy("file_id").agg(F.sum("n").alias("hits"))
+    names = ["project_id", "file_path", "says_tool", "minified", "data", "says_copy", "ratio", "reused", "n_lines"]
+    weight = F.aggregate("rules", F.lit(0), lambda a, r: a + r["n"])
+    # a file that was delivered twice has its rules twice, on both sides of the share
+    signs = chosen.groupBy("file_id").agg(*[F.first(c).alias(c) for c in names], F.sum(weight).alias("weight"))
     path = F.concat(F.lit("/"), F.regexp_replace("file_path", r"\\", "/"))
-    signed = F.col("says_copy") | path.rlike(COPY_PATH.pattern)
-    share = F.coalesce(F.col("hits") / F.greatest(F.size("phrases"), F.lit(1)), F.lit(0.0))
-    reason = (
-        F.when(F.col("data"), "data")
-        .when(F.col("minified"), "minified")
-        .when((share >= SHARED) & (F.size("phrases") >= ENOUGH) | (share >= SHARED_SIGNED) & signed | F.col("says_copy"), "vendored")
-        .when(F.col("tool"), "generated")
+    share = F.coalesce(F.col("hits") / F.greatest(F.col("weight"), F.lit(1)), F.lit(0.0))
+    tool_path = F.coalesce(path.rlike(TOOL_PATH.pattern), F.lit(False))
+    tool = F.col("reused") | F.col("says_tool") | tool_path & (F.col("n_lines") > 0)
+    reason = F.when(F.col("data"), "data").when(F.col("minified"), "minified").when(share >= SHARED, "vendored").when(tool, "generated")
+    return signs.join(hits, "file_id", "left").select(
+        "file_id", *names, path.rlike(COPY_PATH.pattern).alias("copy_path"), tool_path.alias("tool_path"), share.alias("share"), reason.alias("reason")
     )
-    return chosen.join(hits, "file_id", "left").select("file_id", "project_id", "file_path", "tool", "minified", "data", "says_copy", "ratio", share.alias("share"), reason.alias("reason"))
 
 
 def clean_path(path: Column) -> Column:

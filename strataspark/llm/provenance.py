@@ -287,7 +287,7 @@ def verdicts(judged: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     chosen = judged if wanted is None else judged.join(wanted.distinct(), "file_id", "left_semi")
     # the rows of a rule are cut by file, so that a rule of very many files is not one task
     own = chosen.select("file_id", F.explode("rules").alias("r")).select("file_id", "r.rule", "r.n", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt"))
-    known = shared_rules(judged).select("rule", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    known = shared_rules(judged).select("rule", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     hits = own.join(known, ["rule", "salt"], "left_semi").groupBy("file_id").agg(F.sum("n").alias("hits"))
     names = ["project_id", "file_path", "says_tool", "minified", "data", "says_copy", "ratio", "reused", "n_lines"]
     weight = F.aggregate("rules", F.lit(0), lambda a, r: a + r["n"])

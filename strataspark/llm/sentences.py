@@ -329,8 +329,8 @@ def _last_word(text: str, at: int) -> re.Match | None:
 #: Distinct spellings that a task gathers before it passes them on.
 GATHERED = 400_000
 
-COUNTS = "lang string, kind string, first string, second string, n bigint"
-COUNT_FIELDS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("first", pa.string()), ("second", pa.string()), ("n", pa.int64())])
+COUNTS = "lang string, kind string, first string, second string, n bigint, stopped bigint, lower bigint"
+COUNT_FIELDS = pa.schema([(x, pa.string()) for x in ("lang", "kind", "first", "second")] + [(x, pa.int64()) for x in ("n", "stopped", "lower")])
 
 
 def language(column: Column) -> Column:
@@ -348,29 +348,51 @@ def _home(lang: str, word: str) -> str:
 
 
 def _counted(words: dict[str, Counter], pairs: dict[str, Counter]) -> pa.RecordBatch:
+    """Counts under each language, and under '' those of all texts together."""
     rows = []
+    whole: dict[str, list[int]] = {}
     for name, counter in words.items():
-        folded: Counter = Counter()
+        folded: dict[tuple[str, str], list[int]] = {}
         for piece, n in counter.items():
             for w in WORDS.findall(piece):
                 low = w.lower()
-                mark = "^" if w[0].isupper() else ""
                 bare = low.rstrip(".")
                 if len(bare) > 2 and not bare[0].islower():
                     bare = ""  # letters without case: counts as a word, and can be neither abbreviation nor starter
-                folded[_home(name, low), bare, mark + "." if low[-1] == "." else mark] += n
-        rows += [(home, "word", w, mark, n) for (home, w, mark), n in folded.items()]
+                stopped = n if low[-1] == "." else 0
+                small = 0 if w[0].isupper() else n
+                home = _home(name, low)
+                at = folded.get((home, bare))
+                if at is None:
+                    folded[home, bare] = [n, stopped, small]
+                else:
+                    at[0] += n
+                    at[1] += stopped
+                    at[2] += small
+        for (home, word), (n, stopped, small) in folded.items():
+            at = whole.setdefault(word, [0, 0, 0])
+            at[0] += n
+            at[1] += stopped
+            at[2] += small
+            if home:
+                rows.append((home, "word", word, "", n, stopped, small))
+    rows += [("", "word", word, "", *ns) for word, ns in whole.items()]
+    across: Counter = Counter()
     for name, counter in pairs.items():
-        folded = Counter()
+        seen: Counter = Counter()
         for (a, after), n in counter.items():
             # upper-case starts are kept apart from others by the mark in front
             mark = "^" if after[0].isupper() else "_"
             b = "##" if after[0].isdigit() else after.lower()
             home = _home(name, b if a == "##" else a)
             # of words in lower case it counts only that there was one
-            folded[home, a, mark + (b if mark == "^" or b == "##" else "")] += n
-        rows += [(home, "pair", a, b, n) for (home, a, b), n in folded.items()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            seen[home, a, mark + (b if mark == "^" or b == "##" else "")] += n
+        for (home, a, b), n in seen.items():
+            across[a, b] += n
+            if home:
+                rows.append((home, "pair", a, b, n, 0, 0))
+    rows += [("", "pair", a, b, n, 0, 0) for (a, b), n in across.items()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(COUNT_FIELDS)
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, COUNT_FIELDS, strict=True)], schema=COUNT_FIELDS)
 
 
@@ -378,7 +400,7 @@ def count_types(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """How often each type stands with and without a period, and each pair across a period.
 
     No word holds a blank, so the words of a text are those of its pieces between blanks, and each
-    distinct piece is searched once. Texts of no known language are counted under ''.
+    distinct piece is searched once. Under '' stand the counts of all texts, with those of no known language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +420,7 @@ def count_types(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         yield _counted(words, pairs)
 
     parts = docs.select(language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, COUNTS)
-    return parts.groupBy("lang", "kind", "first", "second").agg(F.sum("n").alias("n"))
+    return parts.groupBy("lang", "kind", "first", "second").agg(*[F.sum(x).alias(x) for x in ("n", "stopped", "lower")])
 
 
 def _xlogy(x: Column, y: Column) -> Column:
@@ -421,13 +443,7 @@ def _ratio(count_a: Column, count_b: Column, count_ab: Column, n: Column) -> Col
 def learn(counts: DataFrame) -> DataFrame:
     """Rows (lang, kind, first, second): abbreviations, starters and collocations of each language,
     and under '' those of all texts together, with those of no known language among them."""
-    pooled = counts.groupBy("kind", "first", "second").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(""))
-    counts = counts.where("lang <> ''").unionByName(pooled)
-    words = counts.where("kind = 'word'").groupBy("lang", F.col("first").alias("word")).agg(
-        F.sum(F.when(F.col("second").endswith("."), F.col("n")).otherwise(0)).cast("double").alias("stopped"),
-        F.sum(F.when(F.col("second").startswith("^"), 0).otherwise(F.col("n"))).cast("double").alias("lower"),
-        F.sum("n").cast("double").alias("total"),
-    )
+    words = counts.where("kind = 'word'").select("lang", F.col("first").alias("word"), *[F.col(c).cast("double").alias(x) for c, x in (("stopped", "stopped"), ("lower", "lower"), ("n", "total"))])
     whole = words.groupBy("lang").agg(F.sum("total").alias("words"), F.sum("stopped").alias("stops"))
     typed = words.where("word <> ''").join(F.broadcast(whole), "lang")  # one row for each language
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import regex
 
@@ -574,90 +575,155 @@ MAKERS = {
 #: Logical lines. A line becomes one sign for what it is; indented blocks are then parsed as brackets.
 _LINES = r"""
 start   <- simple
-name    <- ID / 'match' / 'case' / 'type'
+name    <- ID / '_' / 'match' / 'case' / 'type'
+num     <- NUM / IMAG
+text    <- STR+ !BYTES / BYTES+ !STR
 simple  <- small (';' small)* ';'?
-small   <- 'pass' / 'break' / 'continue' / 'return' exprs? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') name (',' name)* / 'del' targets ','? / 'assert' expr (',' expr)?
-        / 'import' dotted ('as' name)? (',' dotted ('as' name)?)* / 'from' ('.' / '...')* dotted? 'import' ('*' / P:imported / imported) / 'type' name S:tparams? '=' expr !'=' / assign
+small   <- 'pass' / 'break' / 'continue' / 'return' exprs? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') name (',' name)* / 'del' dels / 'assert' expr (',' expr)?
+        / 'import' dotted ('as' name)? (',' dotted ('as' name)?)* / 'from' (DOTS* dotted / DOTS+) 'import' ('*' / P:imported / imports) / alias / assign
+DOTS    <- '.' / '...'
+alias   <- 'type' name S:tparams? '=' expr !'=' &DONE
+DONE    <- ';' / EOF
 dotted  <- name ('.' name)*
-imported <- name ('as' name)? (',' name ('as' name)?)* ','?
-assign  <- target ':' expr ('=' (yield / exprs))? EOF / exprs (AUG (yield / exprs) / ('=' (yield / exprs))+)? / yield ('=' exprs)*
-target  <- prim post*
+imports <- name ('as' name)? (',' name ('as' name)?)*
+imported <- imports ','?
+assign  <- annot ':' expr ('=' (yield / exprs))? &DONE / (targets '=')+ (yield / exprs) !'=' / single AUG (yield / exprs) / yield !'=' / exprs !'='
+annot   <- name !POST / P:single !POST / prim post+ NOCALL
+single  <- name !POST / P:single !POST / prim post+ NOCALL
+POST    <- '.' / ANYP / ANYS
+atom    <- name !POST / P:tuple !POST / S:targets0 !POST / prim post+ NOCALL
+target  <- '*' !'*' target / atom
+targets <- target (',' target)* ','?
+targets0 <- targets?
+tuple   <- target ',' targets? / atom / EOF
+dels    <- del (',' del)* ','?
+dels0   <- dels?
+del     <- name !POST / P:dels0 !POST / S:dels0 !POST / prim post+ NOCALL
 yield   <- 'yield' ('from' expr / exprs)?
-targets <- '*'? target (',' '*'? target)* 
 exprs   <- star (',' star)* ','?
-star    <- '*' disj / named
-named   <- name ':=' expr / expr
+star    <- '*' bits / expr
+nstars  <- nstar (',' nstar)* ','?
+nstar   <- '*' bits / named
+named   <- name ':=' expr / expr !':='
 expr    <- 'lambda' lparams ':' expr / disj ('if' disj 'else' expr)?
-disj    <- unary (BIN unary)*
-BIN     <- OP / '*' / '-' / '+' / '**' / '@' / 'not' 'in' / 'in' / 'is' 'not'? / '/'
-unary   <- ('not' / '-' / '+' / '~' / 'await')* prim post*
-prim    <- name / NUM / STR+ / CONST / '...' / P:group / S:list / B:dict / 'lambda' lparams ':' expr
+disj    <- inv (('and' / 'or') inv)*
+inv     <- 'not'* unary ((BIN / CMP / 'in' / 'not' 'in' / 'is' 'not'?) unary)*
+bits    <- unary (BIN unary)*
+BIN     <- OP / '*' / '-' / '+' / '**' / '@' / '/' / '|'
+unary   <- ('-' / '+' / '~')* 'await'? prim post*
+prim    <- name / num / text / CONST / '...' / P:group / S:list / B:dict
 post    <- '.' name / P:args / S:slices
-group   <- (yield / star (comp / (',' star)* ','?))?
-list    <- (star (comp / (',' star)* ','?))?
-dict    <- ((item (comp / (',' item)* ','?)) / star (comp / (',' star)* ','?))?
-item    <- '**' disj / expr ':' expr
-comp    <- ('async'? 'for' targets ','? 'in' disj2 ('if' disj2)*)+
-disj2   <- 'lambda' lparams ':' expr / disj
-args    <- (arg comp / arg (',' arg)* ','?)?
-arg     <- '**' expr / '*' expr / name '=' expr / named
+group   <- yield / named comp / nstar ',' nstars? / named / EOF
+list    <- named comp / nstars / EOF
+dict    <- expr ':' expr comp / item (',' item)* ','? / named comp / nstars / EOF
+item    <- '**' bits / expr ':' expr
+comp    <- ('async'? 'for' targets 'in' disj ('if' disj)*)+
+args    <- named comp / arglist
+cargs   <- arglist
+arglist <- ((posarg (',' posarg)* (',' kwargs)? / kwargs) ','?)?
+posarg  <- !KEY ('*' expr / named)
+KEY     <- name '='
+kwargs  <- (kwarg / '*' expr) (',' (kwarg / '*' expr))* (',' dkwargs)? / dkwargs
+dkwargs <- (kwarg / '**' expr) (',' (kwarg / '**' expr))*
+kwarg   <- name '=' expr
 slices  <- slice (',' slice)* ','?
-slice   <- expr? ':' expr? (':' expr?)? / star
-params  <- (param (',' param)* ','?)?
-param   <- '/' / '**' name (':' expr)? / '*' (name (':' ('*' disj / expr))?)? / name (':' expr)? ('=' expr)?
-lparams <- (lparam (',' lparam)* ','?)?
-lparam  <- '/' / '**' name / '*' name? / name ('=' expr)?
+slice   <- expr? ':' expr? (':' expr?)? / nstar
+params  <- ((ppos (',' pstars)? / pstars) ','?)?
+pname   <- name (':' expr)?
+pn      <- pname !'='
+pd      <- pname '=' expr
+ppos    <- pn (',' pn)* (',' '/' (',' pn)* (',' pd)* / (',' pd)* (',' '/' (',' pd)*)?) / pd (',' pd)* (',' '/' (',' pd)*)?
+pstars  <- '*' name (':' ('*' bits / expr))? !'=' (',' (pd / pn))* (',' pkw)? / '*' (',' (pd / pn))+ (',' pkw)? / pkw
+pkw     <- '**' pname !'='
+lparams <- ((lpos (',' lstars)? / lstars) ','?)?
+ln      <- name !'='
+ld      <- name '=' expr
+lpos    <- ln (',' ln)* (',' '/' (',' ln)* (',' ld)* / (',' ld)* (',' '/' (',' ld)*)?) / ld (',' ld)* (',' '/' (',' ld)*)?
+lstars  <- '*' name !'=' (',' (ld / ln))* (',' lkw)? / '*' (',' (ld / ln))+ (',' lkw)? / lkw
+lkw     <- '**' name !'='
 tparams <- tparam (',' tparam)* ','?
-tparam  <- ('*' / '**')? name (':' expr)? ('=' '*'? expr)?
+tparam  <- '*' name ('=' star)? / '**' name ('=' expr)? / name (':' expr)? ('=' expr)?
 h_if    <- 'if' named ':'
 h_elif  <- 'elif' named ':'
 h_else  <- 'else' ':'
 h_while <- 'while' named ':'
-h_for   <- 'async'? 'for' targets ','? 'in' exprs ':'
+h_for   <- 'async'? 'for' targets 'in' exprs ':'
 h_try   <- 'try' ':'
-h_except <- 'except' ('*'? expr ('as' name)?)? ':'
+h_exstar <- 'except' '*' expr ('as' name)? ':'
+h_except <- 'except' (expr ('as' name)?)? ':'
 h_finally <- 'finally' ':'
-h_with  <- 'async'? 'with' (P:withs / withs) ':'
-withs   <- expr ('as' '*'? wtarget)? (',' expr ('as' '*'? wtarget)?)* ','?
-wtarget <- prim post*
+h_with  <- 'async'? 'with' (P:withs ':' / with (',' with)* ':')
+withs   <- with (',' with)* ','?
+with    <- expr ('as' target)?
 h_def   <- 'async'? 'def' name S:tparams? P:params ('->' expr)? ':'
-h_class <- 'class' name S:tparams? P:args? ':'
-h_match <- 'match' exprs ':'
+h_class <- 'class' name S:tparams? P:cargs? ':'
+h_match <- 'match' (nstar ',' nstars? / named) ':'
 h_case  <- 'case' patterns ('if' named)? ':'
-patterns <- pat (',' pat)* ','?
-pat     <- '*' name / orpat ('as' name)?
-orpat   <- cpat ('|' cpat)*
-cpat    <- '-'? NUM (('+' / '-') NUM)? / STR+ / CONST / name ('.' name)* P:pargs? / P:patterns0 / S:patterns0 / B:pdict
-pargs   <- ((name '=' pat / pat) (',' (name '=' pat / pat))* ','?)?
-patterns0 <- patterns?
-pdict   <- ((('-'? NUM / STR+ / CONST / name ('.' name)+) ':' pat / '**' name) (',' (('-'? NUM / STR+ / CONST / name ('.' name)+) ':' pat / '**' name))* ','?)?
+patterns <- mpat ',' (mpat (',' mpat)*)? ','? / pat
+mpat    <- '*' name / pat
+pat     <- cpat ('|' cpat)* ('as' !'_' name !'.' !'=' !ANYP)?
+cpat    <- '-'? NUM ('+' / '-') IMAG / '-'? num / text / CONST / name ('.' name)* P:pargs? / P:patterns0 / S:lpatterns / B:pdict
+pargs   <- ((pkey (',' pkey)* / !PKEY pat (',' !PKEY pat)* (',' pkey (',' pkey)*)?) ','?)?
+PKEY    <- name '='
+pkey    <- name '=' pat
+patterns0 <- patterns / EOF
+lpatterns <- (mpat (',' mpat)* ','?)?
+pdict   <- ((pitem (',' pitem)* (',' '**' !'_' name)? / '**' !'_' name) ','?)?
+pitem   <- ('-'? NUM ('+' / '-') IMAG / '-'? num / text / CONST / name ('.' name)+) ':' pat
 decor   <- '@' named
-all     <- simple / h_if / h_elif / h_else / h_while / h_for / h_try / h_except / h_finally / h_with / h_def / h_class / h_match / h_case / decor
+fexpr   <- yield / exprs
+all     <- simple / h_if / h_elif / h_else / h_while / h_for / h_try / h_exstar / h_except / h_finally / h_with / h_def / h_class / h_match / h_case / decor
 """
 _BLOCKS = r"""
 suite  <- stmt+
 file   <- stmt*
-stmt   <- SIMPLE / DECOR* (DEF / CLASS) B:suite / DECOR* (DEF1 / CLASS1) / if / for / try / WITH B:suite / WITH1 / MATCH B:cases
+stmt   <- SIMPLE / EITHER / DECOR* (DEF / CLASS) B:suite / DECOR* (DEF1 / CLASS1) / if / for / try / WITH B:suite / WITH1 / MATCH B:cases
 if     <- (IF B:suite / IF1) (ELIF B:suite / ELIF1)* (ELSE B:suite / ELSE1)?
 for    <- (FOR B:suite / FOR1) (ELSE B:suite / ELSE1)?
-try    <- (TRY B:suite / TRY1) ((EXCEPT B:suite / EXCEPT1)+ (ELSE B:suite / ELSE1)? (FINALLY B:suite / FINALLY1)? / (FINALLY B:suite / FINALLY1))
-cases  <- (CASE B:suite / CASE1)+
+try    <- (TRY B:suite / TRY1) (((EXCEPT B:suite / EXCEPT1)+ / (EXSTAR B:suite / EXSTAR1)+) (ELSE B:suite / ELSE1)? (FINALLY B:suite / FINALLY1)? / (FINALLY B:suite / FINALLY1))
+cases  <- (CASE B:suite / CASE1 / EITHER)+
 """
 _HEADERS = {
-    "h_if": "IF", "h_elif": "ELIF", "h_else": "ELSE", "h_while": "FOR", "h_for": "FOR", "h_try": "TRY", "h_except": "EXCEPT", "h_finally": "FINALLY",
+    "h_if": "IF", "h_elif": "ELIF", "h_else": "ELSE", "h_while": "FOR", "h_for": "FOR", "h_try": "TRY", "h_exstar": "EXSTAR", "h_except": "EXCEPT", "h_finally": "FINALLY",
     "h_with": "WITH", "h_def": "DEF", "h_class": "CLASS", "h_match": "MATCH", "h_case": "CASE",
 }
-_PY_CLASSES = ("ID", "NUM", "STR", "CONST", "AUG", "OP")
+_PY_CLASSES = ("ID", "NUM", "IMAG", "STR", "BYTES", "CONST", "AUG", "OP", "CMP")
+#: Words that may follow a number without a blank.
+_NEXT = r"(?=(?:and|else|for|if|in|is|not|or)\b)"
+#: A field of a formatted text, with texts, brackets and one more field inside.
+_FIELD = r"\{(?:[^{}'\"]|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|\{(?:[^{}'\"]|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|\{[^{}]*\})*\})+\}"
 _PY_LEX = re.compile(
     r"(?:[ \t\f﻿]|\\(?:\r\n|\r|\n))*((?:(?:#[^\r\n]*)?(?:\r\n|\r|\n)[ \t\f]*)+|#[^\r\n]*"
-    r"|(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*')"
+    rf"|(?:[fF][rR]?|[rR][fF])(?:\"\"\"(?>[^\"\\{{}}]|\\(?:(?=[{{}}])|[\s\S])|\"(?!\"\")|{{{{|}}}}|{_FIELD})*+\"\"\"|'''(?>[^'\\{{}}]|\\(?:(?=[{{}}])|[\s\S])|'(?!'')|{{{{|}}}}|{_FIELD})*+'''|\"(?!\"\")(?>[^\"\\\r\n{{}}]|\\(?:\r\n|(?=[{{}}])|[\s\S])|{{{{|}}}}|{_FIELD})*+\"|'(?!'')(?>[^'\\\r\n{{}}]|\\(?:\r\n|(?=[{{}}])|[\s\S])|{{{{|}}}}|{_FIELD})*+')"
+    r"|(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*')"
     r"|[A-Za-z_\u0080-￿]\w*"
-    r"|0[xX](?:_?[\da-fA-F])+(?!\w)|0[bB](?:_?[01])+(?!\w)|0[oO](?:_?[0-7])+(?!\w)|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\w.])|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*(?=[eEjJ]))(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?(?!\w))"
+    rf"|0[xX](?:_?[\da-fA-F])+(?:(?!\w)|{_NEXT})|0[bB](?:_?[01])+(?:(?!\w)|{_NEXT})|0[oO](?:_?[0-7])+(?:(?!\w)|{_NEXT})|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)(?:(?![\w.])|{_NEXT})|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*|\d(?:_?\d)*(?=[eEjJ]))(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?(?:(?!\w)|{_NEXT}))"
+    r"|\d[\w.]*"
     r"|\.\.\.|->|:=|\*\*=|\*\*|//=|//|<<=|>>=|<<|>>|==|!=|<=|>=|[-+*/%&|^@]=|[-+*/%&|^@~<>=:;,.(){}\[\]]|\S)"
 )
+_PY_NUMBER = re.compile(r"0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|0(?:_?0)*|[1-9](?:_?\d)*|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)[jJ]?|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)[jJ]?|\d(?:_?\d)*[jJ]")
 _INDENT = 0x4000
 
 
+#: Escapes of texts and of bytes that are none.
+_ESCAPE = re.compile(r"\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U(?:000[\da-fA-F]|0010)[\da-fA-F]{4}|N\{([^{}]+)\}|([xuUN])|[\s\S])")
+_BYTE_ESCAPE = re.compile(r"\\(?:x[\da-fA-F]{2}|(x)|[\s\S])")
+_PREFIX = re.compile(r"[A-Za-z]*")
+_FIELD_END = re.compile(r"'{3}[\s\S]*?'{3}|\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|[!=<>]=|[()\[\]{}!:=]")
+
+
+def _escapes_hold(text: str) -> bool:
+    for m in _ESCAPE.finditer(text):
+        if m[2]:
+            return False
+        if m[1]:
+            try:
+                unicodedata.lookup(m[1])
+            except KeyError:
+                return False
+    return True
+
+
 class PythonGrammar:
     """The two stages as one: lines, then blocks."""
 
@@ -665,39 +731,155 @@ class PythonGrammar:
         marks = re.compile(f"[{chr(_INDENT)}-{chr(_INDENT + 0xFFF)}]")
         self.lines = Grammar(_LINES, _PY_CLASSES, "all", {}, (), marks)
         names = ["SIMPLE", "DECOR", *dict.fromkeys(_HEADERS.values())]
-        names += [n + "1" for n in names[2:]]
+        names += [n + "1" for n in names[2:]] + ["EITHER"]
         self.blocks = Grammar(_BLOCKS, tuple(names), "file")
         self.split = re.compile(f"([{chr(_INDENT)}-{chr(_INDENT + 0xFFF)}])").split
         self.known: dict[str, str] = {}
+        #: Columns of an indentation, with tabs of eight and of one.
+        self.depths: list[tuple[int, int]] = [(0, 0)]
+        self.depth_of: dict[tuple[int, int], str] = {(0, 0): chr(_INDENT)}
         cls, kinds = self.lines.classes, self.lines.kinds
         known = dict(kinds) | {b: b for b in "()[]{}"} | dict.fromkeys(("True", "False", "None"), cls["CONST"])
         known |= dict.fromkeys(("**=", "//=", "<<=", ">>=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "@="), cls["AUG"])
-        known |= dict.fromkeys(("//", "<<", ">>", "==", "!=", "<=", ">=", "%", "&", "^", "<", ">", "and", "or"), cls["OP"])
+        known |= dict.fromkeys(("//", "<<", ">>", "%", "&", "^"), cls["OP"]) | dict.fromkeys(("==", "!=", "<=", ">=", "<", ">"), cls["CMP"])
         self.bar = kinds["|"]
 
         def classify(t: str) -> str:
             c = t[0]
             if c in "\r\n" or c == "#" and t[-1] != c and ("\n" in t or "\r" in t):
-                tail = re.split(r"[\r\n]", t)[-1].replace("\f", "")
-                return chr(_INDENT + min(0xFFE, len(tail.expandtabs(8))))
+                return self.indent(re.split(r"[\r\n]", t)[-1])
             if c == "#":
                 return ""
             if t[-1] in "\"'" and len(t) > 1:
-                return cls["STR"]
+                return self.text(t)
             if c.isdigit() or c == "." and len(t) > 1 and t != "...":
-                return cls["NUM"]
-            return cls["ID"] if c.isidentifier() else UNKNOWN
+                if not _PY_NUMBER.fullmatch(t):
+                    return UNKNOWN
+                return cls["IMAG" if t[-1] in "jJ" else "NUM"]
+            return cls["ID"] if t.isidentifier() else UNKNOWN
 
         self.table = Kinds(known, classify)
         self.kind = {name: k for name, k in self.blocks.classes.items()}
         self.rules = [("simple", "SIMPLE"), *_HEADERS.items(), ("decor", "DECOR")]
         rules = self.lines
-        called = sorted(rules._called)
-        define = "(?(DEFINE)" + "".join(f"(?P<{n}>{rules._made[n]})" for n in called) + ")"
         body = rules._rule
         heads = "|".join(f"(?P<x{i}>(?>{body(r)}))" for i, (r, _) in enumerate(self.rules) if r.startswith("h_"))
-        self.head = regex.compile(f"{define}(?:{heads})(?:(?P<tail>{body('simple')})\\Z|\\Z)")
-        self.plain = regex.compile(f"{define}(?:(?P<simple>{body('simple')})|(?P<decor>{body('decor')}))\\Z")
+        plain, tail, field = f"(?:(?P<simple>{body('simple')})|(?P<decor>{body('decor')}))", body("simple"), body("fexpr")
+        define = "(?(DEFINE)" + "".join(f"(?P<{n}>{rules._made[n]})" for n in sorted(rules._called)) + ")"
+        self.head = regex.compile(f"{define}(?:{heads})(?:(?P<tail>{tail})\\Z|\\Z)")
+        self.plain = regex.compile(f"{define}{plain}\\Z")
+        self.field = regex.compile(f"{define}{field}\\Z")
+
+    def indent(self, blanks: str) -> str:
+        """The sign of an indentation; a form feed begins the line anew."""
+        blanks = blanks.rpartition("\f")[2]
+        at = (len(blanks.expandtabs(8)), len(blanks))
+        if at not in self.depth_of:
+            if len(self.depths) > 0xF00:
+                raise ValueError("too many indentations in one worker")
+            self.depth_of[at] = chr(_INDENT + len(self.depths))
+            self.depths.append(at)
+        return self.depth_of[at]
+
+    def text(self, t: str) -> str:
+        """The kind of a literal, if its escapes and fields hold."""
+        prefix = _PREFIX.match(t)[0].lower()
+        size = 3 if t[len(prefix) : len(prefix) + 3] in ('\"\"\"', "\'\'\'") and len(t) >= len(prefix) + 6 else 1
+        inner = t[len(prefix) + size : -size]
+        cls = self.lines.classes
+        if "b" in prefix:
+            if not inner.isascii() or "r" not in prefix and any(m[1] for m in _BYTE_ESCAPE.finditer(inner)):
+                return UNKNOWN
+            return cls["BYTES"]
+        if "f" in prefix:
+            return cls["STR"] if self.formatted(inner, "r" in prefix, t[-size:]) else UNKNOWN
+        return cls["STR"] if "r" in prefix or "\\" not in inner or _escapes_hold(inner) else UNKNOWN
+
+    def formatted(self, inner: str, raw: bool, quote: str, depth: int = 0) -> bool:
+        """Whether the fields of a formatted text hold expressions."""
+        at, size = 0, len(inner)
+        plain: list[str] = []
+        while at < size:
+            c = inner[at]
+            if c == "\\" and not raw and inner[at + 1 : at + 3] == "N{":
+                end = inner.find("}", at)
+                if end < 0:
+                    return False
+                plain.append(inner[at : end + 1])
+                at = end + 1
+            elif c in "{}" and inner[at + 1 : at + 2] == c and not (depth and c == "}"):
+                at += 2
+            elif c == "}":
+                return False
+            elif c == "{":
+                at = self.one_field(inner, at + 1, raw, quote, depth)
+                if at < 0:
+                    return False
+            elif c == "\\":
+                step = 1 if inner[at + 1 : at + 2] in ("{", "}") else 2
+                plain.append(inner[at : at + 2] if step == 2 else "\\\\")
+                at += step
+            else:
+                plain.append(c)
+                at += 1
+        said = "".join(plain)
+        return quote not in said and (len(quote) == 3 or "\n" not in said) and (raw or _escapes_hold(said)) if depth else raw or _escapes_hold(said)
+
+    def one_field(self, inner: str, start: int, raw: bool, quote: str, depth: int) -> int:
+        """Where the field that begins at ``start`` ends, or -1."""
+        opened, end = [], -1
+        for m in _FIELD_END.finditer(inner, start):
+            c = m[0]
+            if c in ("(", "[", "{"):
+                opened.append(c)
+            elif c in (")", "]", "}"):
+                if c == "}" and not opened:
+                    end = m.start()
+                    break
+                if not opened or opened.pop() + c not in ("()", "[]", "{}"):
+                    return -1
+            elif not opened and c in ("!", ":", "="):
+                end = m.start()
+                break
+        if end < 0 or not self.expression(inner[start:end]):
+            return -1
+        rest = inner[end:]
+        at = end
+        if rest[0] == "=":
+            at += 1
+            while inner[at : at + 1] in (" ", "\t"):
+                at += 1
+        if inner[at : at + 1] == "!":
+            m = re.compile(r"![rsa]\s*(?=[:}])").match(inner, at)
+            if m is None:
+                return -1
+            at = m.end()
+        if inner[at : at + 1] == "}":
+            return at + 1
+        if inner[at : at + 1] != ":" or depth > 1:
+            return -1
+        # the format runs to the brace that closes the field, with fields of its own
+        level, spec = 0, at + 1
+        for i in range(spec, len(inner)):
+            if inner[i] == "{":
+                level += 1
+            elif inner[i] == "}":
+                if not level:
+                    return i + 1 if self.formatted(inner[spec:i], raw, quote, depth + 1) else -1
+                level -= 1
+        return -1
+
+    def expression(self, code: str) -> bool:
+        tokens = _PY_LEX.findall(code)
+        if "#" in code and "\n" not in code and any(t[0] == "#" for t in tokens):
+            return False
+        kinds = "".join(map(self.table.__getitem__, tokens))
+        content = self.lines.typed(self.lines.reduce("(" + kinds + ")"))
+        if len(content) != 1 or not kinds:
+            return False
+        # brackets let the expression go over lines; what is inside is matched by itself
+        marks = self.lines.dropped
+        return self.field.match(marks.sub("", self.lines.reduce(kinds))) is not None
 
     def line(self, content: str) -> str:
         found = self.known.get(content)
@@ -707,6 +889,9 @@ class PythonGrammar:
             m = self.plain.match(content)
             if m:
                 found = self.kind["SIMPLE" if m["simple"] is not None else "DECOR"]
+                # ``case[a]: b = c`` is a case in one place and a typed assignment in another
+                if content[0] == self.lines.kinds["case"] and self.head.match(content):
+                    found = self.kind["EITHER"]
             elif m := self.head.match(content):
                 rule = next(kind for i, (_, kind) in enumerate(self.rules) if kind not in ("SIMPLE", "DECOR") and m[f"x{i}"] is not None)
                 found = self.kind[rule + ("1" if m["tail"] is not None else "")]
@@ -717,23 +902,26 @@ class PythonGrammar:
 
     def parses(self, code: str) -> bool:
         table = self.table
-        kinds = self.lines.reduce(chr(_INDENT) + "".join(map(table.__getitem__, _PY_LEX.findall(code))))
+        if "\0" in code:
+            return False
+        first = self.indent(code[: len(code) - len(code.lstrip(" \t\f"))])
+        kinds = self.lines.reduce(first + "".join(map(table.__getitem__, _PY_LEX.findall(code))))
         pieces = self.split(kinds)
         if pieces[0]:
             return False
-        out, stack, line = [], [0], self.line
+        out, stack, line = [], [(0, 0)], self.line
         for i in range(1, len(pieces), 2):
             content = pieces[i + 1]
             if not content:
                 continue
-            depth = ord(pieces[i]) - _INDENT
-            if i == 1 and code[:1] in " \t":
-                depth = len(code) - len(code.lstrip(" \t"))
-            if depth > stack[-1]:
+            depth = self.depths[ord(pieces[i]) - _INDENT]
+            if depth[0] > stack[-1][0]:
+                if depth[1] <= stack[-1][1]:
+                    return False  # tabs and blanks that agree only at one width
                 stack.append(depth)
                 out.append("{")
             else:
-                while depth < stack[-1]:
+                while depth[0] < stack[-1][0]:
                     stack.pop()
                     out.append("}")
                 if depth != stack[-1]:

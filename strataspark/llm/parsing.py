@@ -95,6 +95,11 @@ def _place(grammar, lex, table, kinds: str, code: str) -> tuple[int, str]:
         elif kind == NEWLINE and kinds[j] == semi and (i + 1 == len(raw) or raw[i + 1][0] not in (semi, NEWLINE, "")):
             marks.append((semi, at))
             j += 1
+    at, said = _furthest(grammar, marks, len(code))
+    return at, _cause(code, at, said)
+
+
+def _furthest(grammar, marks: list[tuple[str, int]], size: int) -> tuple[int, str]:
     names = {o: k for k, (o, _) in BRACKETS.items()}
     levels: list[list[tuple[str, int]]] = [[]]
     opened: list[tuple[str, int]] = []
@@ -104,32 +109,34 @@ def _place(grammar, lex, table, kinds: str, code: str) -> tuple[int, str]:
             levels.append([])
         elif kind in ")]}":
             if not opened or BRACKETS[names[opened[-1][0]]][1] != kind:
-                return at, _cause(code, at, f"unmatched {kind}")
+                return at, f"unmatched {kind}"
             o, start = opened.pop()
             inner = levels.pop()
             content = grammar.typed("".join(k for k, _ in inner))
             made = grammar.memo[o + "".join(k for k, _ in inner) + kind]
             if ord(made) == BASE[names[o]]:
                 best = max((furthest(grammar.sources[f"{names[o]}:{r}"], content) for r in grammar.inside[names[o]]), default=0)
-                at = inner[min(best, len(inner) - 1)][1] if inner else start
-                return at, _cause(code, at, "unexpected sign" if UNKNOWN in content else "unexpected token")
+                at = inner[best][1] if best < len(inner) else at
+                return at, "unexpected sign" if UNKNOWN in content else "unexpected token"
             levels[-1].append((made, start))
         else:
             levels[-1].append((kind, at))
     if opened:
-        return len(code), _cause(code, len(code), f"unclosed {opened[-1][0]}")
+        return size, f"unclosed {opened[-1][0]}"
     outer = levels[0]
     best = furthest(grammar.sources[""], grammar.typed("".join(k for k, _ in outer)))
-    at = outer[best][1] if best < len(outer) else len(code)
-    return at, _cause(code, at, "other language" if best <= 1 else "unexpected token")
+    return (outer[best][1] if best < len(outer) else size), "other language" if best <= 1 else "unexpected token"
 
 
 def _python_place(made, code: str) -> tuple[int, str]:
-    """The first line that is none, or the end where only the blocks do not fit."""
-    depth, line_at, first = 0, 0, True
-    content: list[str] = []
+    """The furthest place in the first line that is none, or the end where only the blocks do not fit."""
+    if "\0" in code:
+        return code.index("\0"), "unexpected sign"
+    depth, first = 0, True
+    marks: list[tuple[str, int]] = []
     for m in [*grammars._PY_LEX.finditer(code), None]:
         kind = made.table[m[1]] if m else chr(0x4000)
+        at = m.start(1) if m else len(code)
         if not kind:
             continue
         if kind in "([{":
@@ -137,17 +144,17 @@ def _python_place(made, code: str) -> tuple[int, str]:
         elif kind in ")]}":
             depth -= 1
             if depth < 0:
-                return m.start(1), _cause(code, m.start(1), f"unmatched {kind}")
+                return at, _cause(code, at, f"unmatched {kind}")
         if "䀀" <= kind <= "俿":
             if depth and m:
                 continue
-            line = made.lines.reduce("".join(content))
-            if line and made.line(line) == UNKNOWN:
-                return line_at, _cause(code, line_at, "unclosed bracket" if depth else "other language" if first else "unexpected token")
-            first = first and not line
-            content, line_at = [], m.end() if m else len(code)
+            if marks and made.line(made.lines.reduce("".join(k for k, _ in marks))) == UNKNOWN:
+                where, said = _furthest(made.lines, marks, at)
+                return where, _cause(code, where, "other language" if first and said == "other language" else "unexpected token" if said == "other language" else said)
+            first = first and not marks
+            marks = []
         else:
-            content.append(kind)
+            marks.append((kind, at))
     return len(code), _cause(code, 0, "blocks do not fit")
 
 

@@ -171,6 +171,8 @@ class Grammar:
         if t == "CALLED":  # what was consumed last is a call, a body or an increment
             p, b = BASE["P"], BASE["B"]
             return f"(?<=[{chr(p)}-{chr(p + 0x7FF)}{chr(b)}-{chr(b + 0x7FF)}{self.kinds['++']}{self.kinds['--']}])"
+        if t == "NOCALL":  # what was consumed last is no call
+            return f"(?<![{chr(BASE['P'])}-{chr(BASE['P'] + 0x7FF)}])"
         if t == "ANGLES":
             return ANGLES
         return self.classes[t] if t in self.classes else self._rule(t)
@@ -186,7 +188,7 @@ class Grammar:
             for t in self.rules[name]:
                 if t in self.rules:
                     todo.append(t)
-                elif t not in ("EOF", "CALLED", "(", ")", "/", "?", "*", "+", "!", "&", ""):
+                elif t not in ("EOF", "CALLED", "NOCALL", "(", ")", "/", "?", "*", "+", "!", "&", ""):
                     signs.append(_bare(self._atom(t)) if t != "ANGLES" else ANGLES)
         escaped = "".join(x if "-" in x and len(x) > 1 else re.escape(x) for x in signs)
         return re.compile(f"[{escaped}]*+\\Z" if escaped else r"\Z")

@@ -390,7 +390,6 @@ def _go() -> tuple:
     ends = re.escape(")]}" + "".join(cls[c] for c in ("ID", "NUM", "STR")) + "".join(kinds[t] for t in ("return", "break", "continue", "fallthrough", "++", "--")))
     semis = re.compile(f"(?<=[{ends}]){NEWLINE}+")
     semi = kinds[";"]
-    tail = re.compile(re.escape(semi) + "(?=[)}])")
 
     def classify(t: str) -> str:
         c = t[0]
@@ -408,7 +407,7 @@ def _go() -> tuple:
 
     def prepare(code: str, table: Kinds) -> str:
         out = "".join(map(table.__getitem__, _GO_LEX.findall(code)))
-        return tail.sub("", semis.sub(semi, out + NEWLINE)).replace(NEWLINE, "")
+        return semis.sub(semi, out + NEWLINE).replace(NEWLINE, "")
 
     return grammar, _GO_LEX, Kinds(known, classify), prepare
 
@@ -504,6 +503,38 @@ _CPP_LEX = re.compile(
 )
 
 
+_DIRECTIVE = re.compile(r"#(?:[ \t]|\\\r?\n|/\*[\s\S]*?\*/)*(\w*)(.*)", re.DOTALL)
+_INCLUDED = re.compile(r"[ \t]*(?:<[^>\r\n]+>|\"[^\"\r\n]+\"|[A-Za-z_]\w*[^\r\n]*)[ \t]*(?:/[/*][\s\S]*)?\s*\Z")
+
+
+def _directives_hold(tokens: list[str]) -> bool:
+    """Whether conditional sections open and close in order, and includes name something."""
+    opened: list[bool] = []  # whether the section has its last part
+    for t in tokens:
+        if t[:1] != "#" or len(t) < 2:
+            continue
+        name, rest = _DIRECTIVE.match(t).groups()
+        if name in ("if", "ifdef", "ifndef"):
+            if not rest.strip():
+                return False
+            opened.append(False)
+        elif name in ("elif", "elifdef", "elifndef", "else"):
+            if not opened or opened[-1]:
+                return False
+            opened[-1] = name == "else"
+        elif name == "endif":
+            if not opened:
+                return False
+            opened.pop()
+        elif name in ("include", "include_next", "import") and not _INCLUDED.match(rest):
+            return False
+        elif name in ("define", "undef") and not re.match(r"[ \t]*[A-Za-z_]", rest):
+            return False
+        elif name and name not in ("include", "include_next", "import", "define", "undef", "pragma", "line", "error", "warning", "embed"):
+            return False
+    return not opened
+
+
 def _cpp() -> tuple:
     grammar = Grammar(_CPP, _CPP_CLASSES, "unit", {"unit": (("unit",), "unit*"), "block": (("block",), "block*"), "body": (("body",), "body*")}, ("else", "catch", ".", ","))
     cls, kinds = grammar.classes, grammar.kinds
@@ -528,7 +559,8 @@ def _cpp() -> tuple:
         return UNKNOWN
 
     def prepare(code: str, table: Kinds) -> str:
-        return "".join([table[a] for a, _ in _CPP_LEX.findall(code)])
+        tokens = [a for a, _ in _CPP_LEX.findall(code)]
+        return "".join([table[a] for a in tokens]) + ("" if _directives_hold(tokens) else UNKNOWN)
 
     return grammar, _CPP_LEX, Kinds(known, classify), prepare
 

@@ -28,9 +28,17 @@ export  <- 'export' ('default' (func ';'? / abstract? klass ';'? / typed / one e
         / 'type'? B:specs ('from' STR)? end / decor* abstract? klass ';'?)
 abstract <- MODIFIER
 decl    <- func ';'? / klass ';'? / vars end
-vars    <- ('var' / 'let' / 'const') var (',' var)*
-var     <- target '!'? ann? ('=' one)?
-target  <- name / S:array / B:object
+vars    <- ('var' / 'let') var (',' var)* / 'const' cvar (',' cvar)*
+var     <- name '!'? ann? ('=' one)? / pattern ann? '=' one
+cvar    <- (name / pattern) '!'? ann? '=' one / name ann
+target  <- name / pattern
+pattern <- S:apat / B:opat
+apat    <- (element? ',')* element?
+element <- '...'? place ('=' one)?
+opat    <- ((oprop (',' oprop)* ','?)?)
+oprop   <- '...' place / key ':' place ('=' one)? / name ('=' one)?
+place   <- pattern !POST / (name / P:expr / PRIVATE) post* TARGET / prim post+ TARGET
+POST    <- '.' / '?.' / ANYP / ANYS
 func    <- 'async'? 'function' '*'? name? tparams? P:params ann? (B:block / SIGNATURE)
 klass   <- 'class' (!'extends' !IMPLEMENTS name)? tparams? ('extends' (name / P:expr) post* targs?)? implements? B:members
 decor   <- '@' (P:paren / name ('.' word)* P:args?) ';'?
@@ -59,17 +67,21 @@ ASSIGN  <- '=' !'=' / OPEQ / '>' '>' '>'? '='
 arrow   <- 'async'? (name / tparams? P:params ann?) '=>'
 tern    <- bin ('?' bin ('?' bin ':' bin)* ':' bin)*
 operand <- arrow+ (B:block / unary) / unary
-bin     <- operand ((BIN / ASSIGN) operand / cast)*
-BIN     <- OP / '*' / '+' / '-' / '<' / '/' / '>' '='? / '>' '>' '>'? / 'in' / 'instanceof' / '|' / '&'
-unary   <- ('!' / '-' / '+' / UN / 'typeof' / 'void' / 'delete' / 'await' / 'yield' '*'? / 'new' / '++' / '--')* prim post* ('++' / '--')?
-prim    <- func / klass / 'async'? name / NUM / STR / RE / P:expr / S:array / B:object / PRIVATE / 'import' (P:args / '.' word) / 'yield' / 'new' '.' name
+bin     <- operand (TARGET ASSIGN operand)* chain ('??' operand chain ('??' operand chain)* !LOGIC / LOGIC operand chain (LOGIC operand chain)* !'??')?
+chain   <- (BIN operand / cast)*
+LOGIC   <- '&&' / '||'
+BIN     <- OP / '**' / '*' / '+' / '-' / '<' / '/' / '>' '='? / '>' '>' '>'? / 'in' / 'instanceof' / '|' / '&'
+unary   <- 'yield' '*'? unary? / SIGN+ update !'**' / update
+SIGN    <- '!' / '-' / '+' / UN / 'typeof' / 'void' / 'delete' / 'await'
+update  <- ('new' / '++' / '--')* prim post* (TARGET ('++' / '--'))?
+prim    <- func / klass / 'async'? name / NUM / STR / RE / P:expr / S:array / S:apat &ASSIGN / B:object / B:opat &ASSIGN / PRIVATE / 'import' (P:args / '.' word) / 'yield' / 'new' '.' name
 post    <- '?.' (P:args / S:index / word / reserved / PRIVATE) / '.' (word / name / reserved / PRIVATE) / P:args / S:index / STR / targs &ANYP / NONNULL
 args    <- (arg (',' arg)* ','?)?
 arg     <- '...'? one
 index   <- expr
 array   <- (arg? ',')* arg?
 object  <- (prop (',' prop)* ','?)?
-prop    <- '...' one / ('async' / 'get' / 'set')? '*'? key tparams? P:params ann? B:block / key ':' one / name ('=' one)?
+prop    <- '...' one / ('async' / 'get' / 'set')? '*'? key tparams? P:params ann? B:block / key ':' one / name
 """
 
 _PLAIN = r"""
@@ -128,7 +140,7 @@ _SCRIPT_LEX = re.compile(
     r"[ \t\f\v\xa0﻿]*("
     r"//[^\r\n]*|/\*[\s\S]*?\*/|(?:\r\n|\n|\r| | )\s*"
     r"|[A-Za-z_$\u0080-￿][\w$]*|#[A-Za-z_$][\w$]*"
-    r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?(?![\w$])"
+    r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:(?:0(?![\d_])|[1-9][\d_]*)\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?(?![\w$])"
     r"|\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*'"
     r"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{(?:[^{}]|\{[^{}]*\})*\})*\})*`"
     r"|(?<![\w$)\]}])(?<![\w$)\]}] )/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[dgimsuvy]*(?=\s*[.,;)\]}\r\n:?&|])"
@@ -147,7 +159,7 @@ def _script(typed: bool) -> tuple:
     known = dict(kinds) | {b: b for b in "()[]{}"}
     known |= dict.fromkeys(modifiers, cls["MODIFIER"]) | dict.fromkeys(typeops, cls["TYPEOP"])
     known |= dict.fromkeys(("**=", "<<=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "&&=", "||=", "??="), cls["OPEQ"])
-    known |= dict.fromkeys(("===", "!==", "==", "!=", "<=", "&&", "||", "??", "**", "<<", "%", "^"), cls["OP"]) | {"~": cls["UN"]}
+    known |= dict.fromkeys(("===", "!==", "==", "!=", "<=", "<<", "%", "^"), cls["OP"]) | {"~": cls["UN"]}
     if not typed:
         for w in ("type", "interface", "namespace", "is", "enum", "implements", "satisfies"):
             known.pop(w, None)

@@ -171,6 +171,12 @@ class Grammar:
         if t == "CALLED":  # what was consumed last is a call, a body or an increment
             p, b = BASE["P"], BASE["B"]
             return f"(?<=[{chr(p)}-{chr(p + 0x7FF)}{chr(b)}-{chr(b + 0x7FF)}{self.kinds['++']}{self.kinds['--']}])"
+        if t == "TARGET":  # what was consumed last is a name, a member, a pattern, or a bracketed target
+            p, s, b = (f"{chr(BASE[k])}-{chr(BASE[k] + 0x7FF)}" for k in "PSB")
+            names = re.escape("".join(v for k, v in self.kinds.items() if k[0].isalpha()) + self.classes["ID"] + self.classes["KEYWORD"] + self.classes["PRIVATE"])
+            pattern = _bare(self._atom("B:opat"))
+            no_null = re.escape(self.kinds["!"])
+            return f"(?<=[{names}{s}{pattern}{no_null}{ANGLES}]|(?<![{names}{s}{p}{b}])[{p}])"
         if t == "NOCALL":  # what was consumed last is no call
             return f"(?<![{chr(BASE['P'])}-{chr(BASE['P'] + 0x7FF)}])"
         if t == "ANGLES":
@@ -188,7 +194,7 @@ class Grammar:
             for t in self.rules[name]:
                 if t in self.rules:
                     todo.append(t)
-                elif t not in ("EOF", "CALLED", "NOCALL", "(", ")", "/", "?", "*", "+", "!", "&", ""):
+                elif t not in ("EOF", "CALLED", "NOCALL", "TARGET", "(", ")", "/", "?", "*", "+", "!", "&", ""):
                     signs.append(_bare(self._atom(t)) if t != "ANGLES" else ANGLES)
         escaped = "".join(x if "-" in x and len(x) > 1 else re.escape(x) for x in signs)
         return re.compile(f"[{escaped}]*+\\Z" if escaped else r"\Z")

@@ -2,7 +2,10 @@
 
 import ast
 import json
+import random
+import re
 import warnings
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -50,6 +53,74 @@ def test_bad(language):
         assert 0 <= found[0] <= len(code) and found[1]
 
 
+def python_parses(code):
+    try:
+        ast.parse(code)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def test_python_forms():
+    """Small texts, parted by bars, of every kind of statement and of what is none."""
+    for code in (Path(__file__).parent / "python_probes.txt").read_text(encoding="utf-8").rstrip("\n").split("|"):
+        if code.strip():
+            assert (CHECK("python", code) is None) == python_parses(code), code
+
+
+def test_mutated_python_and_json():
+    """Valid texts with a token dropped, put in, doubled or exchanged, or cut off."""
+    random.seed(11)
+    base = GOOD["python"][2:] + [c for c in (Path(__file__).parent / "python_probes.txt").read_text(encoding="utf-8").split("|") if python_parses(c)]
+    whole = "\n".join(c for c in GOOD["python"][2:-1] if "match" not in c)
+    signs = ["(", ")", "[", "]", "{", "}", ":", ",", "=", "*", "**", ".", "if ", "else ", "for ", " in ", "lambda ", "not ", "1", "x", '"a"', "f'{x}'", ":=", "->", "await ", "yield ", "import ", " as ", ";", "|", "+=", "b'x'", "return ", "del "]
+    for n in range(1500):
+        tokens = re.findall(r"\w+|\s+|.", random.choice([*base, whole]), re.DOTALL)
+        for _ in range(random.choice((1, 1, 2))):
+            at = random.randrange(len(tokens) + 1)
+            how = random.randrange(5)
+            tokens = tokens[:at] + ([[], [random.choice(signs)], tokens[at : at + 1] * 2, [random.choice(signs)], []][how]) + (tokens[at + (how != 1) :] if how < 4 else [])
+        code = "".join(tokens)
+        if code.strip():
+            assert (CHECK("python", code) is None) == python_parses(code), (n, code)
+    text = json.dumps({"a": [1, -2.5e3, None, True, {"b": "\u00e9\n"}], "c": {}, "d": [], "e": "x"})
+    for n in range(1500):
+        tokens = re.findall(r"\w+|\s+|.", text, re.DOTALL)
+        at = random.randrange(len(tokens))
+        tokens[at : at + random.choice((0, 1, 1, 2))] = random.choice(([], ["["], ["]"], ["{"], ["}"], [","], [":"], ['"'], ["0"], ["1."], ["-"], ["nul"], ["'"], ["e5"], ["\\"]))
+        code = "".join(tokens)
+        try:
+            json.loads(code)
+            valid = True
+        except ValueError:
+            valid = False
+        if code.strip():
+            assert (CHECK("json", code) is None) == valid, (n, code)
+
+
+@pytest.mark.parametrize(
+    ("language", "good", "bad"),
+    [
+        ("go", ["package a\nvar x = []int{\n1,\n}\n", "package a\nfunc f() { g(1,\n2,\n) }\n", "package a\ntype T struct {\na int\n}\n"], ["package a\nvar x = []int{\n1\n}\n", "package a\nfunc f() { g(1,\n2\n) }\n", "package a\nfunc f(a int,\nb int\n) {}\n"]),
+        (
+            "javascript",
+            ["const x = 1;", "for (const x of y) {}", "a.b[0] = 2", "[a, b] = c", "({a = 1, c: d.e} = b)", "(a ?? b) || c", "(-a) ** b", "a ** -b", "0n", "let {a} = b", "a.b++", "(a) = 1", "({a = 1}) => a", "a = b = c"],
+            ["const x;", "1 = 2", "f() = 2", "({a = 1})", "a ?? b || c", "-a ** b", "08n", "a + 1 = 2", "let [a];", "const {a};", "f()++", "for (const i; ;) {}", "({a: 1} = d)", "new f() = 1"],
+        ),
+        ("cpp", ["#if 1\n#elif 2\n#else\n#endif\n", '#include <a>\n#include "b"\n#include X\n#pragma once\n'], ["#include <a\nint x;\n", "#if 1\nint x;\n", "#endif\n", "#if 1\n#else\n#else\n#endif\n", "#include\nint x;"]),
+    ],
+)
+def test_rules_beyond_brackets(language, good, bad):
+    assert [c for c in good if CHECK(language, c)] == [] and [c for c in bad if not CHECK(language, c)] == []
+
+
+def test_furthest_place():
+    assert CHECK("python", "x = 1 if 2")[0] == 10
+    assert CHECK("python", "y = 0\nimport a.b as c.d\n")[0] == 21
+    assert CHECK("python", "f(a, b c)\n")[0] == 7
+    assert CHECK("json", '{"a": [1, 2 3]}')[0] == 12
+
+
 def test_no_cases():
     assert all(CHECK(g, c) is None for g, c in (("yaml", "{"), ("ini", "["), ("dotenv", "="), ("java", " \n"), ("json", "﻿"), (None, "x"), ("cobol", "x")))
     assert CHECK("json", '﻿{"a": 1}') is None

@@ -24,11 +24,31 @@ def with_defaults(left: DataFrame, right: DataFrame, keys: list[str], defaults:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def sharing(left: DataFrame, right: DataFrame, array: str, left_id: str, right_id: str) -> DataFrame:
-    """JN5: pairs whose arrays share an element: both sides are exploded and joined on the element."""
-    a = left.select(F.col(left_id), F.explode(F.array_distinct(array)).alias("x"))
-    b = right.select(F.col(right_id), F.explode(F.array_distinct(array)).alias("x"))
-    return a.join(b, "x").select(left_id, right_id).distinct()
+def sharing(left: DataFrame, right: DataFrame, array: str, left_id: str, right_id: str, salts: int = 16) -> DataFrame:
+    """JN5: pairs whose arrays share an element: both sides are exploded and joined on the element.
+
+    The pairs are the result, so their number is the output's; the left side is salted and the right one
+    repeated for each salt, so that an element of very many arrays is no single task.
+    """
+    salt = F.pmod(F.xxhash64(left_id), F.lit(salts))
+    a = left.select(F.col(left_id), F.explode(F.array_distinct(array)).alias("x")).withColumn("salt", salt)
+    b = right.select(F.col(right_id), F.explode(F.array_distinct(array)).alias("x")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return a.join(b, ["x", "salt"]).select(left_id, right_id).distinct()
+
+
+def sharers(rows: DataFrame, array: str, ident: str) -> DataFrame:
+    """JN5 where only numbers are wanted: for each row, how many other rows have an array that shares an
+    element with its own: ident, n. Rows of equal arrays are one class; classes meet, not rows.
+
+    A class whose array is not empty holds its own other members; every class pair is found once for
+    each shared element and kept once, and adds the size of the other class.
+    """
+    each = rows.select(ident, F.array_sort(F.array_distinct(array)).alias("elements")).where("size(elements) > 0").withColumn("class", F.xxhash64("elements"))
+    classes = each.groupBy("class", "elements").agg(F.count("*").alias("size"))
+    met = sharing(classes, classes.withColumnRenamed("class", "other"), "elements", "class", "other")
+    sizes = classes.select(F.col("class").alias("other"), "size")
+    total = met.join(sizes, "other").groupBy("class").agg((F.sum("size") - 1).alias("n"))
+    return each.select(ident, "class").join(total, "class").select(ident, "n")
 
 
 def overlaps(rows: DataFrame, key: str, start: str, end: str, ident: str, width: int) -> DataFrame:
@@ -49,16 +69,33 @@ def adjacent(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return rows.withColumn("next_start", F.lead(start).over(w)).where(F.col(end) + 1 == F.col("next_start"))
 
 
-def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """JN4: texts whose words hold a name as a prefix-free part: candidates by word pieces, then exact.
+def _pieces(text: str, size: int) -> Column:
+    """Distinct parts of a length; of shorter texts none."""
+    n = F.length(text) - (size - 1)
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, text: str, names: DataFrame, name: str, salts: int = 8) -> DataFrame:
+    """JN4: texts that hold a name, of whatever length; an empty name is in every text.
 
-    A name can only lie in a text that has the name's first three letters somewhere, so both sides meet
-    on that piece instead of every text meeting every name. Names of under three letters never match.
+    A name can only lie in a text that has one of the name's three-letter pieces, so both sides meet on
+    the piece of the name that fewest texts have, instead of every text meeting every name. Names of one
+    or two letters meet on themselves. Texts are salted and names repeated, so a frequent piece is no
+    single task.
     """
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(3))))
-    a = texts.withColumn("piece", F.explode(pieces))
-    b = names.where(F.length(name) >= 3).withColumn("piece", F.substring(name, 1, 3))
-    return a.join(b, "piece").where(F.col(text).contains(F.col(name))).drop("piece")
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    # texts that are alike are looked through once
+    known = texts.select(F.col(text).alias("_t")).where("_t is not null").distinct().withColumn("salt", F.pmod(F.xxhash64("_t"), F.lit(salts)))
+    wanted = names.select(F.col(name).alias("_n")).where("_n is not null").distinct()
+    held = known.select("_t", "salt", F.explode(_pieces("_t", 3)).alias("piece"))
+    often = held.groupBy("piece").agg(F.count("*").alias("often"))
+    long = wanted.where("length(_n) >= 3").select("_n", F.explode(_pieces("_n", 3)).alias("piece"))
+    rarest = long.join(often, "piece").groupBy("_n").agg(F.min_by("piece", F.struct("often", "piece")).alias("piece"))
+    met = held.join(rarest.withColumn("salt", salt), ["piece", "salt"]).where("contains(_t, _n)").select("_t", "_n")
+    short = wanted.where("length(_n) < 3").select("_n", F.col("_n").alias("piece")).withColumn("salt", salt)
+    parts = known.select("_t", "salt", F.explode(F.concat(_pieces("_t", 1), _pieces("_t", 2), F.array(F.lit("")))).alias("piece"))
+    met = met.unionByName(parts.join(short, ["piece", "salt"]).select("_t", "_n"))
+    return texts.join(met, F.col(text) == F.col("_t")).drop("_t").join(names, F.col(name) == F.col("_n")).drop("_n")
 
 
 def first_match(conditions: list[tuple[Column, Column]], otherwise: Column) -> Column:

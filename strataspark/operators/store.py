@@ -40,11 +40,23 @@ def insert_absent(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return rows.join(store.select(*keys).distinct(), keys, "left_anti")
 
 
-def update_matched(store: DataFrame, changes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """SK4: the store with the given fields of matching rows replaced where the change has a value."""
-    new = changes.select(*keys, *[F.col(f).alias(f"new_{f}") for f in fields])
+def update_matched(store: DataFrame, changes: DataFrame, keys: list[str], fields: list[str], stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """SK4: the store with the given fields of matching rows replaced where the change has a value, and
+    ``stamp`` set to ``now`` in these rows."""
+    new = changes.select(*keys, *[F.col(f).alias(f"new_{f}") for f in fields], F.lit(True).alias("_met"))
     joined = store.join(new, keys, "left")
-    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in store.columns])
+
+    def field(c: str) -> Column:
+        if c in fields:
+            return F.coalesce(f"new_{c}", c).alias(c)
+        return F.when(F.col("_met"), now).otherwise(F.col(c)).alias(c) if c == stamp else F.col(c)
+
+    return joined.select(*map(field, store.columns))
+
+
+def absent(store: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """SK4: keys of changes that no row of the store has (404)."""
+    return changes.select(*keys).distinct().join(store.select(*keys), keys, "left_anti")
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -67,3 +79,31 @@ def changed(old: DataFrame, new: DataFrame, key: str, hashed: str) -> DataFrame:
     both = o.join(n, F.col("old_key") == F.col("new_key"), "full")
     kind = F.when(F.col("old_key").isNull(), "added").when(F.col("new_key").isNull(), "removed").when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "changed")
     return both.select(F.coalesce("new_key", "old_key").alias(key), kind.alias("change")).where("change is not null")
+
+
+def read_through(nodes: DataFrame, tiers: list[DataFrame], key: str, hashed: str) -> DataFrame:
+    """CC1: each node with what the first tier holds for it under the same hash, and the tier's number
+    (from 0; null for a miss). Each tier: key, hash, content; it is asked only by what the earlier ones missed."""
+    out = nodes.withColumns({"content": F.lit(None).cast("string"), "tier": F.lit(None).cast("int")})
+    for i, tier in enumerate(tiers):
+        t = tier.select(F.col(key).alias("_k"), F.col(hashed).alias("_h"), F.col("content").alias("_c"))
+        found = F.col("tier").isNull() & F.col("_c").isNotNull()
+        joined = out.join(t, (out[key] == t["_k"]) & (out[hashed] == t["_h"]), "left")
+        out = joined.withColumns({"content": F.coalesce("content", "_c"), "tier": F.when(found, F.lit(i)).otherwise(F.col("tier"))}).drop("_k", "_h", "_c")
+    return out
+
+
+def invalidated(cached: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """TR6: what a cache keeps after changes (see ``changed``): what changed or went is dropped."""
+    return cached.join(changes.where("change in ('changed', 'removed')").select(key), key, "left_anti")
+
+
+def rejected(store: DataFrame, rows: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """SK3: rows that an insert refuses, with the reason: 400 where a required field is missing, 409 where
+    the key is in the store already."""
+    there = store.select(*keys, F.lit(True).alias("_there")).distinct()
+    missing = F.lit(False)
+    for c in required:
+        missing = missing | F.col(c).isNull()
+    status = F.when(missing, 400).when(F.col("_there"), 409)
+    return rows.join(there, keys, "left").withColumn("status", status).drop("_there").where("status is not null")

@@ -79,10 +79,11 @@ def gr2_resolved(spark, root):
 
 
 def gr3_reach(spark, root):
-    """Depth of every node of the projects' path trees below their roots."""
-    nodes = pj9_path_tree(spark, root).select(F.concat("project_id", F.lit("/"), "path").alias("path"))
-    roots = nodes.select(F.regexp_extract("path", r"^([^/]+)", 1).alias("node")).distinct()
-    return graph.reach(graph.tree_edges(nodes), roots)
+    """Depth of every node of the projects' path trees below their roots; a path names what is above it."""
+    nodes = pj9_path_tree(spark, root).select(F.concat("project_id", F.lit("/"), "path").alias("node"))
+    parts = F.split("node", "/")
+    tree = nodes.select(parts[0].alias("seed"), "node", (F.size(parts) - 1).alias("depth"))
+    return tree.unionByName(tree.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
 
 
 def gr4_descendants(spark, root):

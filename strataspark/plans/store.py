@@ -80,12 +80,22 @@ def jn4_containing(spark, root):
     return joins.containing(p, "p_name", n, "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _named_paths(spark, root):
+    r = load(spark, root, "documentation_requests").dropDuplicates(["request_id"])
+    return r.select("request_id", F.filter(F.coalesce("file_paths", F.array().cast("array<string>")), lambda p: p.isNotNull()).alias("paths"))
+
+
 def jn5_sharing(spark, root):
-    r = load(spark, root, "documentation_requests").dropDuplicates(["request_id"]).select("request_id", F.filter(F.coalesce("file_paths", F.array().cast("array<string>")), lambda p: p.isNotNull()).alias("paths"))
+    r = _named_paths(spark, root)
     pairs = joins.sharing(r, r.withColumnRenamed("request_id", "other_id"), "paths", "request_id", "other_id")
     return pairs.where("request_id < other_id").groupBy("request_id").agg(F.count("*").alias("n"))
 
 
+def jn5_sharers(spark, root):
+    """How many other requests name a path that a request names; requests of the same paths are one class."""
+    return joins.sharers(_named_paths(spark, root), "paths", "request_id").where("n > 0")
+
+
 def jn7_defaults(spark, root):
     m = records(spark, root).select("record_id", F.explode(F.map_entries("metrics.function_metrics")).alias("e")).select("record_id", F.col("e.key").alias("name"), F.col("e.value.complexity").alias("measured"))
     f = records(spark, root).select("record_id", F.explode("functions").alias("f")).where("f.name is not null").select("record_id", F.col("f.name").alias("name"))
@@ -163,7 +173,7 @@ def tr1_rate_limit(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        fl6_lookup, fl7_search, fl_valid_paths, fl8_validators, fl17_dispatch, so1_latest_first, so2_newest_per_project, sk3_insert_absent, sk4_update, jn1_last_wins, jn2_first_wins, jn4_containing, jn5_sharing,
+        fl6_lookup, fl7_search, fl_valid_paths, fl8_validators, fl17_dispatch, so1_latest_first, so2_newest_per_project, sk3_insert_absent, sk4_update, jn1_last_wins, jn2_first_wins, jn4_containing, jn5_sharing, jn5_sharers,
         jn7_defaults, jn8_cache, jn9_semi, jn11_overlaps, jn12_adjacent, st1_union_of_sets, st3_toggle, st4_missing_keys, pj2_mapped_functions, pj4_flat_metrics, pj5_metric_cards, pj9_path_tree, tr1_rate_limit,
     )
 }
@@ -189,8 +199,9 @@ ORACLES = {
         SELECT file_id, s.project_id, s.file_path, coalesce(l.language, s.language) AS language FROM {_S} s LEFT JOIN l ON l.project_id = s.project_id AND l.file_path = s.file_path""",
     "jn1_last_wins": f"SELECT record_id, f.name AS name, max(pos)::INT AS pos, arg_max({{'d': f.docstring}}, pos).d AS docstring FROM {_F} WHERE f.name IS NOT NULL GROUP BY ALL",
     "jn2_first_wins": f"SELECT record_id, f.name AS name, min(pos)::INT AS pos, arg_min({{'d': f.docstring}}, pos).d AS docstring FROM {_F} WHERE f.name IS NOT NULL GROUP BY ALL",
-    "jn4_containing": "WITH n AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part) SELECT word, count(*) AS n FROM part JOIN n ON contains(p_name, word) WHERE length(word) >= 3 GROUP BY word",
+    "jn4_containing": "WITH n AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part) SELECT word, count(*) AS n FROM part JOIN n ON contains(p_name, word) GROUP BY word",
     "jn5_sharing": f"""WITH e AS (SELECT DISTINCT request_id, unnest(file_paths) AS p FROM {_R}) SELECT a.request_id, count(DISTINCT b.request_id) AS n FROM e a JOIN e b ON a.p = b.p AND a.request_id < b.request_id GROUP BY a.request_id""",
+    "jn5_sharers": f"""WITH e AS (SELECT DISTINCT request_id, unnest(file_paths) AS p FROM {_R}) SELECT a.request_id, count(DISTINCT b.request_id) AS n FROM e a JOIN e b ON a.p = b.p AND a.request_id <> b.request_id GROUP BY a.request_id""",
     "jn7_defaults": f"""WITH m AS (SELECT record_id, unnest(map_entries(metrics.function_metrics)) AS e FROM {_D})
         SELECT x.record_id, x.f.name AS name, coalesce(m.e.value.complexity, 0.0) AS measured FROM {_F} x LEFT JOIN m ON m.record_id = x.record_id AND m.e.key = x.f.name WHERE x.f.name IS NOT NULL""",
     "jn8_cache": "SELECT coalesce(n_chars > 300 AND source <> 'readme' AND text IS NOT NULL AND source IS NOT NULL, false) AS hit, count(*) AS n FROM documents GROUP BY ALL",

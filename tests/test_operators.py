@@ -46,7 +46,24 @@ def test_overlaps_against_all_pairs(spark):
 def test_containing(spark):
     t = spark.createDataFrame([(1, "xUserRepo"), (2, "user"), (3, ""), (4, "ab")], "id int, t string")
     n = spark.createDataFrame([("User",), ("ab",), ("Repo",)], "n string")
-    assert {(r.id, r.n) for r in joins.containing(t, "t", n, "n").collect()} == {(1, "User"), (1, "Repo")}
+    assert {(r.id, r.n) for r in joins.containing(t, "t", n, "n").collect()} == {(1, "User"), (1, "Repo"), (4, "ab")}
+
+
+def test_containing_against_all_pairs(spark):
+    random.seed(8)
+    texts = [(i, "".join(random.choices("abc ", k=random.randint(0, 9)))) for i in range(80)] + [(98, None)]
+    names = [("".join(random.choices("abc", k=random.randint(0, 4))),) for _ in range(40)] + [(None,), ("",)]
+    want = sorted((i, n) for i, t in texts for (n,) in names if t is not None and n is not None and n in t)
+    got = joins.containing(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(names, "n string"), "n").collect()
+    assert sorted((r.id, r.n) for r in got) == want
+
+
+def test_sharers_against_all_pairs(spark):
+    random.seed(9)
+    rows = [(i, random.sample("abcdefgh", random.randint(0, 2))) for i in range(60)] + [(90, None), (91, [])]
+    want = {i: n for i, a in rows if (n := sum(1 for j, b in rows if i != j and set(a or []) & set(b or [])))}
+    df = spark.createDataFrame(rows, "id int, a array<string>").selectExpr("id", "coalesce(a, array()) a")
+    assert {r.id: r.n for r in joins.sharers(df, "a", "id").where("n > 0").collect()} == want
 
 
 def test_reach_ends_on_cycles(spark):
@@ -56,6 +73,38 @@ def test_reach_ends_on_cycles(spark):
     assert {r.node for r in graph.reach(edges, seeds, 1).collect()} == {"a", "b", "d", "zz"}
 
 
+def test_reach_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(60)], "src string, dst string")
+    assert graph.reach(edges, spark.createDataFrame([("0",)], "node string")).count() == 61
+
+
+def test_context_is_the_queue(spark):
+    random.seed(10)
+    for _ in range(4):
+        n = 30
+        nodes = {str(i): (random.choice("xxy"), random.choice((0, 1, 3, 7, 20))) for i in range(n)}
+        edges = [(str(i), str(j)) for i in range(n) for j in random.sample(range(n), 3)]
+        seeds = [(f"s{i}", str(random.randrange(n + 2)), "x", random.choice((0, 5, 25, 90))) for i in range(6)]
+        want = set()
+        for seed, start, language, budget in seeds:
+            queue, seen, used, pos = [(start, 0)], set(), 0, 0
+            while queue and used < budget:
+                node, depth = queue.pop(0)
+                if node in seen or node not in nodes:
+                    continue
+                seen.add(node)
+                if nodes[node][0] == language and used + nodes[node][1] <= budget:
+                    want.add((seed, pos, node, depth, nodes[node][1]))
+                    used, pos = used + nodes[node][1], pos + 1
+                    queue += [(d, depth + 1) for s, d in edges if s == node]
+        got = graph.context(
+            spark.createDataFrame([(k, *v) for k, v in nodes.items()], "node string, language string, tokens int"),
+            spark.createDataFrame([(s, d, i) for i, (s, d) in enumerate(edges)], "src string, dst string, pos bigint"),
+            spark.createDataFrame(seeds, "seed string, node string, language string, budget bigint"),
+        )
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_line_chunks_and_budget(spark):
     df = spark.createDataFrame([(1, "\n".join(["x" * 8] * 5)), (2, ""), (3, "y" * 400)], "id int, t string")
     got = {(r.id, r.chunk_no): (r.start_line, r.end_line) for r in chunking.line_chunks(df, "id", "t", 4).collect()}

@@ -26,8 +26,8 @@ def heading_level(line: Column) -> Column:
 
 
 def anchor(title: Column) -> Column:
-    """SF4: anchor of a heading: lower case, word signs, dashes for blanks."""
-    return F.replace(F.regexp_replace(F.lower(title), r"[^A-Za-z0-9_\- ]", ""), F.lit(" "), F.lit("-"))
+    """SF4: anchor of a heading: lower case, word signs of any script, dashes for blanks."""
+    return F.replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\- ]", ""), F.lit(" "), F.lit("-"))
 
 
 def table_row(cells: list[Column]) -> Column:
@@ -85,3 +85,33 @@ def format_google(summary: Column, args: Column) -> Column:
 def occurrences(text: Column, part: str) -> Column:
     """AG16: how often a text holds a part, without overlaps."""
     return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+
+
+def signed(value: Column, digits: int = 1) -> Column:
+    """SF16: fixed digits with a sign in front of what is above 0; N/A without value."""
+    return F.when(value > 0, F.concat(F.lit("+"), fixed(value, digits))).otherwise(fixed(value, digits))
+
+
+def comment_text(comment: Column) -> Column:
+    """SF25: a C++ comment line without its slashes."""
+    return F.regexp_replace(comment, r"^[ \t]*///?[ \t]*", "")
+
+
+def go_type(kind: Column) -> Column:
+    """SF26: a Go type as it is printed: pointers, slices and names of a package; ``unknown`` for all else."""
+    return F.when(kind.rlike(r"^(?:\*|\[\])*[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?$"), kind).otherwise(F.lit("unknown"))
+
+
+def duration(seconds: Column) -> Column:
+    """SF24: seconds as ``[d day[s], ]h:mm:ss``."""
+    s = F.floor(seconds).cast("bigint")
+    days = F.floor(s / 86400)
+    day = F.when(days == 1, F.lit("1 day, ")).when(days != 0, F.concat(days.cast("string"), F.lit(" days, "))).otherwise(F.lit(""))
+    clock = F.format_string("%d:%02d:%02d", F.floor(s % 86400 / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
+    return F.concat(day, clock)
+
+
+def comment_lines(text: Column) -> Column:
+    """RM11: the lines of a block comment without its marks."""
+    body = F.regexp_replace(F.regexp_replace(text, r"^[ \t]*/\*\*[ \t]*\n?", ""), r"\n?[ \t]*\*/[ \t]*$", "")
+    return F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"^[ \t]*\* ?", ""))

@@ -116,7 +116,7 @@ ORACLES = {
     "sf3_table": "SELECT n_nationkey, '| ' || n_name || ' | ' || n_regionkey || ' |' AS row FROM nation",
     "sf4_toc": rf"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM {_T}),
         t AS (SELECT doc_id, pos, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(replace(trim(regexp_replace(line, '^#+', '')), chr(13), '')) AS title FROM l WHERE line LIKE '#%')
-        SELECT doc_id, pos::INT AS pos, level::INT AS level, repeat('  ', level::INT - 1) || '- [' || title || '](#' || replace(regexp_replace(lower(title), '[^A-Za-z0-9_\- ]', '', 'g'), ' ', '-') || ')' AS entry FROM t WHERE title <> ''""",
+        SELECT doc_id, pos::INT AS pos, level::INT AS level, repeat('  ', level::INT - 1) || '- [' || title || '](#' || replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\- ]', '', 'g'), ' ', '-') || ')' AS entry FROM t WHERE title <> ''""",
     "sf5_badges": """SELECT p_partkey, c AS colour, '![Unit%20Size](https://img.shields.io/badge/Unit%20Size-' || printf('%.2f', p_size::DOUBLE) || '-' || c || ')' AS badge
         FROM (SELECT *, CASE WHEN p_size <= 10 THEN 'success' WHEN p_size <= 30 THEN 'yellow' ELSE 'critical' END AS c FROM part)""",
     "sf8_estimate": f"SELECT source, sum(length(text) // 4)::BIGINT AS tokens, (sum(length(text)) // 4)::BIGINT AS tokens_at_once FROM {_T} GROUP BY source",

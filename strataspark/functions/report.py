@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,29 @@ def report(name: Column, badges: Column, summary: Column, sections: list[Column]
     """RM14: name, badges, summary and the sections that are there, behind their table of contents."""
     body = F.concat_ws("\n\n", F.concat(F.lit("# "), name), F.nullif(badges, F.lit("")), F.nullif(summary, F.lit("")), *sections)
     return F.concat(F.lit("# Table of Contents\n\n"), contents(body), F.lit("\n\n"), body)
+
+
+#: UD3: filters that templates may name; more can be put in.
+FILTERS = {
+    "title": F.initcap,
+    "upper": F.upper,
+    "lower": F.lower,
+    "trim": F.trim,
+    "escape": escape_markdown,
+}
+
+
+def render(template: str, values: dict[str, Column], filters: dict | None = None) -> Column:
+    """SF27: a template whose ``{{ name|filter|... }}`` places are filled; missing values are empty."""
+    known = FILTERS | (filters or {})
+    parts = []
+    for i, piece in enumerate(re.split(r"\{\{(.*?)\}\}", template)):
+        if i % 2 == 0:
+            parts.append(F.lit(piece))
+            continue
+        name, *used = (x.strip() for x in piece.split("|"))
+        value = values[name].cast("string")
+        for f in used:
+            value = known[f](value)
+        parts.append(F.coalesce(value, F.lit("")))
+    return F.concat(*parts)

@@ -104,3 +104,28 @@ def first_match(conditions: list[tuple[Column, Column]], otherwise: Column) -> C
     for condition, value in reversed(conditions):
         out = F.when(condition, value).otherwise(out)
     return out
+
+
+def every_match(declarations: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """JN3: every document of a declaration, not the first one only."""
+    return declarations.join(docs, keys)
+
+
+def two_level(docs: DataFrame, members: DataFrame, outer: list[str], name: str, inner: str) -> DataFrame:
+    """JN6: class by class, then method by method inside it: rows whose class is in both (``matched`` tells
+    whether the method is as well). Both: the outer keys, ``name`` (class), ``inner`` (method), and their own columns."""
+    classes = members.select(*outer, name).distinct()
+    own = [c for c in members.columns if c not in (*outer, name, inner)]
+    there = members.withColumn("matched", F.lit(True)).select(*outer, name, inner, *own, "matched")
+    return docs.join(classes, [*outer, name], "left_semi").join(there, [*outer, name, inner], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, order: str, value: str, otherwise: Column) -> DataFrame:
+    """JN14, JN15: the first row of a table for a key, and something else where there is none."""
+    first = table.groupBy(key).agg(F.min_by(value, order).alias(value))
+    return rows.join(first, key, "left").withColumn(value, F.coalesce(F.col(value), otherwise))
+
+
+def merged(left: Column, right: Column) -> Column:
+    """PJ3: two maps as one, the right one wins."""
+    return F.map_zip_with(left, right, lambda k, a, b: F.coalesce(b, a))

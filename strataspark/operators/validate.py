@@ -38,3 +38,23 @@ def summary_quality(text: Column) -> Column:
     return violations(
         {"words": F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")) >= 3, "capital": text.rlike(r"^[A-Z]"), "stop": text.rlike(r"[.?!]\s*$"), "length": F.length(text) >= 10}
     )
+
+
+#: What a function of a service's answer must have, and the type of each.
+FUNCTION_SCHEMA = {"name": ("STRING",), "docstring": ("STRING",), "args": ("ARRAY",), "async": ("BOOLEAN",)}
+#: The same for the metrics of a script file.
+METRICS_SHAPE = {"complexity": ("BIGINT", "DECIMAL", "DOUBLE"), "maintainability_index": ("BIGINT", "DECIMAL", "DOUBLE"), "halstead": ("OBJECT",)}
+
+
+def shape_errors(value: Column, schema: dict[str, tuple[str, ...]]) -> Column:
+    """VA2, VA8: what a JSON object (variant) lacks of a schema, or has of another type: array<path, message>."""
+
+    def kind(field: str) -> Column:
+        return F.regexp_extract(F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant")), "^[A-Z]+", 0)
+
+    checks = []
+    for field, kinds in schema.items():
+        k = kind(field)
+        message = F.when(k.isNull(), "required").when(~k.isin(*kinds), "type")
+        checks.append(F.when(message.isNotNull(), F.struct(F.lit(field).alias("path"), message.alias("message"))))
+    return F.array_compact(F.array(*checks))

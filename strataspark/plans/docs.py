@@ -207,7 +207,8 @@ ORACLES = {
         b AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM h),
         o AS (SELECT doc_id, block, bool_or(ours) AS ours FROM b GROUP BY ALL),
         k AS (SELECT b.* FROM b JOIN o USING (doc_id, block) WHERE NOT b.head AND (o.ours OR block = 0) QUALIFY block = max(block) OVER (PARTITION BY doc_id)),
-        q AS (SELECT *, count(*) FILTER (line LIKE '```%') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fences, count(*) FILTER (line LIKE '```%') OVER (PARTITION BY doc_id) AS n FROM k)
+        z AS (SELECT * FROM k QUALIFY pos <= max(CASE WHEN line <> '' THEN pos END) OVER (PARTITION BY doc_id)),
+        q AS (SELECT *, count(*) FILTER (line LIKE '```%') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fences, count(*) FILTER (line LIKE '```%') OVER (PARTITION BY doc_id) AS n FROM z)
         SELECT doc_id, ((fences - 1) // 2)::INT AS pos, md5(coalesce(string_agg(CASE WHEN line NOT LIKE '```%' THEN line END, chr(10) ORDER BY pos), '')) AS code_md5 FROM q WHERE fences % 2 = 1
         GROUP BY doc_id, fences HAVING max(n) > fences OR count(*) > 1""",
     "va3_errors": f"{_parsed(_TEXTS)} SELECT doc_id, md5(errors) AS errors_md5, n::INT AS n FROM y",

@@ -1,0 +1,205 @@
+"""Queries of the smaller filters, projections, joins and checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import report
+from ..functions import text as T
+from ..operators import extract, joins, validate
+from ..sources import files as trees
+from ..sources.tables import load
+from .metrics import calls, records
+from .store import files
+
+IGNORED = ["build/", "*.json", "!deploy/*.json", "src/core/**", "tests/[a-m]*.py", "vendor", "**/gen/*"]
+
+
+def _suffixed(spark, root, *suffixes):
+    return files(spark, root).where("code is not null").where(F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1)).isin(*suffixes))
+
+
+def fl5_ignored(spark, root):
+    """Paths that an ignore file with folders, globs and negations keeps."""
+    return files(spark, root).where("file_path is not null").where(~trees.ignored(F.col("file_path"), IGNORED)).select("file_id", "file_path")
+
+
+def fl9_not_empty(spark, root):
+    return load(spark, root, "documents").where(F.col("text").rlike(r"\S")).select("doc_id")
+
+
+def fl11_kept_results(spark, root):
+    return calls(spark, root).where("success and tokens > 0").select("seq", "tokens")
+
+
+def fl13_suffixes(spark, root):
+    p = F.lower("file_path")
+    return files(spark, root).select("file_id", p.rlike(r"\.(ts|tsx)$").alias("is_typescript"), p.rlike(r"\.(jsx|tsx)$").alias("is_react"))
+
+
+def fl14_comments(spark, root):
+    """Comment lines that are no part of a doc block, and the lines of the first doc block without its marks."""
+    f = _suffixed(spark, root, "js", "mjs", "ts")
+    lines = F.transform(F.filter(F.split(F.replace("code", F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x).startswith("//") | F.trim(x).startswith("*")), lambda x: F.trim(x))
+    block = F.regexp_extract(F.replace("code", F.lit("\r"), F.lit("")), r"(?s)(/\*\*.*?\*/)", 1)
+    return f.select("file_id", F.size(F.filter(lines, lambda x: ~x.startswith("*"))).alias("n_plain"), F.when(block != "", F.md5(F.array_join(T.comment_lines(block), "|"))).alias("block_md5"))
+
+
+def pj1_dropped(spark, root):
+    return load(spark, root, "documents").drop("text", "n_chars", "updated_at")
+
+
+def pj3_merged(spark, root):
+    """Defaults and measured values of a record as one map, the measured ones win."""
+    m = F.col("metrics")
+    left = F.create_map(F.lit("complexity"), F.lit(0.0), F.lit("maintainability_index"), F.lit(100.0), F.lit("coverage"), F.lit(0.0))
+    right = F.map_filter(F.create_map(F.lit("complexity"), m["complexity"], F.lit("maintainability_index"), m["maintainability_index"], F.lit("volume"), m["halstead"]["volume"]), lambda k, v: v.isNotNull())
+    return records(spark, root).select("record_id", F.explode(joins.merged(left, right)).alias("key", "value"))
+
+
+def jn3_every_match(spark, root):
+    """Every documented function of a project whose name is that of a Go function, in any spelling."""
+    plain = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit("")))
+    go = _suffixed(spark, root, "go")
+    decl = extract.declarations(go, "go").where("kind = 'function'").join(go.select("file_id", "project_id"), "file_id").select("file_id", "pos", "project_id", plain(F.col("name")).alias("key"))
+    f = records(spark, root).select("record_id", "project_id", F.posexplode("functions").alias("doc_pos", "f")).where("f.name is not null")
+    return joins.every_match(decl, f.select("record_id", "doc_pos", "project_id", plain(F.col("f.name")).alias("key")), ["project_id", "key"]).select("file_id", "pos", "record_id", "doc_pos")
+
+
+def jn6_two_level(spark, root):
+    """Methods of a record found again in another record of the project: first the class, then the method."""
+    c = records(spark, root).where("project_id is not null").select("record_id", "project_id", F.explode("classes").alias("c")).where("c.name is not null")
+    m = c.select("record_id", "project_id", F.col("c.name").alias("class"), F.explode("c.methods").alias("m")).where("m.name is not null").select("record_id", "project_id", "class", F.col("m.name").alias("method"), F.col("m.complexity").alias("complexity"))
+    new = m.groupBy("project_id", "class", "method").agg(F.max("record_id").alias("last_record"))
+    old = m.groupBy("project_id", "class", "method").agg(F.min("record_id").alias("record_id"), F.count("*").alias("n"))
+    return joins.two_level(old, new.where("last_record % 2 = 0"), ["project_id"], "class", "method")
+
+
+def jn14_first_of_tag(spark, root):
+    """Each tag of a page beside the first page that has it."""
+    s = _suffixed(spark, root, "html", "htm")
+    tags = s.select("file_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("code", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower))).alias("tag"))
+    return joins.looked_up(tags, tags.withColumnRenamed("file_id", "first_file"), "tag", "first_file", "first_file", F.lit(-1))
+
+
+def jn15_language_info(spark, root):
+    """The language that an alias stands for; what no alias is known for stands for itself."""
+    f = files(spark, root).select("file_id", F.lower(F.trim("language")).alias("alias"))
+    return joins.looked_up(f, load(spark, root, "language_aliases"), "alias", "language", "language", F.col("alias"))
+
+
+def so4_first_args(spark, root):
+    """The first three arguments, and dots where there are more."""
+    f = records(spark, root).select("record_id", F.posexplode("functions").alias("pos", "f")).where("f.args is not null")
+    a = F.array_compact(F.col("f.args"))
+    return f.select("record_id", "pos", F.concat(F.array_join(F.slice(a, 1, 3), ", "), F.when(F.size(a) > 3, ", ...").otherwise("")).alias("args"))
+
+
+def so7_indented(spark, root):
+    return records(spark, root).select("record_id", F.md5(trees.sorted_json(["file_path", "language", "project_id", "version"])).alias("json_md5"))
+
+
+def st2_bag(spark, root):
+    """Names of functions and of methods, one bag."""
+    r = records(spark, root)
+    a = r.select(F.explode("functions").alias("f")).select(F.col("f.name").alias("name"))
+    b = r.select(F.explode("classes").alias("c")).select(F.explode("c.methods").alias("m")).select(F.col("m.name").alias("name"))
+    return a.unionAll(b).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def sf25_comment_text(spark, root):
+    c = _suffixed(spark, root, "cpp", "cc", "h", "hpp").select("file_id", F.posexplode(F.regexp_extract_all(F.replace("code", F.lit("\r"), F.lit("")), F.lit(r"(?m)^[ \t]*//[^\n]*"), F.lit(0))).alias("pos", "line"))
+    return c.select("file_id", "pos", F.md5(T.comment_text(F.col("line"))).alias("text_md5"))
+
+
+def sf26_field_types(spark, root):
+    """Fields of Go structs: name and type, as it is printed."""
+    c = _suffixed(spark, root, "go").select("file_id", F.posexplode(F.regexp_extract_all(F.replace("code", F.lit("\r"), F.lit("")), F.lit(r"(?m)^\t[A-Z][A-Za-z0-9]* [^\n`]+ `"), F.lit(0))).alias("pos", "line"))
+    parts = c.select("file_id", "pos", F.regexp_extract("line", r"^\t([A-Za-z0-9]+) ", 1).alias("name"), F.trim(F.regexp_extract("line", r"^\t[A-Za-z0-9]+ (.*) `$", 1)).alias("kind"))
+    return parts.select("file_id", "pos", "name", T.go_type(F.col("kind")).alias("type"))
+
+
+def sf27_rendered(spark, root):
+    values = {"name": F.regexp_extract("file_path", r"([^/]*)$", 1), "language": F.col("language"), "summary": F.col("summary"), "version": F.col("version")}
+    page = report.render("# {{ name|escape }}\n\n{{ language|upper }} {{ version }}\n\n{{ summary|first }}", values, {"first": lambda c: F.substring(c, 1, 20)})
+    return records(spark, root).select("record_id", F.md5(page).alias("page_md5"))
+
+
+def va2_functions(spark, root):
+    """What the functions of service answers lack of their schema."""
+    r = load(spark, root, "doc_responses").dropDuplicates(["response_id"]).select("response_id", F.try_parse_json("payload").alias("v"))
+    f = r.select("response_id", F.posexplode(F.try_variant_get("v", "$.functions", "array<variant>")).alias("pos", "f")).where("f is not null")
+    return f.select("response_id", "pos", F.array_join(F.transform(validate.shape_errors(F.col("f"), validate.FUNCTION_SCHEMA), lambda e: F.concat_ws(":", e["path"], e["message"])), ",").alias("errors"))
+
+
+def va8_metrics(spark, root):
+    """What the payloads of structure records lack of the shape of metrics."""
+    r = load(spark, root, "structure_records").dropDuplicates(["record_id"]).select("record_id", F.try_parse_json("payload").alias("v")).where("v is not null")
+    return r.select("record_id", F.array_join(F.transform(validate.shape_errors(F.col("v"), validate.METRICS_SHAPE), lambda e: F.concat_ws(":", e["path"], e["message"])), ",").alias("errors"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fl5_ignored, fl9_not_empty, fl11_kept_results, fl13_suffixes, fl14_comments, pj1_dropped, pj3_merged, jn3_every_match, jn6_two_level, jn14_first_of_tag, jn15_language_info, so4_first_args, so7_indented,
+        st2_bag, sf25_comment_text, sf26_field_types, sf27_rendered, va2_functions, va8_metrics,
+    )
+}
+
+_C = "(SELECT DISTINCT * FROM api_calls)"
+_D = "(SELECT * FROM documentation QUALIFY row_number() OVER (PARTITION BY record_id) = 1)"
+_S = "(SELECT * FROM source_files QUALIFY row_number() OVER (PARTITION BY file_id) = 1)"
+_P = "(SELECT response_id, payload FROM doc_responses WHERE json_valid(payload) QUALIFY row_number() OVER (PARTITION BY response_id) = 1)"
+
+
+def _of(*suffixes: str) -> str:
+    named = ", ".join(f"'{s}'" for s in suffixes)
+    return f"(SELECT file_id, project_id, replace(code, chr(13), '') AS code FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ({named}))"
+
+
+def _shape(value: str, fields: dict[str, str]) -> str:
+    checks = ", ".join(f"CASE WHEN json_type({value}, '$.{f}') IS NULL OR json_type({value}, '$.{f}') = 'NULL' AND FALSE THEN '{f}:required' WHEN json_type({value}, '$.{f}') NOT IN ({kinds}) THEN '{f}:type' END" for f, kinds in fields.items())
+    return f"array_to_string([x FOR x IN [{checks}] IF x IS NOT NULL], ',')"
+
+
+ORACLES = {
+    "fl5_ignored": f"""SELECT file_id, file_path FROM {_S} WHERE file_path IS NOT NULL AND NOT (
+        (regexp_matches('/' || file_path, '/build/.') AND NOT regexp_matches(file_path, '^deploy/[^/]*\\.json$')) OR (regexp_matches(file_path, '\\.json(/|$)') AND NOT regexp_matches(file_path, '^deploy/[^/]*\\.json(/|$)'))
+        OR starts_with(file_path, 'src/core/') OR regexp_matches(file_path, '^tests/[a-m][^/]*\\.py(/|$)') OR list_contains(string_split(file_path, '/'), 'vendor') OR regexp_matches('/' || file_path, '/gen/.'))""",
+    "fl9_not_empty": "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) > 0",
+    "fl11_kept_results": f"SELECT seq, tokens FROM {_C} WHERE success AND tokens > 0",
+    "fl13_suffixes": f"SELECT file_id, list_contains(['ts', 'tsx'], string_split(lower(file_path), '.')[-1]) AS is_typescript, list_contains(['jsx', 'tsx'], string_split(lower(file_path), '.')[-1]) AS is_react FROM {_S}",
+    "fl14_comments": rf"""WITH f AS {_of('js', 'mjs', 'ts')}, b AS (SELECT file_id, code, strpos(code, '/**') AS i FROM f), e AS (SELECT *, CASE WHEN i > 0 THEN strpos(code[i + 3:], '*/') ELSE 0 END AS j FROM b),
+        t AS (SELECT file_id, code, CASE WHEN j > 0 THEN code[i + 3:i + j + 1] END AS body FROM e)
+        SELECT file_id, len([x FOR x IN string_split(code, chr(10)) IF starts_with(ltrim(x, ' '), '//')])::INT AS n_plain,
+            md5(array_to_string([regexp_replace(x, '^[ \t]*\* ?', '') FOR x IN string_split(regexp_replace(regexp_replace(body, '^[ \t]*\n?', ''), '\n?[ \t]*$', ''), chr(10))], '|')) AS block_md5 FROM t""",
+    "pj1_dropped": "SELECT * EXCLUDE (text, n_chars, updated_at) FROM documents",
+    "pj3_merged": f"""WITH d AS (SELECT record_id, metrics.complexity AS c, metrics.maintainability_index AS m, metrics.halstead.volume AS v FROM {_D})
+        SELECT record_id, 'complexity' AS key, coalesce(c, 0.0) AS value FROM d UNION ALL SELECT record_id, 'maintainability_index', coalesce(m, 100.0) FROM d UNION ALL SELECT record_id, 'coverage', 0.0 FROM d
+        UNION ALL SELECT record_id, 'volume', v FROM d WHERE v IS NOT NULL""",
+    "jn3_every_match": rf"""WITH g AS {_of('go')}, x AS (SELECT file_id, project_id, regexp_extract_all(code, '\bfunc\s+(?:\([^()]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\(', 1) AS xs FROM g),
+        d AS (SELECT file_id, project_id, unnest(range(len(xs)))::INT AS pos, lower(replace(unnest(xs), '_', '')) AS key FROM x),
+        f AS (SELECT record_id, project_id, (i - 1)::INT AS doc_pos, lower(replace(functions[i].name, '_', '')) AS key FROM {_D}, LATERAL (SELECT unnest(range(1, len(functions) + 1)) AS i) WHERE functions[i].name IS NOT NULL)
+        SELECT file_id, pos, record_id, doc_pos FROM d JOIN f USING (project_id, key)""",
+    "jn6_two_level": f"""WITH c AS (SELECT record_id, project_id, unnest(classes) AS c FROM {_D} WHERE project_id IS NOT NULL), m AS (SELECT record_id, project_id, c.name AS class, unnest(c.methods) AS m FROM c WHERE c.name IS NOT NULL),
+        g AS (SELECT project_id, class, m.name AS method, min(record_id) AS record_id, max(record_id) AS last_record, count(*) AS n FROM m WHERE m.name IS NOT NULL GROUP BY ALL)
+        SELECT project_id, class, method, record_id, n, CASE WHEN last_record % 2 = 0 THEN last_record END AS last_record, last_record % 2 = 0 AS matched FROM g
+        WHERE (project_id, class) IN (SELECT (project_id, class) FROM g WHERE last_record % 2 = 0)""",
+    "jn14_first_of_tag": f"""WITH t AS (SELECT DISTINCT file_id, lower(unnest(regexp_extract_all(code, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM {_of('html', 'htm')}) SELECT file_id, tag, min(file_id) OVER (PARTITION BY tag) AS first_file FROM t""",
+    "jn15_language_info": f"""SELECT file_id, lower(trim(s.language)) AS alias, coalesce((SELECT min(a.language) FROM language_aliases a WHERE a.alias = lower(trim(s.language))), lower(trim(s.language))) AS language FROM {_S} s""",
+    "so4_first_args": f"""WITH e AS (SELECT record_id, (i - 1)::INT AS pos, [a FOR a IN functions[i].args IF a IS NOT NULL] AS a FROM {_D}, LATERAL (SELECT unnest(range(1, len(functions) + 1)) AS i) WHERE functions[i].args IS NOT NULL)
+        SELECT record_id, pos, array_to_string(a[1:3], ', ') || CASE WHEN len(a) > 3 THEN ', ...' ELSE '' END AS args FROM e""",
+    "so7_indented": f"""WITH p AS (SELECT record_id, [k || to_json(v) FOR k, v IN [1]] AS x FROM {_D}) SELECT record_id, md5('{{' || chr(10) || array_to_string([x FOR x IN ['  "file_path" : ' || to_json(file_path), '  "language" : ' || to_json(language), '  "project_id" : ' || to_json(project_id), '  "version" : ' || to_json(version)] IF x IS NOT NULL AND x NOT LIKE '%: null'], ',' || chr(10)) || chr(10) || '}}') AS json_md5 FROM {_D}""".replace("WITH p AS (SELECT record_id, [k || to_json(v) FOR k, v IN [1]] AS x FROM " + _D + ") ", ""),
+    "st2_bag": f"""WITH n AS (SELECT unnest(functions).name AS name FROM {_D} UNION ALL SELECT unnest(c.methods).name FROM (SELECT unnest(classes) AS c FROM {_D})) SELECT name, count(*) AS n FROM n WHERE name IS NOT NULL GROUP BY name""",
+    "sf25_comment_text": f"""WITH l AS (SELECT file_id, x, i FROM (SELECT file_id, string_split(code, chr(10)) AS xs FROM {_of('cpp', 'cc', 'h', 'hpp')}), LATERAL (SELECT unnest(xs) AS x, unnest(range(len(xs))) AS i) WHERE starts_with(ltrim(x, E' \\t'), '//'))
+        SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY i) - 1)::INT AS pos, md5(ltrim(CASE WHEN starts_with(ltrim(x, E' \\t'), '///') THEN ltrim(x, E' \\t')[4:] ELSE ltrim(x, E' \\t')[3:] END, E' \\t')) AS text_md5 FROM l""",
+    "sf26_field_types": f"""WITH l AS (SELECT file_id, x, i FROM (SELECT file_id, string_split(code, chr(10)) AS xs FROM {_of('go')}), LATERAL (SELECT unnest(xs) AS x, unnest(range(len(xs))) AS i) WHERE regexp_matches(x, '^\\t[A-Z][A-Za-z0-9]* [^`]+ `')),
+        p AS (SELECT file_id, i, ltrim(x, E'\\t')[:strpos(ltrim(x, E'\\t'), ' ') - 1] AS name, trim(string_split(ltrim(x, E'\\t')[strpos(ltrim(x, E'\\t'), ' ') + 1:], ' `')[1]) AS kind FROM l)
+        SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY i) - 1)::INT AS pos, name, CASE WHEN regexp_full_match(kind, '(\\*|\\[\\])*[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)?') THEN kind ELSE 'unknown' END AS type FROM p""",
+    "sf27_rendered": rf"""SELECT record_id, md5('# ' || coalesce(trim(regexp_replace(replace(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '([`*_{{}}\[$()#+\-.!|])', '\\\1', 'g'), chr(13), ''), '[ \t\n]+', ' ', 'g')), '') || chr(10) || chr(10)
+        || coalesce(upper(language), '') || ' ' || coalesce(version, '') || chr(10) || chr(10) || coalesce(summary[:20], '')) AS page_md5 FROM {_D}""",
+    "va2_functions": "WITH f AS (SELECT response_id, i::INT AS pos, payload->'$.functions'->i::INT AS f FROM " + _P + """, LATERAL (SELECT unnest(range(json_array_length(payload, '$.functions')::BIGINT)) AS i) WHERE json_type(payload, '$.functions') = 'ARRAY')
+        SELECT response_id, pos, """ + _shape("f", {"name": "'VARCHAR'", "docstring": "'VARCHAR'", "args": "'ARRAY'", "async": "'BOOLEAN'"}) + " AS errors FROM f WHERE f IS NOT NULL AND json_type(f) <> 'NULL'",
+    "va8_metrics": "WITH f AS (SELECT record_id, payload AS f FROM structure_records WHERE json_valid(payload) QUALIFY row_number() OVER (PARTITION BY record_id) = 1) SELECT record_id, "
+    + _shape("f", {"complexity": "'BIGINT', 'UBIGINT', 'DOUBLE'", "maintainability_index": "'BIGINT', 'UBIGINT', 'DOUBLE'", "halstead": "'OBJECT'"}) + " AS errors FROM f",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,43 @@ def ignore_lines(lines: DataFrame) -> DataFrame:
     return lines.select(text.alias("pattern")).where((F.length("pattern") > 0) & ~F.col("pattern").startswith("#"))
 
 
+def glob_pattern(glob: str) -> str:
+    """FL3: an ignore pattern as a regular expression over a whole path.
+
+    ``*`` and ``?`` stay inside a part, ``**`` goes over parts. A pattern with a slash inside is held to
+    the root, others match a part anywhere; what is below a match is matched as well, and a slash at the
+    end asks for a folder.
+    """
+    folder = glob.endswith("/")
+    body = glob.strip("/")
+    rooted = "/" in glob.rstrip("/")
+    out, i = "", 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif body[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif body[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif body[i] == "[" and (end := body.find("]", i + 2)) > 0:
+            out, i = out + "[" + ("^" + body[i + 2 : end] if body[i + 1] in "!^" else body[i + 1 : end]) + "]", end + 1
+        else:
+            out, i = out + re.escape(body[i]), i + 1
+    return ("^" if rooted else "^(?:.*/)?") + out + ("/.+$" if folder else "(?:/.*)?$")
+
+
+def ignored(path: Column, globs: list[str]) -> Column:
+    """FL5: whether a path is ignored: of the patterns that match, the last one decides, and one that
+    begins with ``!`` takes a path back."""
+    out = F.lit(False)
+    for glob in globs:
+        back = glob.startswith("!")
+        out = F.when(path.rlike(glob_pattern(glob[1:] if back else glob)), F.lit(not back)).otherwise(out)
+    return out
+
+
 def visible(path: Column, folders: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), globs: tuple[str, ...] = ()) -> Column:
     """FL1-FL5: no part begins with a dot or is an excluded folder, the last suffix is not skipped, no glob matches."""
     parts = F.split(path, "/")
@@ -32,10 +69,7 @@ def visible(path: Column, folders: tuple[str, ...] = (), suffixes: tuple[str, ..
         keep &= ~F.arrays_overlap(parts, F.array(*[F.lit(f) for f in folders]))
     if suffixes:
         keep &= ~F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*[s.lower() for s in suffixes])
-    for glob in globs:
-        rx = "^" + fnmatch.translate(glob.rstrip("/")).replace(r"\z", "$").replace(r"\Z", "$")
-        keep &= ~path.rlike(rx)
-    return keep
+    return keep & ~ignored(path, list(globs)) if globs else keep
 
 
 def write_by_project(docs: DataFrame, path: str) -> None:
@@ -43,6 +77,11 @@ def write_by_project(docs: DataFrame, path: str) -> None:
     docs.write.partitionBy("project_id").mode("overwrite").json(path)
 
 
+def sorted_json(fields: list[str]) -> Column:
+    """SO7: a record as JSON with its keys in order, indented."""
+    return F.to_json(F.struct(*sorted(fields)), {"pretty": "true"})
+
+
 def write_text(pages: DataFrame, column: str, path: str) -> None:
     """SK2: Markdown, one page to a line block."""
     pages.select(column).write.mode("overwrite").text(path)

@@ -59,13 +59,38 @@ def ex11_raised(spark, root):
     return ex1_python_structure(spark, root).where("kind = 'raises'").groupBy("name").agg(F.count("*").alias("n"))
 
 
-def _declared(language, *suffixes):
+def _declared(language):
     def query(spark, root):
-        return extract.declarations(_language(spark, root, *suffixes), language)
+        return extract.declarations(_language(spark, root, *extract.SUFFIXES[language]), language)
 
     return query
 
 
+def ex3_script_metrics(spark, root):
+    return extract.script_metrics(_language(spark, root, "js", "mjs"))
+
+
+def ud1_structure(spark, root):
+    """Declarations of all languages by kind, each file by the handler of its language."""
+    return extract.structure(files(spark, root)).groupBy("language", "kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
+
+
+def in1_docstrings(spark, root):
+    """Python files with a docstring put into their first function, by how many lines they grew."""
+    py = _language(spark, root, "py").where("code is not null").select("file_id", F.replace("code", F.lit("\r"), F.lit("")).alias("code"))
+    first = F.regexp_extract("code", r"(?m)^(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)", 1)
+    out = extract.insert_docstring(F.col("code"), F.nullif(first, F.lit("")), F.lit("Says what this does."))
+    grown = (F.length(out) - F.length(F.replace(out, F.lit("Says what this does."), F.lit("")))) / 20
+    return py.select("file_id", grown.cast("int").alias("n_put"), F.md5(F.regexp_replace(out, r'[ ]*"""Says what this does\."""\n', "")).alias("rest_md5"))
+
+
+def in2_comments(spark, root):
+    """Go files with a comment before their first function."""
+    go = _language(spark, root, "go").where("code is not null").select("file_id", F.replace("code", F.lit("\r"), F.lit("")).alias("code"))
+    first = F.regexp_extract("code", r"(?m)^func ([A-Za-z_][A-Za-z0-9_]*)\(", 1)
+    return go.select("file_id", F.md5(extract.insert_comment(F.col("code"), F.nullif(first, F.lit("")), F.concat(first, F.lit(" costs $1.")), "go")).alias("code_md5"))
+
+
 def gr1_dependencies(spark, root):
     return ex1_python_structure(spark, root).where("kind in ('import', 'uses')").select("file_id", "kind", "name")
 
@@ -115,14 +140,14 @@ def tr5_stream_totals(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (tr5_stream_totals, ch1_line_chunks, ch2_python_chunks, ch5_merged_chunks, ch6_token_slices, ch7_materialised, ch8_batches, so6_within_budget, ex1_python_structure, ex11_raised, gr1_dependencies, gr2_resolved, gr3_reach, gr4_descendants, va1_documents, va5_summaries, va6_exceptions)
+    for f in (tr5_stream_totals, ex3_script_metrics, ud1_structure, in1_docstrings, in2_comments, ch1_line_chunks, ch2_python_chunks, ch5_merged_chunks, ch6_token_slices, ch7_materialised, ch8_batches, so6_within_budget, ex1_python_structure, ex11_raised, gr1_dependencies, gr2_resolved, gr3_reach, gr4_descendants, va1_documents, va5_summaries, va6_exceptions)
 } | {
-    "ex2_javascript": _declared("javascript", "js", "mjs"),
-    "ex2_typescript": _declared("typescript", "ts"),
-    "ex4_java": _declared("java", "java"),
-    "ex5_go": _declared("go", "go"),
-    "ex6_cpp": _declared("cpp", "cpp", "cc", "h", "hpp"),
-    "ex7_css": _declared("css", "css"),
+    "ex2_javascript": _declared("javascript"),
+    "ex2_typescript": _declared("typescript"),
+    "ex4_java": _declared("java"),
+    "ex5_go": _declared("go"),
+    "ex6_cpp": _declared("cpp"),
+    "ex7_css": _declared("css"),
 }
 
 _D = "(SELECT * FROM documentation QUALIFY row_number() OVER (PARTITION BY record_id) = 1)"
@@ -130,12 +155,54 @@ _S = "(SELECT * FROM source_files QUALIFY row_number() OVER (PARTITION BY file_i
 _T = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
-def _declared_sql(language: str, *suffixes: str) -> str:
-    kinds = " UNION ALL ".join(
-        f"SELECT file_id, '{k}' AS kind, unnest(range(len(x)))::INT AS pos, unnest(x) AS name FROM (SELECT file_id, regexp_extract_all(code, '{p}', 1) AS x FROM f)" for k, p in extract.DECLARATIONS[language].items()
-    )
+_HIDE = {"script": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`|//[^\n]*|(?s:/\*.*?\*/)""", "clike": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|//[^\n]*|(?s:/\*.*?\*/)""", "css": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|(?s:/\*.*?\*/)"""}
+_NAME = "regexp_matches({}, '^[A-Za-z_$]')"
+
+
+def _tokens_sql(family: str, *suffixes: str) -> str:
+    """Tokens of the code outside texts and comments, each with those behind it."""
     named = ", ".join(f"'{s}'" for s in suffixes)
-    return f"WITH f AS (SELECT file_id, code FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ({named})) {kinds}"
+    word = "[-A-Za-z_][-A-Za-z0-9_]*" if family == "css" else "[A-Za-z_$][A-Za-z0-9_$]*"
+    hide = _HIDE["script" if family == "go" else family]
+    return rf"""WITH f AS (SELECT file_id, regexp_extract_all(regexp_replace(replace(code, chr(13), ''), '{hide}', ' ', 'g'), '{word}|[0-9][A-Za-z0-9_.]*|[^\s]') AS ts FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) IN ({named})),
+        u AS (SELECT file_id, unnest(range(len(ts))) AS i, unnest(ts) AS t FROM f),
+        w AS (SELECT *, lead(t) OVER s AS t1, lead(t, 2) OVER s AS t2, lead(t, 3) OVER s AS t3, lead(t, 4) OVER s AS t4 FROM u WINDOW s AS (PARTITION BY file_id ORDER BY i)),
+        p AS (SELECT file_id, i, t, lead(t) OVER s AS next, lead(i) OVER s AS till FROM u WHERE t IN ('(', ')') WINDOW s AS (PARTITION BY file_id ORDER BY i))"""
+
+
+def _numbered_sql(*parts: str) -> str:
+    return ", n AS (" + " UNION ALL ".join(parts) + ") SELECT file_id, kind, (row_number() OVER (PARTITION BY file_id, kind ORDER BY i) - 1)::INT AS pos, name FROM n"
+
+
+def _kind_sql(kind: str, when: str, name: str = "t1") -> str:
+    return f"SELECT file_id, i, '{kind}' AS kind, {name} AS name FROM w WHERE {when}"
+
+
+_DECLARED = {
+    "ex2_javascript": _tokens_sql("script", "js", "mjs")
+    + _numbered_sql(
+        _kind_sql("function", f"t = 'function' AND t1 = '*' AND t3 = '(' AND {_NAME.format('t2')}", "t2"),
+        _kind_sql("function", f"t = 'function' AND t2 = '(' AND {_NAME.format('t1')}"),
+        _kind_sql("class", f"t = 'class' AND {_NAME.format('t1')}"),
+        f"""SELECT w.file_id, w.i, 'arrow', w.t1 FROM w JOIN p ON p.file_id = w.file_id AND p.i = w.i + CASE WHEN w.t3 = 'async' THEN 4 ELSE 3 END AND p.t = '(' AND p.next = ')' JOIN w e ON e.file_id = w.file_id AND e.i = p.till AND e.t1 = '=' AND e.t2 = '>'
+            WHERE w.t = 'const' AND {_NAME.format('w.t1')} AND w.t2 = '='""",
+    ),
+    "ex2_typescript": _tokens_sql("script", "ts") + _numbered_sql(_kind_sql("function", f"t = 'function' AND t2 = '(' AND {_NAME.format('t1')}"), _kind_sql("class", f"t = 'class' AND {_NAME.format('t1')}"), _kind_sql("interface", f"t = 'interface' AND {_NAME.format('t1')}")),
+    "ex4_java": _tokens_sql("clike", "java")
+    + r""", x AS (SELECT *, min(CASE WHEN NOT regexp_matches(t, '^[A-Za-z_0-9<>,\[\]]') THEN i END) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM w),
+        m AS (SELECT x.file_id, x.i, s.i AS at_paren, l.t AS name FROM x JOIN u s ON s.file_id = x.file_id AND s.i = x.stop AND s.t = '(' JOIN u l ON l.file_id = x.file_id AND l.i = x.stop - 1 WHERE x.t IN ('public', 'private', 'protected') AND x.stop - 1 - x.i >= 2 AND regexp_matches(l.t, '^[A-Za-z_]'))"""
+    + _numbered_sql(_kind_sql("class", f"t IN ('class', 'interface', 'enum', 'record') AND {_NAME.format('t1')}"), "SELECT file_id, min(i) AS i, 'method', name FROM m GROUP BY file_id, at_paren, name"),
+    "ex5_go": _tokens_sql("go", "go")
+    + _numbered_sql(
+        _kind_sql("function", f"t = 'func' AND t2 = '(' AND {_NAME.format('t1')}"),
+        f"SELECT w.file_id, w.i, 'function', e.t1 FROM w JOIN p ON p.file_id = w.file_id AND p.i = w.i + 1 AND p.t = '(' AND p.next = ')' JOIN w e ON e.file_id = w.file_id AND e.i = p.till AND e.t2 = '(' AND {_NAME.format('e.t1')} WHERE w.t = 'func' AND w.t1 = '('",
+        _kind_sql("struct", f"t = 'type' AND t2 = 'struct' AND {_NAME.format('t1')}"),
+    ),
+    "ex6_cpp": _tokens_sql("clike", "cpp", "cc", "h", "hpp") + _numbered_sql(_kind_sql("class", f"t IN ('class', 'struct') AND {_NAME.format('t1')} AND (t2 IN (':', '{{') OR t2 = 'final' AND t3 IN (':', '{{'))"), _kind_sql("macro", f"t = '#' AND t1 = 'define' AND {_NAME.format('t2')}", "t2")),
+    "ex7_css": _tokens_sql("css", "css") + _numbered_sql(_kind_sql("variable", "regexp_matches(t, '^--[A-Za-z]') AND t1 = ':'", "t")),
+}
+_ALL = " UNION ALL ".join(f"SELECT '{n.split('_')[1]}' AS language, kind, name FROM ({sql})" for n, sql in _DECLARED.items())
+_WORDS = ", ".join(f"'{w}'" for w in extract.OPERATOR_WORDS)
 
 
 _CHUNKS = f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {_T}),
@@ -163,10 +230,20 @@ ORACLES = {
         CASE WHEN len([m FOR m IN flatten([c.methods FOR c IN classes IF c.methods IS NOT NULL]) IF m.type IS NOT NULL AND m.type NOT IN ('instance', 'class', 'static')]) > 0 THEN 'methods.type' END] IF v IS NOT NULL], ',') AS violations FROM {_D}""",
     "va5_summaries": f"""SELECT record_id, array_to_string([v FOR v IN [CASE WHEN len([w FOR w IN regexp_split_to_array(trim(summary), '\\s+') IF w <> '']) < 3 THEN 'words' END, CASE WHEN NOT regexp_matches(summary, '^[A-Z]') THEN 'capital' END,
         CASE WHEN NOT regexp_matches(summary, '[.?!]\\s*$') THEN 'stop' END, CASE WHEN length(summary) < 10 THEN 'length' END] IF v IS NOT NULL], ',') AS violations FROM {_D} WHERE summary IS NOT NULL""",
-    "ex2_javascript": _declared_sql("javascript", "js", "mjs"),
-    "ex2_typescript": _declared_sql("typescript", "ts"),
-    "ex4_java": _declared_sql("java", "java"),
-    "ex5_go": _declared_sql("go", "go"),
-    "ex6_cpp": _declared_sql("cpp", "cpp", "cc", "h", "hpp"),
-    "ex7_css": _declared_sql("css", "css"),
+    **_DECLARED,
+    "ud1_structure": f"SELECT language, kind, count(*) AS n, count(DISTINCT name) AS n_names FROM ({_ALL}) GROUP BY ALL",
+    "ex3_script_metrics": rf"""WITH f AS (SELECT file_id, regexp_replace(replace(code, chr(13), ''), '{_HIDE["script"]}', ' ', 'g') AS c FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) IN ('js', 'mjs')),
+        t AS (SELECT file_id, len([x FOR x IN string_split(c, chr(10)) IF trim(x) <> ''])::INT AS sloc, regexp_extract_all(c, '[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|===|!==|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|[-+*/%&|^!~<>=?:.,;(){{}}\[\]]') AS ts FROM f),
+        k AS (SELECT file_id, sloc, [x FOR x IN ts IF regexp_matches(x, '^[A-Za-z0-9_$]') AND x NOT IN ({_WORDS})] AS b, [x FOR x IN ts IF NOT (regexp_matches(x, '^[A-Za-z0-9_$]') AND x NOT IN ({_WORDS})) AND x NOT IN (')', ']', '}}')] AS a,
+            len([x FOR x IN ts IF x IN ('if', 'for', 'while', 'case', 'catch', '?', '&&', '||', '??')]) + 1 AS cc FROM t),
+        m AS (SELECT file_id, sloc, len(a) + len(b) AS n, CASE WHEN len(a) + len(b) > 0 THEN cc ELSE 0 END AS cc, CASE WHEN len(a) + len(b) > 0 THEN (len(a) + len(b)) * log2(len(list_distinct(a)) + len(list_distinct(b))) ELSE 0.0 END AS v,
+            CASE WHEN len(b) > 0 THEN len(list_distinct(a)) / 2.0 * len(b) / len(list_distinct(b)) ELSE 0.0 END AS d FROM k)
+        SELECT file_id, sloc, cc::INT AS complexity, round(v, 4) AS volume, round(d, 4) AS difficulty, round(v * d, 3) AS effort,
+            CASE WHEN n > 0 THEN round(greatest(0.0, (171 - 5.2 * ln(greatest(v, 1.0)) - 0.23 * cc - 16.2 * ln(greatest(sloc, 1)::DOUBLE)) * 100 / 171), 4) ELSE 0.0 END AS maintainability FROM m""",
+    "in2_comments": rf"""WITH g AS (SELECT file_id, string_split(replace(code, chr(13), ''), chr(10)) AS ls FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) = 'go'),
+        n AS (SELECT file_id, ls, [regexp_extract(x, '^func ([A-Za-z_][A-Za-z0-9_]*)\(', 1) FOR x IN ls IF regexp_matches(x, '^func [A-Za-z_][A-Za-z0-9_]*\(')][1] AS name FROM g)
+        SELECT file_id, md5(array_to_string(CASE WHEN name IS NULL THEN ls ELSE [CASE WHEN regexp_matches(x, '^[ \t]*(func|type)\s+(\([^()]*\)\s*)?' || name || '([^A-Za-z0-9_$]|$)') THEN regexp_extract(x, '^([ \t]*)', 1) || '// ' || name || ' costs $1.' || chr(10) || x ELSE x END FOR x IN ls] END, chr(10))) AS code_md5 FROM n""",
+    "in1_docstrings": rf"""WITH p AS (SELECT file_id, replace(code, chr(13), '') AS code FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) = 'py'),
+        n AS (SELECT file_id, code, nullif(regexp_extract(code, '(?m)^(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)', 1), '') AS name FROM p)
+        SELECT file_id, CASE WHEN name IS NULL THEN 0 ELSE len([x FOR x IN regexp_extract_all(code, '(?m)^[ \t]*(?:async )?(?:def|class) +' || name || '(?:\[[^\[\]]*\])?(?:\((?:[^()]|\([^()]*\))*\))?[^:\n]*:[ \t]*(?:#[^\n]*)?\n[ \t]*[^\n]{{0,4}}') IF NOT regexp_matches(x, '\n[ \t]*[rRuU]?("{{3}}|''{{3}})[^\n]{{0,3}}$')]) END::INT AS n_put, md5(code) AS rest_md5 FROM n""",
 }

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 _TEXTS = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'"
 _SCRIPTS = rf"{_TEXTS}|`(?:[^`\\]++|\\.)*+`|//[^\n]*+|(?s:/\*.*?\*/)"
 _CLIKE = rf"{_TEXTS}|//[^\n]*+|(?s:/\*.*?\*/)"
-HIDDEN = {"javascript": _SCRIPTS, "typescript": _SCRIPTS, "java": _CLIKE, "go": rf"{_TEXTS}|`[^`]*+`|//[^\n]*+|(?s:/\*.*?\*/)", "cpp": _CLIKE, "css": rf"{_TEXTS}|(?s:/\*.*?\*/)"}
+_PYTHON = rf"(?s:\"\"\".*?\"\"\")|(?s:'''.*?''')|{_TEXTS}|#[^\n]*+"
+HIDDEN = {"python": _PYTHON, "javascript": _SCRIPTS, "typescript": _SCRIPTS, "java": _CLIKE, "go": rf"{_TEXTS}|`[^`]*+`|//[^\n]*+|(?s:/\*.*?\*/)", "cpp": _CLIKE, "css": rf"{_TEXTS}|(?s:/\*.*?\*/)"}
 
 #: Declarations of languages without a parser in Spark: kind and pattern, read by the engine's own
 #: regular expressions outside comments and texts. They take a declaration by its first words.
 DECLARATIONS = {
+    "python": {"function": r"\bdef\s+([A-Za-z_][A-Za-z0-9_]*)", "class": r"\bclass\s+([A-Za-z_][A-Za-z0-9_]*)", "raises": r"\braise\s+([A-Za-z_][A-Za-z0-9_]*)"},
     "javascript": {"function": r"\bfunction\s*\*?\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", "class": r"\bclass\s+([A-Za-z_$][A-Za-z0-9_$]*)", "arrow": r"\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s*)?\([^()]*\)\s*=>"},
     "typescript": {"function": r"\bfunction\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", "class": r"\bclass\s+([A-Za-z_$][A-Za-z0-9_$]*)", "interface": r"\binterface\s+([A-Za-z_$][A-Za-z0-9_$]*)"},
     "java": {"class": r"\b(?:class|interface|enum|record)\s+([A-Za-z_][A-Za-z0-9_]*)", "method": r"\b(?:public|private|protected)\s+(?:static\s+)?[A-Za-z_0-9<>,\[\]\s]+\s([A-Za-z_][A-Za-z0-9_]*)\s*\("},
@@ -25,7 +27,7 @@ DECLARATIONS = {
     "cpp": {"class": r"\b(?:class|struct)\s+([A-Za-z_][A-Za-z0-9_]*)\s*(?:final\s*)?[:{]", "macro": r"#\s*define\s+([A-Za-z_][A-Za-z0-9_]*)"},
     "css": {"variable": r"(--[A-Za-z][A-Za-z0-9_-]*)\s*:"},
 }
-SUFFIXES = {"javascript": ("js", "mjs"), "typescript": ("ts",), "java": ("java",), "go": ("go",), "cpp": ("cpp", "cc", "h", "hpp"), "css": ("css",)}
+SUFFIXES = {"python": ("py",), "javascript": ("js", "mjs"), "typescript": ("ts",), "java": ("java",), "go": ("go",), "cpp": ("cpp", "cc", "h", "hpp"), "css": ("css",)}
 
 
 def bare(code: Column, language: str) -> Column:

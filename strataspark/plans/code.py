@@ -31,8 +31,28 @@ def ch6_token_slices(spark, root):
 
 
 def ch7_materialised(spark, root):
-    texts = docs(spark, root).select("doc_id", "text")
-    return chunking.materialise(texts, chunking.line_chunks(texts, "doc_id", "text", 100), "doc_id", "text").select("doc_id", "chunk_no", "tokens", F.md5("content").alias("content_md5"))
+    return chunking.materialised(docs(spark, root).select("doc_id", "text"), "doc_id", "text", 100).select("doc_id", "chunk_no", "tokens", F.md5("content").alias("content_md5"))
+
+
+def ch3_split_points(spark, root):
+    """Where a Python file would be split, read as a class if it has one and else as a function."""
+    py = _language(spark, root, "py").where("code is not null").select("file_id", F.split(F.replace("code", F.lit("\r"), F.lit("")), "\n", -1).alias("lines"))
+    kind = F.when(F.exists("lines", lambda x: x.startswith("class ")), "class").otherwise("function")
+    return py.select("file_id", kind.alias("kind"), "lines").select("file_id", "kind", chunking.split_after(F.col("kind"), F.col("lines")).alias("split_at"))
+
+
+def ch4_split(spark, root):
+    """Every chunk of a text cut in two at half of its lines."""
+    c = chunking.materialised(docs(spark, root).select("doc_id", "text"), "doc_id", "text", 100)
+    half = F.floor((F.col("end_line") - F.col("start_line") + 1) / 2).cast("int")
+    return chunking.split_chunks(c, half).select("doc_id", "chunk_no", "part", "start_line", "end_line", F.md5("content").alias("content_md5"))
+
+
+def ch5_contents(spark, root):
+    """Neighbouring chunks as one: their contents, and the first name that there is."""
+    c = chunking.materialised(docs(spark, root).select("doc_id", "text"), "doc_id", "text", 100)
+    named = c.withColumn("name", F.when(F.col("chunk_no") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("n"), F.col("chunk_no").cast("string"))))
+    return chunking.merge_contents(named, "doc_id").select("doc_id", "chunk_no", "next_no", "start_line", "end_line", "name", F.md5("content").alias("content_md5"))
 
 
 def ch8_batches(spark, root):
@@ -45,10 +65,10 @@ def ch2_python_chunks(spark, root):
 
 
 def so6_within_budget(spark, root):
-    """Records of a file, newest first, that fit into 12 tokens of summary together; a file has few records."""
+    """Records of a file, newest first, that fit into 12 tokens of summary together."""
     r = records(spark, root).where("project_id is not null and file_path is not null")
-    items = F.array_sort(F.collect_list(F.struct((-F.col("record_id")).alias("o"), F.col("record_id").cast("string").alias("id"), F.floor(F.coalesce(F.length("summary"), F.lit(0)) / 4).alias("tokens"))))
-    return r.groupBy("project_id", "file_path").agg(items.alias("items")).select("project_id", "file_path", F.array_join(chunking.within_budget(F.col("items"), 12), ",").alias("taken"))
+    items = r.select("project_id", "file_path", (-F.col("record_id")).alias("order"), F.col("record_id").alias("id"), F.floor(F.coalesce(F.length("summary"), F.lit(0)) / 4).alias("tokens"))
+    return chunking.fitting(items, ["project_id", "file_path"], 12).select("project_id", "file_path", F.col("id").alias("record_id"))
 
 
 def ex1_python_structure(spark, root):
@@ -140,8 +160,9 @@ def tr5_stream_totals(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (tr5_stream_totals, ex3_script_metrics, ud1_structure, in1_docstrings, in2_comments, ch1_line_chunks, ch2_python_chunks, ch5_merged_chunks, ch6_token_slices, ch7_materialised, ch8_batches, so6_within_budget, ex1_python_structure, ex11_raised, gr1_dependencies, gr2_resolved, gr3_reach, gr4_descendants, va1_documents, va5_summaries, va6_exceptions)
+    for f in (tr5_stream_totals, ch3_split_points, ch4_split, ch5_contents, ex3_script_metrics, ud1_structure, in1_docstrings, in2_comments, ch1_line_chunks, ch2_python_chunks, ch5_merged_chunks, ch6_token_slices, ch7_materialised, ch8_batches, so6_within_budget, ex1_python_structure, ex11_raised, gr1_dependencies, gr2_resolved, gr3_reach, gr4_descendants, va1_documents, va5_summaries, va6_exceptions)
 } | {
+    "ex1_python": _declared("python"),
     "ex2_javascript": _declared("javascript"),
     "ex2_typescript": _declared("typescript"),
     "ex4_java": _declared("java"),
@@ -155,7 +176,7 @@ _S = "(SELECT * FROM source_files QUALIFY row_number() OVER (PARTITION BY file_i
 _T = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
-_HIDE = {"script": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`|//[^\n]*|(?s:/\*.*?\*/)""", "clike": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|//[^\n]*|(?s:/\*.*?\*/)""", "css": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|(?s:/\*.*?\*/)"""}
+_HIDE = {"script": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`|//[^\n]*|(?s:/\*.*?\*/)""", "clike": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|//[^\n]*|(?s:/\*.*?\*/)""", "python": r"""(?s:\"{3}.*?\"{3})|(?s:''{3}.*?''{3})|\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|#[^\n]*""", "css": r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|(?s:/\*.*?\*/)"""}
 _NAME = "regexp_matches({}, '^[A-Za-z_$]')"
 
 
@@ -179,6 +200,7 @@ def _kind_sql(kind: str, when: str, name: str = "t1") -> str:
 
 
 _DECLARED = {
+    "ex1_python": _tokens_sql("python", "py") + _numbered_sql(_kind_sql("function", f"t = 'def' AND {_NAME.format('t1')}"), _kind_sql("class", f"t = 'class' AND {_NAME.format('t1')}"), _kind_sql("raises", f"t = 'raise' AND {_NAME.format('t1')}")),
     "ex2_javascript": _tokens_sql("script", "js", "mjs")
     + _numbered_sql(
         _kind_sql("function", f"t = 'function' AND t1 = '*' AND t3 = '(' AND {_NAME.format('t2')}", "t2"),
@@ -218,6 +240,18 @@ ORACLES = {
     "ch6_token_slices": f"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS x FROM {_T})
         SELECT doc_id, i::INT AS slice_no, md5(array_to_string(x[i * 50 + 1:i * 50 + 50], ' ')) AS slice_md5 FROM t, LATERAL (SELECT unnest(range(greatest((len(x) + 49) // 50, 1))) AS i)""",
     "ch7_materialised": f"{_CHUNKS} SELECT doc_id, chunk_no::INT AS chunk_no, (length(k) // 4)::BIGINT AS tokens, md5(k) AS content_md5 FROM (SELECT doc_id, chunk_no, array_to_string(lines[start_line:end_line], chr(10)) AS k FROM c)",
+    "ch3_split_points": rf"""WITH p AS (SELECT file_id, string_split(replace(code, chr(13), ''), chr(10)) AS ls FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) = 'py'),
+        k AS (SELECT file_id, ls, CASE WHEN len([x FOR x IN ls IF starts_with(x, 'class ')]) > 0 THEN 'class' ELSE 'function' END AS kind FROM p),
+        l AS (SELECT file_id, kind, len(ls) AS n, unnest(range(len(ls))) AS i, ltrim(unnest(ls), E' \t') AS x FROM k)
+        SELECT file_id, kind, (CASE WHEN kind = 'function' THEN min(CASE WHEN regexp_matches(x, '^(return|yield)') AND i + 1 < n THEN i + 1 END) ELSE min(CASE WHEN starts_with(x, 'def ') AND i > 0 THEN i END) END)::INT AS split_at FROM l GROUP BY file_id, kind""",
+    "ch4_split": f"""{_CHUNKS}, h AS (SELECT doc_id, chunk_no, lines, start_line AS a, end_line AS b, (end_line - start_line + 1) // 2 AS k FROM c),
+        s AS (SELECT doc_id, chunk_no, 0 AS part, lines, a, a + k - 1 AS b FROM h WHERE k > 0 UNION ALL SELECT doc_id, chunk_no, 1, lines, a + k, b FROM h WHERE k > 0)
+        SELECT doc_id, chunk_no::INT AS chunk_no, part::INT AS part, a::INT AS start_line, b::INT AS end_line, md5(array_to_string(lines[a:b], chr(10))) AS content_md5 FROM s""",
+    "ch5_contents": f"""{_CHUNKS}, m AS (SELECT doc_id, chunk_no, start_line, end_line, array_to_string(lines[start_line:end_line], chr(10)) AS content, CASE WHEN chunk_no % 2 = 0 THEN '' ELSE 'n' || chunk_no END AS name FROM c)
+        SELECT a.doc_id, a.chunk_no::INT AS chunk_no, b.chunk_no::INT AS next_no, a.start_line::INT AS start_line, b.end_line::INT AS end_line, coalesce(nullif(a.name, ''), b.name) AS name, md5(a.content || chr(10) || b.content) AS content_md5
+        FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.end_line + 1 = b.start_line""",
+    "so6_within_budget": f"""WITH i AS (SELECT project_id, file_path, list({{'id': record_id, 't': (coalesce(length(summary), 0) // 4)::BIGINT, 'u': 0::BIGINT, 'got': []::BIGINT[]}} ORDER BY record_id DESC) AS line FROM {_D} WHERE project_id IS NOT NULL AND file_path IS NOT NULL GROUP BY ALL)
+        SELECT project_id, file_path, unnest(list_reduce(line, lambda a, x: CASE WHEN a.u + x.t <= 12 THEN {{'id': x.id, 't': x.t, 'u': a.u + x.t, 'got': list_append(a.got, x.id)}} ELSE a END, {{'id': 0::BIGINT, 't': 0::BIGINT, 'u': 0::BIGINT, 'got': []::BIGINT[]}}).got) AS record_id FROM i""",
     "ch8_batches": "SELECT project_id, seq, (row_number() OVER (PARTITION BY project_id ORDER BY seq) - 1) // 5 AS batch FROM (SELECT DISTINCT * FROM api_calls) WHERE project_id IS NOT NULL",
     "gr3_reach": f"""WITH RECURSIVE n AS (SELECT DISTINCT project_id || '/' || array_to_string(xs[1:i], '/') AS path FROM (SELECT project_id, string_split(file_path, '/') AS xs FROM {_S} WHERE project_id IS NOT NULL AND file_path IS NOT NULL), LATERAL (SELECT unnest(range(1, len(xs) + 1)) AS i)),
         e AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS src, path AS dst FROM n), r AS (SELECT DISTINCT string_split(path, '/')[1] AS seed, string_split(path, '/')[1] AS node, 0 AS depth FROM n

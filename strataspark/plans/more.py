@@ -8,6 +8,7 @@ from ..operators import docstrings, metrics, similarity
 from ..sources import files as trees
 from ..sources.shared import scratch
 from ..sources.tables import load
+from ..streaming import windows
 from .metrics import calls, records
 from .store import files
 from .text import docs
@@ -48,8 +49,10 @@ def fl15_retryable(spark, root):
 
 
 def pj6_nested_path(spark, root):
-    r = load(spark, root, "doc_responses").dropDuplicates(["response_id"])
-    return r.select("response_id", F.coalesce(F.get_json_object("payload", "$.data.version"), F.get_json_object("payload", "$.version"), F.lit("")).alias("version"))
+    """The first name at a nested path, of whichever wrapping; empty where there is none."""
+    r = load(spark, root, "doc_responses").dropDuplicates(["response_id"]).select("response_id", F.try_parse_json("payload").alias("v"))
+    at = [F.try_variant_get("v", path, "string") for path in ("$.data.classes[0].name", "$.classes[0].name")]
+    return r.select("response_id", F.coalesce(*at, F.lit("")).alias("name"))
 
 
 def pj7_prompts(spark, root):
@@ -63,6 +66,25 @@ def pj7_prompts(spark, root):
     return load(spark, root, "documents").select("doc_id", F.array_join(F.transform(messages, lambda m: m["role"]), ",").alias("roles"))
 
 
+def pj7_messages(spark, root):
+    """The messages of a prompt with what they say; parts without content are left out, places stay in order."""
+    parts = F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).alias("content")) for role, c in (("system", "project_id"), ("context", "provider"), ("user", "text"))])
+    said = F.filter(parts, lambda m: m["content"].isNotNull() & (F.trim(m["content"]) != ""))
+    return load(spark, root, "documents").select("doc_id", F.posexplode(said).alias("pos", "m")).select("doc_id", "pos", "m.role", F.md5("m.content").alias("content_md5"))
+
+
+def tr1_rate_windows(spark, root):
+    """Calls of each project in windows of 15 minutes, against a limit of 100."""
+    c = calls(spark, root).where("project_id is not null and called_at is not null")
+    return windows.rate_windows(c, "called_at", "project_id", 100).select(F.unix_seconds("start").alias("start"), "project_id", "n", "limited")
+
+
+def tr2_debounced(spark, root):
+    """Of every burst of a user's events with gaps under 300 ms the last one."""
+    e = load(spark, root, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"), F.col("event_id").cast("string").alias("event"))
+    return windows.debounced(e, "ts", "user_id", "event").select(F.unix_micros("start").alias("start"), "user_id", "event")
+
+
 def pj8_class_methods(spark, root):
     c = records(spark, root).select("record_id", F.explode("classes").alias("c")).where("c is not null")
     return c.select("record_id", F.explode_outer("c.methods").alias("m")).groupBy("record_id").agg(F.count("m").alias("n_methods"))
@@ -103,7 +125,7 @@ def sk1_written_by_project(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (sf18_sections, sf19_parameters, va3_parameters, sf12_nearest, sf13_retry_delays, fl15_retryable, pj6_nested_path, pj7_prompts, pj8_class_methods, pj10_locations, jn13_zipped, ag14_distinct, so7_sorted_json, tr2_bursts, sk1_written_by_project)
+    for f in (sf18_sections, sf19_parameters, va3_parameters, sf12_nearest, sf13_retry_delays, fl15_retryable, pj6_nested_path, pj7_messages, tr1_rate_windows, tr2_debounced, pj7_prompts, pj8_class_methods, pj10_locations, jn13_zipped, ag14_distinct, so7_sorted_json, tr2_bursts, sk1_written_by_project)
 }
 
 _C = "(SELECT DISTINCT * FROM api_calls)"
@@ -127,6 +149,14 @@ ORACLES = {
     "fl15_retryable": f"SELECT error_type, bool_or(coalesce(regexp_matches(lower(error_type), 'network|timeout'), false)) AS retryable, count(*) AS n FROM {_C} WHERE NOT coalesce(success, false) GROUP BY error_type",
     "pj8_class_methods": f"""WITH c AS (SELECT record_id, unnest(classes) AS c FROM {_D}) SELECT record_id, sum(len([m FOR m IN coalesce(c.methods, []) IF m IS NOT NULL]))::BIGINT AS n_methods FROM c WHERE c IS NOT NULL GROUP BY record_id""",
     "pj7_prompts": """SELECT doc_id, array_to_string([x FOR x IN [CASE WHEN trim(project_id) <> '' THEN 'system' END, CASE WHEN trim(provider) <> '' THEN 'context' END, CASE WHEN trim(text) <> '' THEN 'user' END] IF x IS NOT NULL], ',') AS roles FROM documents""",
+    "pj6_nested_path": """SELECT response_id, coalesce(CASE WHEN ok THEN payload->>'$.data.classes[0].name' END, CASE WHEN ok THEN payload->>'$.classes[0].name' END, '') AS name
+        FROM (SELECT response_id, coalesce(json_valid(payload), false) AS ok, CASE WHEN json_valid(payload) THEN payload END AS payload FROM doc_responses QUALIFY row_number() OVER (PARTITION BY response_id) = 1)""",
+    "pj7_messages": """WITH m AS (SELECT doc_id, [{'role': 'system', 'content': project_id}, {'role': 'context', 'content': provider}, {'role': 'user', 'content': text}] AS ms FROM documents), k AS (SELECT doc_id, [m FOR m IN ms IF trim(m.content) <> ''] AS ms FROM m)
+        SELECT doc_id, unnest(range(len(ms)))::INT AS pos, unnest(ms).role AS role, md5(unnest(ms).content) AS content_md5 FROM k""",
+    "tr1_rate_windows": f"SELECT (epoch_us(called_at) // 900000000 * 900)::BIGINT AS start, project_id, count(*) AS n, count(*) > 100 AS limited FROM {_C} WHERE project_id IS NOT NULL AND called_at IS NOT NULL GROUP BY ALL",
+    "tr2_debounced": """WITH e AS (SELECT epoch_us(ts) AS us, user_id::VARCHAR AS user_id, event_id::VARCHAR AS event FROM events), g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM e),
+        b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 300000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g)
+        SELECT min(us) AS start, user_id, arg_max(event, us) AS event FROM b GROUP BY user_id, burst""",
     "pj10_locations": rf"SELECT file_id, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(file_path, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem FROM {_S}",
     "jn13_zipped": f"""WITH z AS (SELECT record_id, pos, coalesce(f.args, []::VARCHAR[]) AS a, coalesce(f.decorators, []::VARCHAR[]) AS d FROM {_F} WHERE f IS NOT NULL)
         SELECT record_id, pos::INT AS pos, i::INT AS at, a[i + 1] AS arg, d[i + 1] AS decorator FROM z, LATERAL (SELECT unnest(range(greatest(len(a), len(d)))) AS i)""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import metrics
 from ..sources.tables import load
 from .metrics import records
 
@@ -85,10 +86,9 @@ def ag11_prompt_tokens(spark, root):
 
 
 def ag12_ordered_concat(spark, root):
-    """Whole summaries of each file's records, in order; a file has few records."""
+    """Whole summaries of each file's records, in order."""
     r = records(spark, root).where("project_id is not null and file_path is not null and summary is not null")
-    parts = F.array_sort(F.collect_list(F.struct("record_id", "summary")))
-    return r.groupBy("project_id", "file_path").agg(F.trim(F.array_join(F.transform(parts, lambda p: p["summary"]), "\n\n")).alias("content"))
+    return metrics.ordered_concat(r, ["project_id", "file_path"], "record_id", "summary", "\n\n").select("project_id", "file_path", F.trim("summary").alias("content"))
 
 
 def ag16_special_counts(spark, root):

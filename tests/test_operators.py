@@ -109,8 +109,6 @@ def test_line_chunks_and_budget(spark):
     df = spark.createDataFrame([(1, "\n".join(["x" * 8] * 5)), (2, ""), (3, "y" * 400)], "id int, t string")
     got = {(r.id, r.chunk_no): (r.start_line, r.end_line) for r in chunking.line_chunks(df, "id", "t", 4).collect()}
     assert got == {(1, 0): (1, 2), (1, 1): (3, 4), (1, 2): (5, 5), (2, 0): (1, 1), (3, 0): (1, 1)}
-    items = spark.createDataFrame([([("a", 3), ("b", 9), ("c", 2)],)], "xs array<struct<id string, tokens bigint>>")
-    assert items.select(chunking.within_budget(F.col("xs"), 6).alias("t")).head().t == ["a", "c"]
 
 
 def test_python_structure(spark):
@@ -122,12 +120,6 @@ def test_python_structure(spark):
     assert chunks == [(1, 4, "module"), (5, 8, "class"), (9, 9, "module")]
 
 
-def test_insert_comment(spark):
-    df = spark.createDataFrame([("x = 1\n  def f(a):\n    pass\n", "f", "cost $1"), ("def g(): 0", "f", "z")], "c string, n string, t string")
-    out = [r[0] for r in df.select(extract.insert_comment(F.col("c"), F.col("n"), F.col("t"))).collect()]
-    assert out == ["x = 1\n  # cost $1\n  def f(a):\n    pass\n", "def g(): 0"]
-
-
 def test_store(spark):
     s = spark.createDataFrame([("p", "a", 1, "h"), ("p", "b", 2, "i")], "project_id string, file_path string, v int, hash string")
     c = spark.createDataFrame([("p", "a", 9, "h"), ("p", "z", 3, "k"), ("p", "b", None, "j")], "project_id string, file_path string, v int, hash string")

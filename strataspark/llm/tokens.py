@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import sliced
@@ -61,6 +61,8 @@ class Encoder(dict):
         alphabet = byte_alphabet()
         raw = {token: "".join(chr(alphabet[c]) for c in token) for token in model["vocab"] if all(c in alphabet for c in token)}
         ids = {raw[token]: i for token, i in model["vocab"].items() if token in raw}
+        #: bytes of each token
+        self.raw = {i: s.encode("latin-1") for s, i in ids.items()}
         #: rank of a merge by its two tokens, and the two tokens that a token is merged from
         self.pair: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -193,3 +195,46 @@ def counts(df: DataFrame, key: str, text: str = "text", folder: str = VOCABULARI
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32())], names=[key, "n_tokens"])
 
     return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens int")
+
+
+def batch_counts(df: DataFrame, key: str, texts: str, folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
+    """SF9, SF10: tokens of the texts of an array, joined by a blank; ``error`` says why there is no count:
+    ``empty`` for no text at all. A text that cannot be encoded fails its row and no other."""
+    path = f"{folder}/{name}"
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = encoder(path).packed
+        for batch in sliced(batches, BATCH_ROWS):
+            sizes, errors = [], []
+            for t in batch.column(1).to_pylist():
+                try:
+                    n, error = (len(packed(t)) // 4, None) if t else (0, "empty")
+                except (KeyError, UnicodeError) as e:
+                    n, error = 0, type(e).__name__
+                sizes.append(n)
+                errors.append(error)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(errors, pa.string())], names=[key, "n_tokens", "error"])
+
+    joined = F.array_join(texts, " ")
+    return df.select(F.col(key), joined.alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens int, error string")
+
+
+def decode(df: DataFrame, key: str, ids: str = "ids", folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
+    """SF11: the texts of token ids; null ids give null. Ids that no token has, and bytes that are no text,
+    give the replacement sign."""
+    path = f"{folder}/{name}"
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = encoder(path).raw
+        for batch in sliced(batches, BATCH_ROWS):
+            texts = [None if x is None else b"".join(raw.get(i, b"\xff") for i in x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(F.col(key), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
+def within(n_tokens: Column, error: Column, limit: Column) -> Column:
+    """SF11: whether a counted text is within a limit; what could not be counted is not."""
+    return F.coalesce(error.isNull() & (n_tokens <= limit), F.lit(False))

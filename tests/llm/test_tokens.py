@@ -89,3 +89,16 @@ def test_any_capacity_and_plans_too_large_to_broadcast(spark, monkeypatch):
     assert all(n <= {1: 262_144, 2: 1_000}[b] for (b, _), n in load.items())
     monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, packing.pack(sizes, budgets).collect())) == want
+
+
+def test_decode_and_batch_counts(spark):
+    rows = [(1, "héllo wörld 日本"), (2, ""), (3, None), (4, "x" * 50)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    back = tokens.decode(tokens.encode(df, "id"), "id")
+    assert {r.id: r.text for r in back.collect()} == {i: t or "" for i, t in rows}
+    odd = spark.createDataFrame([(1, None), (2, [10**8])], "id int, ids array<int>")
+    assert {r.id: r.text for r in tokens.decode(odd, "id").collect()} == {1: None, 2: "\ufffd"}
+    parts = spark.createDataFrame([(1, ["hello", "world"]), (2, []), (3, None)], "id int, ts array<string>")
+    assert {r.id: (r.n_tokens, r.error) for r in tokens.batch_counts(parts, "id", "ts").collect()} == {1: (len(ids("hello world")), None), 2: (0, "empty"), 3: (0, "empty")}
+    got = tokens.batch_counts(parts, "id", "ts").select("id", tokens.within(tokens.F.col("n_tokens"), tokens.F.col("error"), tokens.F.lit(2)).alias("ok")).collect()
+    assert {r.id: r.ok for r in got} == {1: True, 2: False, 3: False}

@@ -57,6 +57,19 @@ def structure(files: DataFrame) -> DataFrame:
     return named.select("file_id", "language", F.explode(found).alias("d")).select("file_id", "language", "d.kind", "d.pos", "d.name")
 
 
+def imported_names(files: DataFrame) -> DataFrame:
+    """GR1: names that a Python file imports by plain ``import`` (first parts and aliases left as written), and
+    whether its other lines read them as a word of their own: file_id, name, used."""
+    clean = bare(F.col("code"), "python")
+    lines = F.split(clean, "\n", -1)
+    plain = F.filter(lines, lambda x: x.rlike(r"^[ \t]*import[ \t]"))
+    names = F.array_distinct(F.flatten(F.transform(plain, lambda x: F.transform(F.split(F.regexp_replace(x, r"^[ \t]*import[ \t]+", ""), ","), lambda n: F.regexp_replace(F.trim(n), r"[ \t;].*$", "")))))
+    other = F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^[ \t]*(?:import|from)[ \t]")), "\n")
+    words = F.array_distinct(F.regexp_extract_all(other, F.lit(r"\.?[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    rows = files.where("code is not null").select("file_id", names.alias("names"), words.alias("words"))
+    return rows.select("file_id", F.explode("names").alias("name"), "words").where("name <> ''").select("file_id", "name", F.array_contains("words", F.col("name")).alias("used"))
+
+
 #: Words that split the flow of a script, and its words that count as operators.
 DECISIONS = ("if", "for", "while", "case", "catch", "?", "&&", "||", "??")
 OPERATOR_WORDS = ("if", "else", "for", "while", "do", "switch", "case", "default", "return", "break", "continue", "new", "delete", "typeof", "instanceof", "in", "of", "void", "throw", "try", "catch", "finally", "function", "class", "extends", "const", "let", "var", "async", "await", "yield", "import", "export", "from")

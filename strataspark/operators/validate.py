@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPE_NAME = r"^[A-Za-z_][A-Za-z0-9_.]*(\[.*\])?$"
+#: The pattern of exception names, and Python's own exceptions that it does not match.
+BUILT_IN = ("BaseException", "BaseExceptionGroup", "Exception", "ExceptionGroup", "GeneratorExit", "KeyboardInterrupt", "StopAsyncIteration", "StopIteration", "SystemExit", "Warning")
 EXCEPTION_NAME = r"^[A-Z][a-zA-Z0-9]*(Error|Exception|Warning)$"
 
 
@@ -33,6 +35,11 @@ def document_violations(docs: DataFrame) -> DataFrame:
     return docs.withColumn("violations", violations(checks))
 
 
+def exception_name(name: Column) -> Column:
+    """VA6: whether a name is one of an exception."""
+    return name.rlike(EXCEPTION_NAME) | name.isin(*BUILT_IN)
+
+
 def summary_quality(text: Column) -> Column:
     """VA5: three words, a capital first, a stop at the end."""
     return violations(

@@ -115,6 +115,16 @@ def gr1_dependencies(spark, root):
     return ex1_python_structure(spark, root).where("kind in ('import', 'uses')").select("file_id", "kind", "name")
 
 
+def gr1_names(spark, root):
+    return extract.imported_names(_language(spark, root, "py"))
+
+
+def ex11_names(spark, root):
+    """How often each exception is raised, and whether it is named like one."""
+    raised = extract.declarations(_language(spark, root, "py"), "python").where("kind = 'raises'")
+    return raised.groupBy("name", validate.exception_name(F.col("name")).alias("ok")).agg(F.count("*").alias("n"))
+
+
 def gr2_resolved(spark, root):
     py = _language(spark, root, "py")
     module = py.select("project_id", "file_id", F.regexp_replace(F.regexp_extract("file_path", r"([^/]+)\.py$", 1), "^$", "?").alias("module"))
@@ -146,7 +156,7 @@ def va5_summaries(spark, root):
 
 
 def va6_exceptions(spark, root):
-    return ex1_python_structure(spark, root).where("kind = 'raises'").select("file_id", "name", "line", F.col("name").rlike(validate.EXCEPTION_NAME).alias("ok"))
+    return ex1_python_structure(spark, root).where("kind = 'raises'").select("file_id", "name", "line", validate.exception_name(F.col("name")).alias("ok"))
 
 
 def tr5_stream_totals(spark, root):
@@ -160,7 +170,7 @@ def tr5_stream_totals(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (tr5_stream_totals, ch3_split_points, ch4_split, ch5_contents, ex3_script_metrics, ud1_structure, in1_docstrings, in2_comments, ch1_line_chunks, ch2_python_chunks, ch5_merged_chunks, ch6_token_slices, ch7_materialised, ch8_batches, so6_within_budget, ex1_python_structure, ex11_raised, gr1_dependencies, gr2_resolved, gr3_reach, gr4_descendants, va1_documents, va5_summaries, va6_exceptions)
+    for f in (tr5_stream_totals, gr1_names, ex11_names, ch3_split_points, ch4_split, ch5_contents, ex3_script_metrics, ud1_structure, in1_docstrings, in2_comments, ch1_line_chunks, ch2_python_chunks, ch5_merged_chunks, ch6_token_slices, ch7_materialised, ch8_batches, so6_within_budget, ex1_python_structure, ex11_raised, gr1_dependencies, gr2_resolved, gr3_reach, gr4_descendants, va1_documents, va5_summaries, va6_exceptions)
 } | {
     "ex1_python": _declared("python"),
     "ex2_javascript": _declared("javascript"),
@@ -265,6 +275,12 @@ ORACLES = {
     "va5_summaries": f"""SELECT record_id, array_to_string([v FOR v IN [CASE WHEN len([w FOR w IN regexp_split_to_array(trim(summary), '\\s+') IF w <> '']) < 3 THEN 'words' END, CASE WHEN NOT regexp_matches(summary, '^[A-Z]') THEN 'capital' END,
         CASE WHEN NOT regexp_matches(summary, '[.?!]\\s*$') THEN 'stop' END, CASE WHEN length(summary) < 10 THEN 'length' END] IF v IS NOT NULL], ',') AS violations FROM {_D} WHERE summary IS NOT NULL""",
     **_DECLARED,
+    "ex11_names": f"SELECT name, name IN ('BaseException', 'BaseExceptionGroup', 'Exception', 'ExceptionGroup', 'GeneratorExit', 'KeyboardInterrupt', 'StopAsyncIteration', 'StopIteration', 'SystemExit', 'Warning') OR regexp_matches(name, '^[A-Z][a-zA-Z0-9]*(Error|Exception|Warning)$') AS ok, count(*) AS n FROM ({_DECLARED['ex1_python']}) WHERE kind = 'raises' GROUP BY ALL",
+    "gr1_names": rf"""WITH f AS (SELECT file_id, string_split(regexp_replace(replace(code, chr(13), ''), '{_HIDE["python"]}', ' ', 'g'), chr(10)) AS ls FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) = 'py'),
+        l AS (SELECT file_id, ltrim(unnest(ls), E' 	') AS x FROM f),
+        n AS (SELECT DISTINCT file_id, split_part(split_part(trim(unnest(string_split(regexp_replace(x, '^import\s+', ''), ','))), ' ', 1), ';', 1) AS name FROM l WHERE regexp_matches(x, '^import[ 	]')),
+        w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(x, '\.?[A-Za-z_][A-Za-z0-9_]*')) AS name FROM l WHERE NOT regexp_matches(x, '^(import|from)[ 	]'))
+        SELECT n.file_id, n.name, w.name IS NOT NULL AS used FROM n LEFT JOIN w ON w.file_id = n.file_id AND w.name = n.name WHERE n.name <> ''""",
     "ud1_structure": f"SELECT language, kind, count(*) AS n, count(DISTINCT name) AS n_names FROM ({_ALL}) GROUP BY ALL",
     "ex3_script_metrics": rf"""WITH f AS (SELECT file_id, regexp_replace(replace(code, chr(13), ''), '{_HIDE["script"]}', ' ', 'g') AS c FROM {_S} WHERE code IS NOT NULL AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) IN ('js', 'mjs')),
         t AS (SELECT file_id, len([x FOR x IN string_split(c, chr(10)) IF trim(x) <> ''])::INT AS sloc, regexp_extract_all(c, '[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|===|!==|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|[-+*/%&|^!~<>=?:.,;(){{}}\[\]]') AS ts FROM f),

@@ -57,6 +57,26 @@ _MEASURES = {
 _ALL = ", ".join(_MEASURES.values())
 _COLUMNS = ", ".join(f"arg_min(canonical, path) FILTER (canonical IS NOT NULL AND name IN ({names})) AS {m}" for m, names in _MEASURES.items())
 ORACLES = {
+    "p2_found": """
+        WITH k AS (SELECT stream_id, file_no, file_path || chr(0) || content_hash AS source, payload FROM structure_records WHERE stream_id IS NOT NULL AND file_no IS NOT NULL),
+        t AS (SELECT stream_id, file_no, source, ltrim(replace(j.fullkey, '"', ''), '$.') AS path, CASE WHEN j.type IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 1 WHEN j.type = 'VARCHAR' THEN 2 WHEN j.type = 'BOOLEAN' THEN 4 ELSE 8 END AS kind,
+            CASE WHEN j.type IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN j.value::DOUBLE::VARCHAR ELSE j.value::VARCHAR END AS content
+            FROM (SELECT stream_id, file_no, source, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN payload ELSE '{}' END ELSE '{}' END AS payload FROM k) k, LATERAL (SELECT * FROM json_tree(k.payload)) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.path, '[') AND NOT contains(j.fullkey, '[')),
+        f AS (SELECT *, lag(file_no) OVER w AS prev, lead(file_no) OVER w AS next FROM (SELECT DISTINCT stream_id, file_no FROM k) WINDOW w AS (PARTITION BY stream_id ORDER BY file_no)),
+        s AS (SELECT stream_id, file_no, path, bit_or(kind) AS kinds, prev, next FROM t JOIN f USING (stream_id, file_no) GROUP BY ALL),
+        come AS (SELECT stream_id, file_no, path, prev FROM s WHERE prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.stream_id = s.stream_id AND o.path = s.path AND o.file_no = s.prev)),
+        gone AS (SELECT stream_id, next AS file_no, path, file_no AS prev FROM s WHERE next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.stream_id = s.stream_id AND o.path = s.path AND o.file_no = s.next)),
+        v AS (SELECT stream_id, file_no, source, path, min({'k': kind, 'c': content}) AS v FROM t WHERE source IS NOT NULL GROUP BY ALL),
+        pairs AS (SELECT g.stream_id, g.file_no, g.path AS old_path, c.path AS new_path, count(*) AS n, (string_split(g.path, '.')[-1] = string_split(c.path, '.')[-1])::INT AS alike
+            FROM gone g JOIN come c ON c.stream_id = g.stream_id AND c.file_no = g.file_no JOIN v a ON a.stream_id = g.stream_id AND a.file_no = g.prev AND a.path = g.path
+            JOIN v b ON b.stream_id = g.stream_id AND b.file_no = c.file_no AND b.path = c.path AND b.source = a.source GROUP BY ALL HAVING count(*) FILTER (a.v = b.v) = count(*)),
+        moved AS (SELECT stream_id, file_no, old_path, new_path FROM pairs QUALIFY row_number() OVER (PARTITION BY stream_id, file_no, old_path ORDER BY n DESC, alike DESC, new_path) = 1
+            AND row_number() OVER (PARTITION BY stream_id, file_no, new_path ORDER BY n DESC, alike DESC, old_path) = 1)
+        SELECT stream_id, file_no, 'renamed' AS change_kind, old_path AS field, new_path AS new_field FROM moved
+        UNION ALL SELECT stream_id, file_no, 'removed', path, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.stream_id = g.stream_id AND m.file_no = g.file_no AND m.old_path = g.path)
+        UNION ALL SELECT stream_id, file_no, 'added', path, '' FROM come c WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.stream_id = c.stream_id AND m.file_no = c.file_no AND m.new_path = c.path)
+        UNION ALL SELECT s.stream_id, s.file_no, 'retyped', s.path, '' FROM s JOIN s o ON o.stream_id = s.stream_id AND o.path = s.path AND o.file_no = s.prev WHERE o.kinds <> s.kinds
+    """,
     "p2_branches": f"{_LEAVES} SELECT * FROM b",
     "p2_measures": f"""{_LEAVES},
         n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(path, '[^A-Za-z]', '', 'g')), '^metrics', ''), '^halstead', ''), 'value$', '') AS name FROM b)

@@ -149,6 +149,7 @@ ORACLES = {
     "fl15_retryable": f"SELECT error_type, bool_or(coalesce(regexp_matches(lower(error_type), 'network|timeout'), false)) AS retryable, count(*) AS n FROM {_C} WHERE NOT coalesce(success, false) GROUP BY error_type",
     "pj8_class_methods": f"""WITH c AS (SELECT record_id, unnest(classes) AS c FROM {_D}) SELECT record_id, sum(len([m FOR m IN coalesce(c.methods, []) IF m IS NOT NULL]))::BIGINT AS n_methods FROM c WHERE c IS NOT NULL GROUP BY record_id""",
     "pj7_prompts": """SELECT doc_id, array_to_string([x FOR x IN [CASE WHEN trim(project_id) <> '' THEN 'system' END, CASE WHEN trim(provider) <> '' THEN 'context' END, CASE WHEN trim(text) <> '' THEN 'user' END] IF x IS NOT NULL], ',') AS roles FROM documents""",
+    "so7_sorted_json": f"""SELECT record_id, '{{' || array_to_string([x FOR x IN ['"file_path":' || to_json(file_path), '"language":' || to_json(language), '"project_id":' || to_json(project_id), '"version":' || to_json(version)] IF x IS NOT NULL AND NOT ends_with(x, ':null')], ',') || '}}' AS json FROM {_D}""",
     "pj6_nested_path": """SELECT response_id, coalesce(CASE WHEN ok THEN payload->>'$.data.classes[0].name' END, CASE WHEN ok THEN payload->>'$.classes[0].name' END, '') AS name
         FROM (SELECT response_id, coalesce(json_valid(payload), false) AS ok, CASE WHEN json_valid(payload) THEN payload END AS payload FROM doc_responses QUALIFY row_number() OVER (PARTITION BY response_id) = 1)""",
     "pj7_messages": """WITH m AS (SELECT doc_id, [{'role': 'system', 'content': project_id}, {'role': 'context', 'content': provider}, {'role': 'user', 'content': text}] AS ms FROM documents), k AS (SELECT doc_id, [m FOR m IN ms IF trim(m.content) <> ''] AS ms FROM m)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import report
 from ..functions import text as T
 from ..operators import extract, joins, validate
 from ..sources import files as trees
+from ..sources.shared import scratch
 from ..sources.tables import load
 from .metrics import calls, records
-from .store import files
+from .store import files, pj5_metric_cards
 
 IGNORED = ["build/", "*.json", "!deploy/*.json", "src/core/**", "tests/[a-m]*.py", "vendor", "**/gen/*"]
 
@@ -138,10 +140,44 @@ def va8_metrics(spark, root):
     return r.select("record_id", F.array_join(F.transform(validate.shape_errors(F.col("v"), validate.METRICS_SHAPE), lambda e: F.concat_ws(":", e["path"], e["message"])), ",").alias("errors"))
 
 
+def fl_visible(spark, root):
+    """FL1-FL5 through their operator: folders, suffixes and an ignore pattern."""
+    return files(spark, root).where(trees.visible(F.col("file_path"), ("node_modules", "vendor", "third_party", "build"), (".json", ".yml", ".yaml"), ("src/core/",))).select("file_id", "file_path")
+
+
+def sk2_written_pages(spark, root):
+    """Pages written as text, a folder for each project, and read back line by line."""
+    place = scratch(spark, "pages")
+    page = F.concat_ws("\n\n", F.concat(F.lit("# "), F.regexp_extract("file_path", r"([^/]*)$", 1)), F.col("summary"))
+    trees.write_pages(records(spark, root).where("project_id is not null and file_path is not null").select("project_id", page.alias("page")), "project_id", "page", place)
+    return spark.read.schema("value string, project_id string").text(place).groupBy("project_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("value").startswith("# ")).alias("n_pages"))
+
+
+def tr3_gate(spark, root):
+    """Calls that come with no quota left in the minute of their provider, and how long they wait for the next."""
+    c = calls(spark, root).where("provider is not null and called_at is not null").select("seq", "provider", F.unix_micros("called_at").alias("us"))
+    minute = F.floor(F.col("us") / 60_000_000)
+    nth = F.row_number().over(Window.partitionBy("provider", minute).orderBy("us", "seq"))
+    return c.withColumn("nth", nth).where("nth > 1").select("seq", ((minute + 1) * 60_000_000 - F.col("us")).alias("wait_us"))
+
+
+def pj5_status(spark, root):
+    """Metrics of a record, one to a row, beside the threshold of each and what it says."""
+    limits = F.create_map(*[F.lit(x) for pair in (("maintainability_index", 85.0), ("complexity", 15.0), ("volume", 1000.0), ("difficulty", 10.0), ("effort", 1000.0)) for x in pair])
+    long = pj5_metric_cards(spark, root).withColumn("threshold", limits[F.col("metric")])
+    return long.select("record_id", "metric", "threshold", T.metric_status(F.col("value"), F.col("threshold")).alias("status"))
+
+
+def va1_messages(spark, root):
+    """Every violation of a record as path and message."""
+    v = validate.document_violations(records(spark, root)).select("record_id", F.explode("violations").alias("path"))
+    return v.select("record_id", "path", F.when(F.col("path") == "methods.type", "must be one of instance, class, static").otherwise("is required").alias("message"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        fl5_ignored, fl9_not_empty, fl11_kept_results, fl13_suffixes, fl14_comments, pj1_dropped, pj3_merged, jn3_every_match, jn6_two_level, jn14_first_of_tag, jn15_language_info, so4_first_args, so7_indented,
+        fl_visible, sk2_written_pages, tr3_gate, pj5_status, va1_messages, fl5_ignored, fl9_not_empty, fl11_kept_results, fl13_suffixes, fl14_comments, pj1_dropped, pj3_merged, jn3_every_match, jn6_two_level, jn14_first_of_tag, jn15_language_info, so4_first_args, so7_indented,
         st2_bag, sf25_comment_text, sf26_field_types, sf27_rendered, va2_functions, va8_metrics,
     )
 }
@@ -163,6 +199,19 @@ def _shape(value: str, fields: dict[str, str]) -> str:
 
 
 ORACLES = {
+    "fl_visible": f"""SELECT file_id, file_path FROM {_S} WHERE NOT regexp_matches(file_path, '(^|/)\\.') AND NOT regexp_matches(file_path, '(^|/)(node_modules|vendor|third_party|build)(/|$)')
+        AND lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) NOT IN ('.json', '.yml', '.yaml') AND NOT starts_with(file_path, 'src/core/')""",
+    "sk2_written_pages": f"""WITH p AS (SELECT project_id, concat_ws(chr(10) || chr(10), '# ' || regexp_extract(file_path, '([^/]*)$', 1), summary) AS page FROM {_D} WHERE project_id IS NOT NULL AND file_path IS NOT NULL),
+        l AS (SELECT project_id, unnest(string_split(page, chr(10))) AS x FROM p) SELECT project_id, count(*) AS n_lines, count(*) FILTER (starts_with(x, '# ')) AS n_pages FROM l GROUP BY project_id""",
+    "tr3_gate": f"""WITH c AS (SELECT seq, provider, epoch_us(called_at) AS us FROM {_C} WHERE provider IS NOT NULL AND called_at IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY provider, us // 60000000 ORDER BY us, seq) AS nth FROM c)
+        SELECT seq, ((us // 60000000 + 1) * 60000000 - us)::BIGINT AS wait_us FROM n WHERE nth > 1""",
+    "pj5_status": f"""WITH u AS (UNPIVOT (SELECT record_id, metrics.maintainability_index AS maintainability_index, metrics.complexity AS complexity, metrics.halstead.volume AS volume, metrics.halstead.difficulty AS difficulty, metrics.halstead.effort AS effort FROM {_D})
+        ON maintainability_index, complexity, volume, difficulty, effort INTO NAME metric VALUE value), t AS (SELECT *, CASE metric WHEN 'maintainability_index' THEN 85.0 WHEN 'complexity' THEN 15.0 WHEN 'difficulty' THEN 10.0 ELSE 1000.0 END::DOUBLE AS threshold FROM u)
+        SELECT record_id, metric, threshold, CASE WHEN value >= 1.2 * threshold THEN 'red' WHEN value >= threshold THEN 'yellow' ELSE 'green' END AS status FROM t""",
+    "va1_messages": f"""SELECT record_id, path, CASE WHEN path = 'methods.type' THEN 'must be one of instance, class, static' ELSE 'is required' END AS message FROM (SELECT record_id, unnest([v FOR v IN [CASE WHEN project_id IS NULL THEN 'project_id' END,
+        CASE WHEN file_path IS NULL THEN 'file_path' END, CASE WHEN version IS NULL THEN 'version' END, CASE WHEN language IS NULL THEN 'language' END, CASE WHEN len([c FOR c IN classes IF c IS NOT NULL AND c.name IS NULL]) > 0 THEN 'classes.name' END,
+        CASE WHEN len([f FOR f IN functions IF f IS NOT NULL AND f.name IS NULL]) > 0 THEN 'functions.name' END,
+        CASE WHEN len([m FOR m IN flatten([c.methods FOR c IN classes IF c.methods IS NOT NULL]) IF m.type IS NOT NULL AND m.type NOT IN ('instance', 'class', 'static')]) > 0 THEN 'methods.type' END] IF v IS NOT NULL]) AS path FROM {_D})""",
     "fl5_ignored": f"""SELECT file_id, file_path FROM {_S} WHERE file_path IS NOT NULL AND NOT (
         (regexp_matches('/' || file_path, '/build/.') AND NOT regexp_matches(file_path, '^deploy/[^/]*\\.json$')) OR (regexp_matches(file_path, '\\.json(/|$)') AND NOT regexp_matches(file_path, '^deploy/[^/]*\\.json(/|$)'))
         OR starts_with(file_path, 'src/core/') OR regexp_matches(file_path, '^tests/[a-m][^/]*\\.py(/|$)') OR list_contains(string_split(file_path, '/'), 'vendor') OR regexp_matches('/' || file_path, '/gen/.'))""",

@@ -85,3 +85,8 @@ def sorted_json(fields: list[str]) -> Column:
 def write_text(pages: DataFrame, column: str, path: str) -> None:
     """SK2: Markdown, one page to a line block."""
     pages.select(column).write.mode("overwrite").text(path)
+
+
+def write_pages(pages: DataFrame, folder: str, column: str, path: str) -> None:
+    """SK2: Markdown, one folder for each value of ``folder``."""
+    pages.select(folder, column).write.partitionBy(folder).mode("overwrite").text(path)

@@ -68,6 +68,7 @@ MINIFIABLE = {"js", "mjs", "ts", "css", "html", "htm"}
 
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\sA-Za-z0-9_]")
 TEXT = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
+DIGITS = re.compile(r"(?<![\w$])\d")
 KEYWORDS = frozenset(
     "if else for while return function class def import from const let var public private static void int new in of not and or is None self this try except catch finally "
     "switch case default break continue func package type struct interface map range go defer nil throw throws with as async await lambda yield pass raise match export extends final".split()
@@ -210,6 +211,11 @@ def line_rules(code: str) -> tuple[int, list[tuple[int, int]]]:
     return lines, [(h - (1 << 63), n) for h, n in out]
 
 
+def _has_literals(tokens: list[str]) -> bool:
+    """Whether there are so many numbers, or so much in long literals, that a file may be data at all."""
+    return sum(t[0].isdigit() for t in tokens) >= TOKENS or sum(len(t) for t in tokens if len(t) >= 60) >= 10 * TOKENS
+
+
 def _is_data(code: str, kind: str) -> bool:
     """Hardly a word beside literals, and literals that hardly get shorter by a grammar; comments do not count."""
     pattern = COMMENT.get("html" if kind == "htm" else kind, COMMENT[""])
@@ -222,10 +228,7 @@ def _is_data(code: str, kind: str) -> bool:
         return False
     if sum(len(t) for t in tokens if t[0].isalpha() or t[0] in "_$") > DATA_WORDS * size:
         return False
-    numbers = sum(t[0].isdigit() for t in literals)
-    if numbers < TOKENS and sum(len(t) for t in literals if len(t) >= 60) < 10 * TOKENS:
-        return False
-    return bits("".join(literals)) >= DATA_BITS
+    return _has_literals(literals) and bits("".join(literals)) >= DATA_BITS
 
 
 def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, bool, int, list[tuple[int, int]]]:
@@ -243,7 +246,7 @@ def features(code: str, path: str) -> tuple[bool, bool, bool, bool, float, bool,
                 _KINDS.clear()
             rules, start = grammar([_KINDS[t] for t in tokens])
             ratio = (2 * len(rules) + len(start)) / len(tokens)
-        if kind not in CONFIGURATION:
+        if kind not in CONFIGURATION and (len(DIGITS.findall(code)) >= TOKENS or max(map(len, tokens), default=0) >= 60):
             data = _is_data(code, kind)
         if kind in MINIFIABLE:
             bare = TEXT.sub('""', code)  # a long text in a line makes no minified file

@@ -68,6 +68,55 @@ def jn3_every_match(spark, root):
     return joins.every_match(decl, f.select("record_id", "doc_pos", "project_id", plain(F.col("f.name")).alias("key")), ["project_id", "key"]).select("file_id", "pos", "record_id", "doc_pos")
 
 
+def _probed(last):
+    """Go functions beside the last or the first documented function of their project and name."""
+
+    def query(spark, root):
+        plain = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit("")))
+        go = _suffixed(spark, root, "go")
+        decl = extract.declarations(go, "go").where("kind = 'function'").join(go.select("file_id", "project_id"), "file_id").select("file_id", "pos", "project_id", plain(F.col("name")).alias("key"))
+        f = records(spark, root).select("record_id", "project_id", F.posexplode("functions").alias("doc_pos", "f")).where("f.name is not null")
+        docs = f.select("project_id", plain(F.col("f.name")).alias("key"), (F.col("record_id") * 1000 + F.col("doc_pos")).alias("place"))
+        one = joins.last_by(docs.withColumn("at", F.col("place")), ["project_id", "key"], "place") if last else joins.first_by(docs.withColumn("at", F.col("place")), ["project_id", "key"], "place")
+        return decl.join(one, ["project_id", "key"], "left").select("file_id", "pos", F.col("at").alias("place"))
+
+    return query
+
+
+def so2_newest(spark, root):
+    """The 1,000 newest records of the whole store."""
+    return records(spark, root).orderBy(F.desc_nulls_last("last_updated"), F.desc("record_id")).limit(1000).select("record_id")
+
+
+def so3_kept(spark, root):
+    """What a cache of 100 entries holds that drops the oldest first."""
+    return calls(spark, root).orderBy(F.desc("seq")).limit(100).select("seq")
+
+
+def so5_first_match(spark, root):
+    size = F.col("p_size")
+    return load(spark, root, "part").select("p_partkey", joins.first_match([(size > 40, F.lit("large")), (size > 15, F.lit("middle")), (F.col("p_brand") == "Brand#11", F.lit("small own"))], F.lit("small")).alias("class"))
+
+
+def pj2_mapped_classes(spark, root):
+    c = records(spark, root).select("record_id", F.posexplode("classes").alias("pos", "c")).where("c is not null")
+    return c.select("record_id", "pos", F.coalesce("c.name", F.lit("anonymous")).alias("name"), F.coalesce(F.size("c.methods"), F.lit(0)).alias("n_methods"), F.coalesce("c.superclass", F.lit("object")).alias("superclass"))
+
+
+def fl12_constants(spark, root):
+    """Names that Python modules assign on their first level, parted by their spelling."""
+    py = _suffixed(spark, root, "py").select("file_id", extract.bare(F.col("code"), "python").alias("c"))
+    n = py.select("file_id", F.posexplode(F.regexp_extract_all("c", F.lit(r"(?m)^([A-Za-z_][A-Za-z0-9_]*)[ \t]*=(?!=)"), F.lit(1))).alias("pos", "name"))
+    return n.select("file_id", "pos", "name", ((F.upper("name") == F.col("name")) & F.col("name").rlike("[A-Z]")).alias("is_constant"))
+
+
+def fl16_language(spark, root):
+    """Files of one language, by any of its names."""
+    names = load(spark, root, "language_aliases").where("language = 'python'").select(F.col("alias").alias("l"))
+    f = files(spark, root).select("file_id", F.lower(F.trim("language")).alias("l"))
+    return f.join(names, "l", "left_semi").select("file_id")
+
+
 def jn6_two_level(spark, root):
     """Methods of a record found again in another record of the project: first the class, then the method."""
     c = records(spark, root).where("project_id is not null").select("record_id", "project_id", F.explode("classes").alias("c")).where("c.name is not null")
@@ -177,10 +226,10 @@ def va1_messages(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        fl_visible, sk2_written_pages, tr3_gate, pj5_status, va1_messages, fl5_ignored, fl9_not_empty, fl11_kept_results, fl13_suffixes, fl14_comments, pj1_dropped, pj3_merged, jn3_every_match, jn6_two_level, jn14_first_of_tag, jn15_language_info, so4_first_args, so7_indented,
+        so2_newest, so3_kept, so5_first_match, pj2_mapped_classes, fl12_constants, fl16_language, fl_visible, sk2_written_pages, tr3_gate, pj5_status, va1_messages, fl5_ignored, fl9_not_empty, fl11_kept_results, fl13_suffixes, fl14_comments, pj1_dropped, pj3_merged, jn3_every_match, jn6_two_level, jn14_first_of_tag, jn15_language_info, so4_first_args, so7_indented,
         st2_bag, sf25_comment_text, sf26_field_types, sf27_rendered, va2_functions, va8_metrics,
     )
-}
+} | {"jn1_probed": _probed(True), "jn2_probed": _probed(False)}
 
 _C = "(SELECT DISTINCT * FROM api_calls)"
 _D = "(SELECT * FROM documentation QUALIFY row_number() OVER (PARTITION BY record_id) = 1)"
@@ -198,7 +247,25 @@ def _shape(value: str, fields: dict[str, str]) -> str:
     return f"array_to_string([x FOR x IN [{checks}] IF x IS NOT NULL], ',')"
 
 
+def _probed_sql(which: str) -> str:
+    return rf"""WITH g AS {_of('go')}, x AS (SELECT file_id, project_id, regexp_extract_all(regexp_replace(code, '"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`[^`]*`|//[^\n]*|(?s:/\*.*?\*/)', ' ', 'g'), '\bfunc\s+(?:\([^()]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1) AS xs FROM g),
+        d AS (SELECT file_id, project_id, unnest(range(len(xs)))::INT AS pos, lower(replace(unnest(xs), '_', '')) AS key FROM x),
+        f AS (SELECT project_id, lower(replace(functions[i].name, '_', '')) AS key, {which}(record_id * 1000 + i - 1)::BIGINT AS place FROM {_D}, LATERAL (SELECT unnest(range(1, len(functions) + 1)) AS i) WHERE functions[i].name IS NOT NULL GROUP BY ALL)
+        SELECT file_id, pos, place FROM d LEFT JOIN f USING (project_id, key)"""
+
+
 ORACLES = {
+    "jn1_probed": _probed_sql("max"),
+    "jn2_probed": _probed_sql("min"),
+    "so2_newest": f"SELECT record_id FROM {_D} ORDER BY last_updated DESC NULLS LAST, record_id DESC LIMIT 1000",
+    "so3_kept": f"SELECT seq FROM {_C} ORDER BY seq DESC LIMIT 100",
+    "so5_first_match": "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 15 THEN 'middle' WHEN p_brand = 'Brand#11' THEN 'small own' ELSE 'small' END AS class FROM part",
+    "pj2_mapped_classes": f"""WITH c AS (SELECT record_id, (i - 1)::INT AS pos, classes[i] AS c FROM {_D}, LATERAL (SELECT unnest(range(1, len(classes) + 1)) AS i))
+        SELECT record_id, pos, coalesce(c.name, 'anonymous') AS name, coalesce(len(c.methods), 0)::INT AS n_methods, coalesce(c.superclass, 'object') AS superclass FROM c WHERE c IS NOT NULL""",
+    "fl12_constants": rf"""WITH p AS {_of('py')}, l AS (SELECT file_id, string_split(regexp_replace(code, '(?s:"{{3}}.*?"{{3}})|(?s:''{{3}}.*?''{{3}})|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|#[^\n]*', ' ', 'g'), chr(10)) AS ls FROM p),
+        n AS (SELECT file_id, unnest(range(len(ls))) AS i, regexp_extract(unnest(ls), '^([A-Za-z_][A-Za-z0-9_]*)[ \t]*=([^=]|$)', 1) AS name FROM l)
+        SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY i) - 1)::INT AS pos, name, upper(name) = name AND regexp_matches(name, '[A-Z]') AS is_constant FROM n WHERE name <> ''""",
+    "fl16_language": f"SELECT file_id FROM {_S} s WHERE EXISTS (SELECT 1 FROM language_aliases a WHERE a.alias = lower(trim(s.language)) AND a.language = 'python')",
     "fl_visible": f"""SELECT file_id, file_path FROM {_S} WHERE NOT regexp_matches(file_path, '(^|/)\\.') AND NOT regexp_matches(file_path, '(^|/)(node_modules|vendor|third_party|build)(/|$)')
         AND lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) NOT IN ('.json', '.yml', '.yaml') AND NOT starts_with(file_path, 'src/core/')""",
     "sk2_written_pages": f"""WITH p AS (SELECT project_id, concat_ws(chr(10) || chr(10), '# ' || regexp_extract(file_path, '([^/]*)$', 1), summary) AS page FROM {_D} WHERE project_id IS NOT NULL AND file_path IS NOT NULL),

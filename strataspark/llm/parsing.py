@@ -49,8 +49,8 @@ class Checker:
                 self.made[language] = grammars.MAKERS[language]()
         return self.made[language]
 
-    def check(self, language: str, code: str) -> tuple[int, str] | None:
-        """None if the code parses, else where and why not."""
+    def check(self, language: str, code: str, place: bool = True) -> tuple[int, str] | None:
+        """None if the code parses, else where and why not; without ``place`` only that it does not."""
         if language not in CHECKED or not code.strip(BLANK):
             return None
         body = code.lstrip("﻿")
@@ -58,11 +58,11 @@ class Checker:
         if language == "html":
             found = made.place(body)
         elif language == "python":
-            found = None if made.parses(body) else _python_place(made, body)
+            found = None if made.parses(body) else _python_place(made, body) if place else (0, "")
         else:
             grammar, lex, table, prepare = made
             kinds = prepare(body, table)
-            found = None if grammar.parses(kinds) else _place(grammar, lex, table, kinds, body)
+            found = None if grammar.parses(kinds) else _place(grammar, lex, table, kinds, body) if place else (0, "")
         if found is None:
             return None
         return found[0] + len(code) - len(body), found[1]
@@ -169,7 +169,7 @@ def check_files(files: DataFrame, aliases: dict[str, str], report: bool = True)
     """Every file once with the verdict on it. ``report=False`` leaves position and cause out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [(f, p, g, *_verdict(g, c)) for f, p, g, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            rows = [(f, p, g, *_verdict(g, c, report)) for f, p, g, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(FIELDS)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
 
@@ -180,8 +180,8 @@ def check_files(files: DataFrame, aliases: dict[str, str], report: bool = True)
     return out if report else out.drop("position", "cause")
 
 
-def _verdict(language: str | None, code: str | None) -> tuple[bool, int | None, str | None]:
-    found = _CHECKER.check(language, code) if language and code else None
+def _verdict(language: str | None, code: str | None, place: bool) -> tuple[bool, int | None, str | None]:
+    found = _CHECKER.check(language, code, place) if language and code else None
     return (True, None, None) if found is None else (False, *found)
 
 

@@ -9,8 +9,8 @@ from ..sources.tables import language_map, load
 from . import parsing
 
 
-def _checked(spark: SparkSession, root: str) -> DataFrame:
-    return parsing.check_files(load(spark, root, "source_files"), language_map(spark, root))
+def _checked(spark: SparkSession, root: str, report: bool = False) -> DataFrame:
+    return parsing.check_files(load(spark, root, "source_files"), language_map(spark, root), report)
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_failures(spark: SparkSession, root: str) -> DataFrame:
     """Each invalid file with the furthest position reached and the cause there."""
-    return _checked(spark, root).where(~F.col("parses")).drop("parses").dropDuplicates(["file_id"])
+    return _checked(spark, root, report=True).where(~F.col("parses")).drop("parses").dropDuplicates(["file_id"])
 
 
 def p3_rates(spark: SparkSession, root: str) -> DataFrame:

@@ -37,6 +37,8 @@ SUPPORT = 3
 
 #: The learned statistics go with the tasks up to this many entries; beyond it they are joined to the texts.
 MODEL_ROWS = 200_000
+#: Parts into which the rows of an entry are cut where it is joined.
+SALTS = 8
 
 # --- blocks --------------------------------------------------------------------------------------
 
@@ -620,9 +622,12 @@ def _split_joined(chosen: DataFrame, learned: DataFrame, key: str, kind: str) ->
     needs = tagged.select("row", "model", "text").mapInArrow(ask, "row bigint, model string, kind string, first string, second string")
     # a text's own language and English, or all of them
     read = needs.select("*", F.explode(F.when(F.col("model").isin("", "en"), F.array("model")).otherwise(F.array("model", F.lit("en")))).alias("lang"))
+    # the rows of an entry are cut by text, so that one which very many texts ask for is not one task
+    read = read.withColumn("salt", F.pmod("row", F.lit(SALTS)))
     known = learned.where("lang <> ''").unionByName(learned.withColumn("lang", F.lit(""))).distinct()
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     entry = F.struct("kind", "first", "second").alias("entry")
-    entries = read.join(known, ["lang", "kind", "first", "second"], "left_semi").groupBy("row", "model").agg(F.collect_set(entry).alias("entries"))
+    entries = read.join(known, ["lang", "kind", "first", "second", "salt"], "left_semi").groupBy("row", "model").agg(F.collect_set(entry).alias("entries"))
     joined = tagged.join(entries, ["row", "model"], "left").select("key", "text", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,26 +140,24 @@ def grammar(kinds: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
         often = list(map(counted.__getitem__, pairs))
         if max(often) < 3:
             break
-        often.append(0)
-        out, i, last = [], 0, len(seq) - 1
-        add = out.append
-        while i < last:
-            n = often[i]
-            if n > 2 and often[i + 1] <= n:
-                pair = pairs[i]
-                rule = rules.get(pair)
-                if rule is None:
-                    rule = rules[pair] = -1 - len(rules)
-                add(rule)
-                i += 2
-            else:
-                add(seq[i])
-                i += 1
-        if i == last:
-            out.append(seq[last])
-        if len(out) == len(seq):
+        # of two pairs that overlap the one that is more frequent, or else the first
+        chosen = [i for i, n, after in zip(range(len(pairs)), often, [*often[1:], 0]) if n > 2 and after <= n]
+        out: list[int] = []
+        at = 0
+        for i in chosen:
+            if i < at:
+                continue
+            if i > at:
+                out += seq[at:i]
+            pair = pairs[i]
+            rule = rules.get(pair)
+            if rule is None:
+                rule = rules[pair] = -1 - len(rules)
+            out.append(rule)
+            at = i + 2
+        if not at:
             break
-        seq = out
+        seq = out + seq[at:]
     return rules, seq
 
 
@@ -185,30 +183,37 @@ def bits(text: str) -> float:
 
 def line_rules(code: str) -> tuple[int, list[tuple[int, int]]]:
     """Lines that count, and the rules over them of ROUNDS: the hash of what a rule derives and the
-    number of its lines. Lines of signs alone and imports, which files of any project share, are passed over."""
-    hashed = xxhash.xxh3_64_intdigest
-    seq = [(hashed(x), 1) for x in map(str.strip, code.splitlines()) if len(x) > 3 and not COMMON.match(x)]
+    number of its lines. Lines of signs alone and imports, which files of any project share, are passed over.
+
+    Hashes of pairs are those of tuples of integers, which are the same in every worker."""
+    hashed, common = xxhash.xxh3_64_intdigest, COMMON.match
+    seq = [hashed(x) for x in map(str.strip, code.splitlines()) if len(x) > 3 and not common(x)]
+    sizes = [1] * len(seq)
     lines = len(seq)
     out: list[tuple[int, int]] = []
     for level in range(1, max(ROUNDS) + 1):
         last = len(seq) - 1
         if last < 1:
             break
-        pairs = [hashed(a.to_bytes(8) + b.to_bytes(8)) for (a, _), (b, _) in zip(seq, seq[1:])]
-        new: list[tuple[int, int]] = []
-        i = 0
-        while i <= last:
-            if i < last and (i == 0 or pairs[i] < pairs[i - 1]) and (i == last - 1 or pairs[i] <= pairs[i + 1]):
-                rule = (pairs[i], seq[i][1] + seq[i + 1][1])
-                new.append(rule)
-                if level in ROUNDS:
-                    out.append(rule)
-                i += 2
-            else:
-                new.append(seq[i])
-                i += 1
-        seq = new
-    return lines, [(h - (1 << 63), n) for h, n in out]
+        pairs = [*map(hash, zip(seq, seq[1:]))]
+        # a pair is replaced where it is the least among its neighbours, so no two overlap
+        chosen = [i for i, h, before, after in zip(range(last), pairs, [pairs[0] + 1, *pairs], [*pairs[1:], pairs[-1]]) if h < before and h <= after]
+        new: list[int] = []
+        size: list[int] = []
+        at = 0
+        for i in chosen:
+            if i < at:
+                continue
+            new += seq[at:i]
+            size += sizes[at:i]
+            new.append(pairs[i])
+            size.append(sizes[i] + sizes[i + 1])
+            at = i + 2
+        seq, sizes = new + seq[at:], size + sizes[at:]
+        if level in ROUNDS:
+            replaced = {pairs[i] for i in chosen}
+            out += [(h, n) for h, n in zip(seq, sizes) if h in replaced]
+    return lines, out
 
 
 def _has_literals(tokens: list[str]) -> bool:

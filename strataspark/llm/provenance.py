@@ -1,8 +1,8 @@
 """Generated, minified and vendored source files, and data kept as code (problem 5).
 
 Re-Pair grammars. The tokens of a file, names and literals reduced to their kind, are paired round
-by round: every round replaces the pairs that occur most often by a rule, until no pair occurs three
-times. The size of the grammar beside the length of the file tells how often its rules are reused:
+by round: every round replaces the pairs that occur most often by a rule, until no pair occurs four
+times or a round hardly shortens the text any more. The size of the grammar beside the length of the file tells how often its rules are reused:
 what a tool writes reuses a few rules all over. Where a file is little but literals, the same grammar
 over their characters tells how many bits each of them takes: literals that hardly get shorter are data.
 
@@ -51,6 +51,8 @@ SHARED = 0.35
 #: Letters in words beside literals, as a share of the literals' signs, up to which a file can be data;
 #: bits that a sign of its literals takes at least.
 DATA_WORDS, DATA_BITS = 0.1, 2.0
+#: Occurrences of a pair that make a rule, and what remains of the text after a round that is the last one.
+OFTEN, HARDLY = 4, 0.95
 #: Tokens from which on rule reuse is judged.
 TOKENS = 60
 #: Parts into which the rows of a rule are cut where they meet the shared rules.
@@ -68,6 +70,7 @@ MINIFIABLE = {"js", "mjs", "ts", "css", "html", "htm"}
 
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\sA-Za-z0-9_]")
 TEXT = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
+NUMBER = re.compile(r"\d[\w.]*")
 DIGITS = re.compile(r"(?<![\w$])\d")
 KEYWORDS = frozenset(
     "if else for while return function class def import from const let var public private static void int new in of not and or is None self this try except catch finally "
@@ -86,7 +89,7 @@ HEAD = re.compile(r"(?:\s|﻿|<!DOCTYPE[^>]*>|#![^\n]*\n|//[^\r\n]*|#(?!include|
 
 FEATURES = (
     "file_id bigint, project_id string, file_path string, says_tool boolean, minified boolean, data boolean, says_copy boolean, ratio double, reused boolean, n_lines int, "
-    "rules array<struct<rule: bigint, n: int>>"
+    "rules array<bigint>, sizes array<int>"
 )
 FIELDS = pa.schema(
     [
@@ -100,7 +103,8 @@ FIELDS = pa.schema(
         ("ratio", pa.float64()),
         ("reused", pa.bool_()),
         ("n_lines", pa.int32()),
-        ("rules", pa.list_(pa.struct([("rule", pa.int64()), ("n", pa.int32())]))),
+        ("rules", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int32())),
     ]
 )
 
@@ -138,10 +142,10 @@ def grammar(kinds: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
         pairs = list(zip(seq, seq[1:]))
         counted = Counter(pairs)
         often = list(map(counted.__getitem__, pairs))
-        if max(often) < 3:
+        if max(often) < OFTEN:
             break
         # of two pairs that overlap the one that is more frequent, or else the first
-        chosen = [i for i, n, after in zip(range(len(pairs)), often, [*often[1:], 0]) if n > 2 and after <= n]
+        chosen = [i for i, n, after in zip(range(len(pairs)), often, [*often[1:], 0]) if n >= OFTEN and after <= n]
         out: list[int] = []
         at = 0
         for i in chosen:
@@ -157,7 +161,11 @@ def grammar(kinds: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
             at = i + 2
         if not at:
             break
-        seq = out + seq[at:]
+        out += seq[at:]
+        hardly = len(out) > HARDLY * len(seq)
+        seq = out
+        if hardly:
+            break
     return rules, seq
 
 
@@ -225,11 +233,14 @@ def _is_data(code: str, kind: str) -> bool:
     """Hardly a word beside literals, and literals that hardly get shorter by a grammar; comments do not count."""
     pattern = COMMENT.get("html" if kind == "htm" else kind, COMMENT[""])
     code = pattern.sub(lambda m: " " if m[1] else m[0], code)
+    solid = len(code) - sum(map(code.count, " \t\r\n"))
+    if sum(map(len, NUMBER.findall(code))) + sum(map(len, TEXT.findall(code))) < 0.5 * solid:
+        return False
     tokens = TOKEN.findall(code)
     # prose in quotes is no data
     literals = [t for t in tokens if t[0] in "\"'`0123456789" and (len(t) > 1 or t.isdigit()) and t.count(" ") * 15 <= len(t)]
     size = sum(map(len, literals))
-    if not literals or size < 0.5 * (len(code) - sum(map(code.count, " \t\r\n"))):
+    if not literals or size < 0.5 * solid:
         return False
     if sum(len(t) for t in tokens if t[0].isalpha() or t[0] in "_$") > DATA_WORDS * size:
         return False
@@ -270,9 +281,9 @@ def judge_files(files: DataFrame) -> DataFrame:
             for f, project, path, code in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if code and code.strip("﻿ \t\r\n\x0b\x0c\xa0"):
                     *signs, rules = features(code, path or "")
-                    rows.append((f, project, path, *signs, [{"rule": h, "n": n} for h, n in rules]))
+                    rows.append((f, project, path, *signs, [h for h, _ in rules], [n for _, n in rules]))
                 else:
-                    rows.append((f, project, path, False, False, False, False, 1.0, False, 0, []))
+                    rows.append((f, project, path, False, False, False, False, 1.0, False, 0, [], []))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(FIELDS)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
 
@@ -282,7 +293,7 @@ def judge_files(files: DataFrame) -> DataFrame:
 
 def shared_rules(judged: DataFrame) -> DataFrame:
     """Rules over lines that occur in more than one project."""
-    each = judged.where("project_id is not null").select(F.xxhash64("project_id").alias("project"), F.explode("rules.rule").alias("rule"))
+    each = judged.where("project_id is not null").select(F.xxhash64("project_id").alias("project"), F.explode("rules").alias("rule"))
     return each.groupBy("rule").agg(F.min("project").alias("a"), F.max("project").alias("b")).where("a < b").select("rule")
 
 
@@ -294,11 +305,11 @@ def verdicts(judged: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     judged = kept(judged)
     chosen = judged if wanted is None else judged.join(wanted.distinct(), "file_id", "left_semi")
     # the rows of a rule are cut by file, so that a rule of very many files is not one task
-    own = chosen.select("file_id", F.explode("rules").alias("r")).select("file_id", "r.rule", "r.n", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt"))
+    own = chosen.select("file_id", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("file_id", F.col("r.rules").alias("rule"), F.col("r.sizes").alias("n"), F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt"))
     known = shared_rules(judged).select("rule", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     hits = own.join(known, ["rule", "salt"], "left_semi").groupBy("file_id").agg(F.sum("n").alias("hits"))
     names = ["project_id", "file_path", "says_tool", "minified", "data", "says_copy", "ratio", "reused", "n_lines"]
-    weight = F.aggregate("rules", F.lit(0), lambda a, r: a + r["n"])
+    weight = F.aggregate("sizes", F.lit(0), lambda a, n: a + n)
     # a file that was delivered twice has its rules twice, on both sides of the share
     signs = chosen.groupBy("file_id").agg(*[F.first(c).alias(c) for c in names], F.sum(weight).alias("weight"))
     path = F.concat(F.lit("/"), F.regexp_replace("file_path", r"\\", "/"))

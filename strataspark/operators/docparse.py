@@ -10,7 +10,7 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .validate import TYPE_NAME
@@ -145,14 +145,18 @@ def fixed(text: Column) -> Column:
     return F.struct(now.alias("text"), F.array_compact(F.array(*changes)).alias("changes"))
 
 
-def pipeline(text: Column) -> Column:
-    """VA7: put right, read and check: struct<valid, errors>; rewrites are named behind the errors."""
-    f = fixed(text)
-    marked = marked_lines(f["text"])
-    found = errors(F.coalesce(section(marked, "summary"), F.lit("")), parameters(marked), returns(marked))
-    done = F.concat(found, F.transform(f["changes"], lambda i: F.concat(F.lit("Applied fix "), i.cast("string"))))
-    empty = text.isNull() | (text == "")
-    return F.when(empty, F.struct(F.lit(False).alias("valid"), F.array(F.lit("Empty docstring")).alias("errors"))).otherwise(F.struct((F.size(found) == 0).alias("valid"), done.alias("errors")))
+def pipeline(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """VA7: put right, read and check: key, valid, errors; rewrites are named behind the errors. Each step is
+    a column of its own, so that none is computed more than once."""
+    empty = F.col("t").isNull() | (F.col("t") == "")
+    steps = rows.select(key, F.col(text).alias("t")).withColumn("f", fixed(F.coalesce("t", F.lit(""))))
+    steps = steps.withColumn("m", marked_lines(F.col("f.text")))
+    steps = steps.withColumns({"s": F.coalesce(section(F.col("m"), "summary"), F.lit("")), "p": parameters(F.col("m")), "r": returns(F.col("m"))})
+    steps = steps.withColumn("found", errors(F.col("s"), F.col("p"), F.col("r")))
+    done = F.concat("found", F.transform("f.changes", lambda i: F.concat(F.lit("Applied fix "), i.cast("string"))))
+    return steps.select(
+        key, F.when(empty, F.lit(False)).otherwise(F.size("found") == 0).alias("valid"), F.when(empty, F.array(F.lit("Empty docstring"))).otherwise(done).alias("errors")
+    )
 
 
 # --- writing --------------------------------------------------------------------------------------

@@ -57,8 +57,8 @@ def sf21_fixes(spark, root):
 
 def va7_pipeline(spark, root):
     """Whether docstrings hold after they are put right; the texts of no docstring are empty ones."""
-    d = docs(spark, root).select("doc_id", docparse.pipeline(F.when(F.col("source") == "docstring", F.replace("text", F.lit("\r"), F.lit("")))).alias("p"))
-    return d.groupBy("p.valid", F.size("p.errors").alias("n_errors")).agg(F.count("*").alias("n"))
+    d = docs(spark, root).select("doc_id", F.when(F.col("source") == "docstring", F.replace("text", F.lit("\r"), F.lit(""))).alias("text"))
+    return docparse.pipeline(d, "doc_id", "text").groupBy("valid", F.size("errors").alias("n_errors")).agg(F.count("*").alias("n"))
 
 
 def _functions(spark, root):

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .metrics import BLOCK, numbered
+
+#: Rows that hold an element from which on they are counted by what frequent elements they hold, not paired.
+OFTEN = 1_000
+
 
 def last_by(rows: DataFrame, key: list[str], pos: str) -> DataFrame:
     """JN1: the last row of each key wins."""
@@ -28,12 +34,13 @@ def sharing(left: DataFrame, right: DataFrame, array: str, left_id: str, right_i
     """JN5: pairs whose arrays share an element: both sides are exploded and joined on the element.
 
     The pairs are the result, so their number is the output's; the left side is salted and the right one
-    repeated for each salt, so that an element of very many arrays is no single task.
+    repeated for each salt, so that an element of very many arrays is no single task. Spark takes exploded
+    rows for no larger than their file, so it is told not to broadcast them.
     """
     salt = F.pmod(F.xxhash64(left_id), F.lit(salts))
     a = left.select(F.col(left_id), F.explode(F.array_distinct(array)).alias("x")).withColumn("salt", salt)
     b = right.select(F.col(right_id), F.explode(F.array_distinct(array)).alias("x")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return a.join(b, ["x", "salt"]).select(left_id, right_id).distinct()
+    return a.join(b.hint("merge"), ["x", "salt"]).select(left_id, right_id).distinct()
 
 
 def sharers(rows: DataFrame, array: str, ident: str) -> DataFrame:
@@ -51,6 +58,31 @@ def sharers(rows: DataFrame, array: str, ident: str) -> DataFrame:
     return each.select(ident, "class").join(total, "class").select(ident, "n")
 
 
+def later_sharers(rows: DataFrame, array: str, ident: str, often: int = OFTEN, salts: int = 16, block: int = BLOCK) -> DataFrame:
+    """JN5 where only numbers are wanted: for each row, how many rows of a greater integer ident have an
+    array that shares an element with its own: ident, n; rows without any are left out.
+
+    Rows that share one of the elements of more than ``often`` rows are not paired: those of the same
+    frequent elements are one class, and a row's place among all rows of the classes that its own meets is
+    the number. Rows meet by the other elements, at most ``often`` at each, where they share no frequent one.
+    """
+    each = rows.select(F.col(ident).alias("id"), F.explode(F.array_distinct(array)).alias("x")).where("id is not null and x is not null")
+    frequent = each.groupBy("x").agg(F.count("*").alias("_n")).where(F.col("_n") > often).select("x", F.lit(True).alias("frequent"))
+    split = kept(each.join(frequent, "x", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("frequent"), F.col("x")))).alias("often"), F.collect_list(F.when(F.col("frequent").isNull(), F.col("x"))).alias("seldom")))
+    seldom = split.select("id", "often", F.explode("seldom").alias("x"))
+    other = seldom.select(F.col("id").alias("other"), F.col("often").alias("other_often"), "x")
+    apart = seldom.join(other.hint("merge"), "x").where("id < other and not arrays_overlap(often, other_often)").select("id", "other").distinct()
+    paired = apart.groupBy("id").agg(F.count("*").alias("n"))
+    marked = split.where("size(often) > 0").select("id", F.xxhash64("often").alias("class"), "often")
+    classes = marked.select("class", "often").distinct().select("class", F.explode("often").alias("x"))
+    met = classes.join(classes.withColumnRenamed("class", "other").hint("merge"), "x").select("class", "other").distinct()
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    members = marked.select(F.col("class").alias("other"), "id", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    among = met.withColumn("salt", salt).join(members.hint("merge"), ["other", "salt"]).select("class", "id", (F.col("class") == F.col("other")).alias("own"), (-F.col("id")).alias("down"))
+    placed = numbered(among, "class", "down", block).where("own").select("id", (F.col("n") - 1).alias("n"))
+    return paired.unionByName(placed).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").withColumnRenamed("id", ident)
+
+
 def overlaps(rows: DataFrame, key: str, start: str, end: str, ident: str, width: int) -> DataFrame:
     """JN11: pairs of one key whose ranges overlap. Ranges are spread over bins of a width; pairs meet in
     the first bin that both reach, so each is found once and no key is compared with all of itself."""

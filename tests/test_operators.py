@@ -66,6 +66,24 @@ def test_sharers_against_all_pairs(spark):
     assert {r.id: r.n for r in joins.sharers(df, "a", "id").where("n > 0").collect()} == want
 
 
+def test_later_sharers_against_all_pairs(spark):
+    random.seed(11)
+    rows = [(i, random.sample("abcdefgh", random.randint(0, 3)) + ["z"] * (i % 3 == 0)) for i in range(80)] + [(90, None), (91, []), (None, ["a", "z"])]
+    want = {i: n for i, a in rows if i is not None and (n := sum(1 for j, b in rows if j is not None and i < j and set(a or []) & set(b or [])))}
+    df = spark.createDataFrame(rows, "id bigint, a array<string>")
+    for often in (0, 15, 25, 1000):
+        got = joins.later_sharers(df, "a", "id", often, 2, 7).collect()
+        assert len(got) == len(want) and {r.id: r.n for r in got} == want
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    # far more elements than the file behind them lets Spark expect
+    df = spark.range(50).select("id", F.array(F.lit("a"), F.col("id").cast("string")).alias("a"))
+    pairs = joins.sharing(df, df.withColumnRenamed("id", "other"), "a", "id", "other")
+    assert pairs.count() == 2500
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reach_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("zz",)], "node string")

@@ -23,6 +23,25 @@ def test_grammar_derives_its_input():
     assert len(start) + len(rules) < 25 and provenance.derived(rules, start) == [1, 2] * 200
 
 
+def test_grammars_of_many_texts_at_once():
+    random.seed(2)
+    texts = [[random.randint(0, random.choice((1, 3, 8, 30))) for _ in range(random.choice((0, 1, 2, 7, 60, 300)))] for _ in range(400)] + [[5] * n for n in range(12)] + [[1, 2, 1, 2, 2, 1] * 50]
+    want = [(len(rules), len(start)) for rules, start in map(provenance.grammar, texts)]
+    assert provenance.grammar_sizes(texts) == want
+    assert [provenance.grammar_sizes([x])[0] for x in texts] == want
+    assert provenance.grammar_sizes([]) == []
+
+
+def test_files_judged_together_are_judged_alike(monkeypatch):
+    random.seed(7)
+    rows = [(HAND * random.randint(1, 4) + "".join(f"    field_{i} = Field({i}, kind='int', default={i % n})\n" for i in range(n)), f"a/{n}.{random.choice(('py', 'js', 'html', 'json'))}") for n in range(1, 80)] + [("x", "y"), ("<a>", "b.xml"), ("٣ " * 80, "c.py")]
+    alone = [provenance.features(*x) for x in rows]
+    for together in (1, 700, 10**9):
+        monkeypatch.setattr(provenance, "TOGETHER", together)
+        assert provenance.features_of(rows) == alone
+    assert provenance.features_of([]) == []
+
+
 def test_equal_stretches_give_equal_rules():
     random.seed(5)
     lines = [f"call_{i}({random.random()})" for i in range(200)]
